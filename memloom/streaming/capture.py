@@ -28,15 +28,17 @@ def landing_lines(spark: SparkSession, landing: str, files_per_trigger: int = 10
     return read.load(landing).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
-def stream_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str, **trigger: Any) -> StreamingQuery:
+def stream_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str, kind_of_path: str = "file", **trigger: Any) -> StreamingQuery:
     """Parse new files and append messages whose external_uuid the table lacks: idempotent across restarts.
 
     Each batch joins its own uuids (few) with the table's by an anti join; it is written under its batch
-    number, so a batch that is run again replaces what it had written.
+    number, so a batch that is run again replaces what it had written. kind_of_path: `folder` where the
+    session's name is that of the file's folder (file=<name>).
     """
+    name = F.col("path") if kind_of_path == "file" else F.regexp_extract("path", "file=([^/]+)/", 1)
 
     def append(batch: DataFrame, number: int) -> None:
-        lines = split_lines(batch).withColumn("session_id", session_id_of(F.col("path"), "claude"))
+        lines = split_lines(batch).withColumn("session_id", session_id_of(name, "claude"))
         rows = normalize_messages(dedup_content(parse_claude(lines), ["session_id"], ["pos"]))
         rows = rows.groupBy("external_uuid").agg(F.min_by(F.struct(*rows.columns), F.struct("path", "pos")).alias("r")).select("r.*")
         try:
@@ -56,28 +58,34 @@ def stream_dedup(stream: DataFrame, time_col: str = "created_at", late: str = "1
     return stream.withWatermark(time_col, late).dropDuplicatesWithinWatermark(["external_uuid"])
 
 
-def _carry(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    model = state.get[0] if state.exists else None
-    rows = pd.concat(list(parts)).sort_values("byte_offset", kind="stable")
-    carried = []
-    for named in rows["model"]:
-        model = named if isinstance(named, str) else model
-        carried.append(model)
-    rows["carried"] = carried
-    state.update((model,))
-    state.setTimeoutDuration(24 * 3600 * 1000)
-    yield rows[["session_id", "byte_offset", "line", "carried"]]
-
-
-def stream_carry_model(stream: DataFrame) -> DataFrame:
-    """(session_id, byte_offset, line, carried) of lines: the model named last in the session, kept across batches for a day after its last line."""
+def stream_carry_model(stream: DataFrame, keep_hours: float | None = 24) -> DataFrame:
+    """(session_id, byte_offset, line, carried) of lines: the model named last in the session, kept across batches.
+
+    State is dropped so many hours after a session's last line; with None it stays, as a run over what is
+    at hand (availableNow) needs, which would wait for timeouts without end.
+    """
+
+    def carry(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        model = state.get[0] if state.exists else None
+        rows = pd.concat(list(parts)).sort_values("byte_offset", kind="stable")
+        carried = []
+        for named in rows["model"]:
+            model = named if isinstance(named, str) else model
+            carried.append(model)
+        rows["carried"] = carried
+        state.update((model,))
+        if keep_hours is not None:
+            state.setTimeoutDuration(int(keep_hours * 3_600_000))
+        yield rows[["session_id", "byte_offset", "line", "carried"]]
+
     e = F.from_json("line", "type string, payload struct<model:string>")
     named = stream.select("session_id", "byte_offset", "line", F.when(e["type"] == "turn_context", e["payload"]["model"]).alias("model"))
     schema = "session_id string, byte_offset long, line string, carried string"
-    return named.groupBy("session_id").applyInPandasWithState(_carry, schema, "model string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if keep_hours is None else GroupStateTimeout.ProcessingTimeTimeout
+    return named.groupBy("session_id").applyInPandasWithState(carry, schema, "model string", "append", timeout)
 
 
 def enrich_once(memory: DataFrame, tags: DataFrame, tag_fn: Callable, embed_fn: Callable, dim: int, as_of: dt.datetime, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
