@@ -68,7 +68,7 @@ def filter_of(hashes: DataFrame, column: str = "h", most_bits: int = 1 << 29) ->
     and what follows works on all rows, with the same result.
     """
     n = hashes.count()
-    bits = 1 << max(16, (16 * max(1, n) - 1).bit_length())
+    bits = 1 << max(16, (8 * max(1, n) - 1).bit_length())
     bits = min(bits, most_bits)
     if n * 4 > bits:
         return Filter(None)
@@ -85,8 +85,8 @@ def filter_of(hashes: DataFrame, column: str = "h", most_bits: int = 1 << 29) ->
             bit = np.bitwise_or.reduceat(np.uint64(1) << (p & np.uint64(63)), start) if len(start) else np.zeros(0, np.uint64)
             yield pd.DataFrame({"word": word[start], "bit": bit.view(np.int64)})
 
-    words = hashes.select(column).mapInPandas(put, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
-    shape.bits[words["word"].to_numpy()] = words["bit"].to_numpy().astype(np.int64).view(np.uint64)
+    words = hashes.select(column).mapInPandas(put, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    shape.bits[words["word"].to_numpy()] = words["bit"].to_numpy().view(np.uint64)
     return shape
 
 
