@@ -5,7 +5,7 @@ a passage choose the same minimisers within it, so both have suffixes that start
 `key` words occur once are left out (counted by Spark, carried back by a filter of bounded size); the others
 are sorted, neighbours are compared, and matches are extended to the right and, from the words before, to
 the left. Two orders are used, one by the words that follow and one by those before, so that the neighbour
-with the longest match on either side is met.
+with the longest match on either side is met; each is compared with the NEIGHBOURS before it.
 
 Every suffix carries `least` words of its own and those before that a passage of that length can have, as
 32-bit hashes; longer passages come out whole because their suffixes' spans overlap. Suffixes alike in all
@@ -16,6 +16,7 @@ the order go by doc_id and place. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,9 @@ from memloom.llm.common import chunks, documents_of, encoded, materialize, run_h
 from memloom.llm.mixing import word_count
 from memloom.llm.repeats import Filter, filter_of, minimisers, repeated
 
+#: How many suffixes before each in an order it is compared with.
+NEIGHBOURS = 3
+
 
 def _suffixes(hashes: np.ndarray, first: np.ndarray, window: int, key: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the kept suffixes that have `key` words within their text, and the hash of those words."""
@@ -54,7 +58,7 @@ def suffix_counts(texts: DataFrame, window: int, key: int) -> DataFrame:
 def suffixes(texts: DataFrame, window: int, key: int, least: int, chosen: Filter) -> DataFrame:
     """(h, doc_id, at, after, before): kept suffixes with `least` words after their start and least - key before it, nearest first.
 
-    Of those alike within a batch one is kept whole and the others only name their span (h null, `n` words from `at`).
+    Of those alike within a batch two are kept whole and the others only name their span (`n` words from `at`).
     """
     back = least - key
 
@@ -75,16 +79,17 @@ def suffixes(texts: DataFrame, window: int, key: int, least: int, chosen: Filter
                     alike, own = (after, before), (int(ids[i + d]), p - begin)
                     words = (len(after) + len(before)) // 4
                     if words >= least and alike in seen:
-                        span = (None, own[0], own[1] - len(before) // 4, None, None, words)
-                        if not seen[alike]:
-                            seen[alike] = True  # the one that was kept is now known to repeat; it is compared as any other
-                            out.append((k, *own, after, before, 0))
-                        else:
-                            out.append(span)
-                        continue
-                    seen.setdefault(alike, False)
+                        one, more = seen[alike]
+                        if own == one:
+                            continue  # a repeated row
+                        if more:
+                            out.append((0, own[0], own[1] - len(before) // 4, None, None, words))
+                            continue
+                        seen[alike] = one, True  # two are kept whole: compared as any others, each shows the other's span
+                    else:
+                        seen.setdefault(alike, (own, False))
                     out.append((k, *own, after, before, 0))
-            yield pd.DataFrame(out, columns=["h", "doc_id", "at", "after", "before", "n"]).astype({"h": "Int64"})
+            yield pd.DataFrame(out, columns=["h", "doc_id", "at", "after", "before", "n"])
 
     return texts.mapInPandas(run, "h long, doc_id long, at long, after binary, before binary, n long")
 
@@ -102,17 +107,18 @@ def spans(found: DataFrame, least: int, by: str) -> DataFrame:
     """(doc_id, start, n): spans of both of two neighbours that share `least` words around their starts."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
+        recent: deque = deque(maxlen=NEIGHBOURS)
         for part in parts:
             out = []
             for now in part.itertuples(index=False, name=None):
                 h, doc, at, after, before = now
-                if last is not None and last[0] == h and last[1:3] != (doc, at):
-                    right, left = _common(last[3], after), _common(last[4], before)
-                    if right + left >= least:
-                        out.append((doc, at - left, right + left))
-                        out.append((last[1], last[2] - left, right + left))
-                last = now
+                for last in recent:
+                    if last[0] == h and last[1:3] != (doc, at):
+                        right, left = _common(last[3], after), _common(last[4], before)
+                        if right + left >= least:
+                            out.append((doc, at - left, right + left))
+                            out.append((last[1], last[2] - left, right + left))
+                recent.append(now)
             yield pd.DataFrame(out, columns=["doc_id", "start", "n"])
 
     order = ["h", by, "before" if by == "after" else "after", "doc_id", "at"]
@@ -130,8 +136,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, key: int = 24, id_col: s
     window = least - key + 1
     chosen = filter_of(materialize(repeated(suffix_counts(known, window, key))))
     found = materialize(suffixes(known, window, key, least, chosen))
-    whole = found.where("h is not null")
-    every = spans(whole, least, "after").union(spans(whole, least, "before")).union(found.where("h is null").select("doc_id", "at", "n"))
+    whole = found.where("n = 0")
+    every = spans(whole, least, "after").union(spans(whole, least, "before")).union(found.where("n > 0").select("doc_id", "at", "n"))
     # Union of spans in a document: a span that starts behind all earlier ends opens a passage.
     every = every.distinct().selectExpr("doc_id", "start", "start + n as end")
     every = every.selectExpr("*", "max(end) over (partition by doc_id order by start, end rows between unbounded preceding and 1 preceding) as reach")
