@@ -9,8 +9,18 @@ from pyspark.sql import functions as F
 
 from memloom.operators.tags import since
 
+#: How many messages and tags a brief shows, the length of a preview, and characters a token.
 CURRENT, OTHERS, PREVIEW, TAGS = 8, 4, 100, 5
 CHARS_PER_TOKEN = 1.7
+#: The wording of a brief.
+TITLE, PLATFORM = "# Memory Briefing (user: ", "Current platform: `"
+CORE, SUB = "## Core Profile", "## Sub Profile"
+PROJECTS, MEMORIES = "## Active Projects (last ", " memories (last: "
+RECENT, RECENT_ON, ORDER = "## Recent Memory (last ", "## Recent on ", ", oldest → newest)"
+WHISPERS = "## Cross-platform Whispers (other agents, last "
+MORE = "Use `search_memory({ query, p_tag, date_range, role, agent_platform, include_archived })` to retrieve more."
+ACROSS = 'Cross-platform search: `search_memory({ query, agent_platform: "*" })`.'
+REFRESH = "Use `memory_startup` tool for a refreshed brief mid-session."
 
 
 def active_tags(memory: DataFrame, tags: DataFrame, as_of: dt.datetime, days: int = 3, n: int = TAGS) -> DataFrame:
@@ -63,21 +73,21 @@ def render_brief(briefs: DataFrame, device_name: str = "local") -> DataFrame:
     n = lambda c: F.size(c).cast("string")
     block = lambda c, head, lines: F.when(some(c), F.concat(F.array(head), lines, F.array(F.lit("")))).otherwise(none)
     tag_line = lambda t: F.concat(
-        F.lit("- **"), t["name"], F.lit("** — "), t["count"].cast("string"), F.lit(" memories (last: "), F.coalesce(F.date_format(t["last_used"], "yyyy-MM-dd"), F.lit("?")), F.lit(")")
+        F.lit("- **"), t["name"], F.lit("** — "), t["count"].cast("string"), F.lit(MEMORIES), F.coalesce(F.date_format(t["last_used"], "yyyy-MM-dd"), F.lit("?")), F.lit(")")
     )
-    heading = F.when(platform.isNull(), F.concat(F.lit("## Recent Memory (last "), n("current"))).otherwise(F.concat(F.lit("## Recent on "), platform, F.lit(" (last "), n("current")))
+    heading = F.when(platform.isNull(), F.concat(F.lit(RECENT), n("current"))).otherwise(F.concat(F.lit(RECENT_ON), platform, F.lit(" (last "), n("current")))
     parts = [
-        F.array(F.concat(F.lit("# Memory Briefing (user: "), F.col("user_name"), F.lit(")"))),
-        F.when(platform.isNotNull(), F.array(F.concat(F.lit("Current platform: `"), platform, F.lit(f" @ {device_name}`")))),
+        F.array(F.concat(F.lit(TITLE), F.col("user_name"), F.lit(")"))),
+        F.when(platform.isNotNull(), F.array(F.concat(F.lit(PLATFORM), platform, F.lit(f" @ {device_name}`")))),
         F.array(F.lit("")),
-        part("## Core Profile", F.col("core_profile")),
-        part("## Sub Profile", F.col("sub_profile")),
-        block("tags", F.concat(F.lit("## Active Projects (last "), F.col("days").cast("string"), F.lit(" days)")), F.transform("tags", tag_line)),
-        block("current", F.concat(heading, F.lit(", oldest → newest)")), F.transform("current", lambda m: _message_line(m, platform.isNull()))),
-        block("others", F.concat(F.lit("## Cross-platform Whispers (other agents, last "), n("others"), F.lit(")")), F.transform("others", lambda m: _message_line(m, F.lit(True)))),
-        F.array(F.lit("---"), F.lit("Use `search_memory({ query, p_tag, date_range, role, agent_platform, include_archived })` to retrieve more.")),
-        F.when(platform.isNotNull(), F.array(F.lit('Cross-platform search: `search_memory({ query, agent_platform: "*" })`.'))),
-        F.array(F.lit("Use `memory_startup` tool for a refreshed brief mid-session.")),
+        part(CORE, F.col("core_profile")),
+        part(SUB, F.col("sub_profile")),
+        block("tags", F.concat(F.lit(PROJECTS), F.col("days").cast("string"), F.lit(" days)")), F.transform("tags", tag_line)),
+        block("current", F.concat(heading, F.lit(ORDER)), F.transform("current", lambda m: _message_line(m, platform.isNull()))),
+        block("others", F.concat(F.lit(WHISPERS), n("others"), F.lit(")")), F.transform("others", lambda m: _message_line(m, F.lit(True)))),
+        F.array(F.lit("---"), F.lit(MORE)),
+        F.when(platform.isNotNull(), F.array(F.lit(ACROSS))),
+        F.array(F.lit(REFRESH)),
     ]
     empty = F.array().cast("array<string>")
     return briefs.select("user_id", F.array_join(F.concat(*(F.coalesce(p, empty) for p in parts)), "\n").alias("brief"))

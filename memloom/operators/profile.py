@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from memloom.functions.text import without_fences
 
+#: The wording of a profile prompt.
+EXISTING = "EXISTING PROFILE (subject to update):\ncore_profile:\n"
+SUB, EMPTY = "\n\nsub_profile:\n", "(empty)"
+RECENT, ROLE = "\n\nRECENT USER MESSAGES (most recent ", ", role='user'):\n"
+TASK = "\n\nTask: produce updated core_profile and sub_profile JSON per the system prompt."
+
 
 def profile_sources(memory: DataFrame, n: int = 30) -> DataFrame:
     """(user_id, id, message, created_at, rank): each user's newest active messages of their own; rank 1 is the newest."""
@@ -20,11 +26,11 @@ def build_profile_prompts(users: DataFrame, sources: DataFrame) -> DataFrame:
     row = F.struct((-F.col("rank")).alias("place"), "created_at", "message")
     lists = sources.groupBy("user_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     line = lambda m, i: F.concat(F.lit("[#"), (i + 1).cast("string"), F.lit(" @ "), F.date_format(m["created_at"], "yyyy-MM-dd'T'HH:mm:ss"), F.lit("] "), m["message"])
-    told = lambda c: F.coalesce(F.col(c), F.lit("(empty)"))
+    told = lambda c: F.coalesce(F.col(c), F.lit(EMPTY))
     text = F.concat(
-        F.lit("EXISTING PROFILE (subject to update):\ncore_profile:\n"), told("core_profile"), F.lit("\n\nsub_profile:\n"), told("sub_profile"),
-        F.lit("\n\nRECENT USER MESSAGES (most recent "), F.size("rows").cast("string"), F.lit(", role='user'):\n"), F.array_join(F.transform("rows", line), "\n\n"),
-        F.lit("\n\nTask: produce updated core_profile and sub_profile JSON per the system prompt."),
+        F.lit(EXISTING), told("core_profile"), F.lit(SUB), told("sub_profile"),
+        F.lit(RECENT), F.size("rows").cast("string"), F.lit(ROLE), F.array_join(F.transform("rows", line), "\n\n"),
+        F.lit(TASK),
     )
     return users.join(lists, "user_id").select("user_id", text.alias("prompt"))
 
