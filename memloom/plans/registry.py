@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions import text as tx
@@ -20,8 +20,6 @@ from memloom.sources.shared import fresh_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
-NOW = F.lit(AS_OF).cast("timestamp_ntz")
-LISTED = "coalesce(array_to_string(list_sort({0}), ','), '')"
 UUID36 = "concat('00000000-0000-0000-0000-', lpad(CAST(session_no AS STRING), 12, '0'))"
 
 
@@ -44,12 +42,12 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
 
 
-def joined(c: str) -> F.Column:
-    return F.array_join(F.sort_array(c), ",").alias(c)
+def now() -> Column:
+    return F.lit(AS_OF).cast("timestamp_ntz")
 
 
-def md5(c: str, name: str | None = None) -> F.Column:
-    return F.md5(F.col(c)).alias(name or c)
+def md5(c: str) -> Column:
+    return F.md5(F.col(c)).alias(c)
 
 
 # ---- sources ----------------------------------------------------------------
@@ -274,7 +272,7 @@ def changes(d: Data) -> DataFrame:
 
 @_query(f"SELECT seq, status FROM ({_STATUS})")
 def q_memory_change_status(d: Data) -> DataFrame:
-    return writes.apply_memory_changes(d.mem, changes(d), NOW)[1]
+    return writes.apply_memory_changes(d.mem, changes(d), now())[1]
 
 
 @_query(f"""WITH s AS ({_STATUS}), u AS (SELECT memory_id, arg_max(content, seq) FILTER (status = 'updated') AS t, count(*) FILTER (status = 'updated') AS up, count(*) FILTER (status = 'removed') AS gone FROM s WHERE status IN ('updated', 'removed') GROUP BY 1)
@@ -282,7 +280,7 @@ SELECT mem.id, mem.user_id, coalesce(t, message) AS message, CASE WHEN coalesce(
  CASE WHEN up > 0 THEN FALSE ELSE tag_processed END AS tag_processed, CASE WHEN gone > 0 THEN FALSE ELSE is_active END AS is_active, is_pinned FROM mem LEFT JOIN u ON u.memory_id = mem.id
 UNION ALL SELECT (SELECT max(id) FROM mem) + row_number() OVER (ORDER BY seq), user_id, content, NULL, NULL, FALSE, TRUE, TRUE FROM s WHERE status = 'added'""")
 def q_apply_memory_changes(d: Data) -> DataFrame:
-    return writes.apply_memory_changes(d.mem, changes(d), NOW)[0].select("id", "user_id", "message", "p_tag_id", "cold_error", "tag_processed", "is_active", "is_pinned")
+    return writes.apply_memory_changes(d.mem, changes(d), now())[0].select("id", "user_id", "message", "p_tag_id", "cold_error", "tag_processed", "is_active", "is_pinned")
 
 
 _PROFILE = "SELECT event_id AS seq, user_id, CASE WHEN event_id % 97 = 0 THEN 'update' WHEN event_id % 151 = 0 THEN 'remove' ELSE 'add' END AS action, CASE WHEN event_id % 11 <> 0 THEN concat('line ', CAST(event_id AS STRING)) END AS content FROM events WHERE event_id % 5 = 0"
@@ -694,8 +692,6 @@ def q_mark_exposed(d: Data) -> DataFrame:
     return skills.mark_exposed(skill_rows(d), shown).select("id", "use_count", "last_used_at")
 
 
-_CANDIDATE = "SELECT vec_id AS candidate_id, CASE WHEN vec_id % 3 = 0 THEN {0} ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 20 = 1 OR vec_id % 20 = 4"
-
 
 @_query("""WITH c AS (SELECT id + 100000 AS candidate_id, embedding, id % 3 AS m FROM skills WHERE id % 20 IN (1, 4)), s AS (SELECT candidate_id, id, list_cosine_similarity(CAST(skills.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS sim FROM c JOIN skills ON status = 'active'),
  b AS (SELECT candidate_id, id, sim, row_number() OVER (PARTITION BY candidate_id ORDER BY sim DESC, id) AS r FROM s)
@@ -790,5 +786,5 @@ def q_stream_enrich(d: Data) -> DataFrame:
     tag = lambda values: ['{"p_tag": "alpha", "d_tag": ["t"]}' for _ in values]
     embed = lambda values: [[0.5] * 64 for _ in values]
     after, _ = enrich_once(d.mem, d.tags, tag, embed, 64, AS_OF)
-    after = after.where(F.col("updated_at") == NOW)
+    after = after.where(F.col("updated_at") == now())
     return after.select("id", "p_tag_id", "tag_processed", F.size("embedding").alias("dims"), "cold_error")
