@@ -1,37 +1,26 @@
-"""Small pieces that the corpus operators share: inputs, the shared folder, hashing of words, components."""
+"""Small pieces that the corpus operators share: inputs, written tables, hashing of words, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memloom.sources.shared import fresh_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, by a path that only Spark needs to reach."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="spark-memloom-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a fresh local one only where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors, stays columnar and compressed."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/memloom/{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
