@@ -30,16 +30,22 @@ def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def chunks(texts: list[bytes], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about limit bytes together, one text at least: bounds the arrays made from them."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(t) + 1
-    if start < len(texts):
-        yield start, len(texts)
+def encoded(text: str | None) -> bytes:
+    return b"" if text is None else text.encode("utf-8", "surrogatepass")
+
+
+def chunks(texts: pd.Series, limit: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
+    """Consecutive texts in UTF-8, with the place of the first: about limit bytes together, one text at least. Bounds the arrays made from them."""
+    start, size, out = 0, 0, []
+    for text in texts:
+        own = encoded(text)
+        if out and size + len(own) > limit:
+            yield start, out
+            start, size, out = start + len(out), 0, []
+        out.append(own)
+        size += len(own) + 1
+    if out:
+        yield start, out
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -117,10 +123,6 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def encoded(texts: pd.Series) -> list[bytes]:
-    return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id that occurs in edges; component is one id of the component.
 

@@ -60,8 +60,8 @@ def fingerprints(docs: DataFrame, ngram: int = 4, id_col: str = "doc_id", text_c
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
-            for text in encoded(part["text"]):
-                h = shingle_hashes(text, ngram)
+            for text in part["text"]:
+                h = shingle_hashes(encoded(text), ngram)
                 out.append([as_long(majority_bits(mix64(h + x) if i else h)) for i, x in enumerate(odd)])
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "fp": out})
 

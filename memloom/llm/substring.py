@@ -41,9 +41,9 @@ def minimiser_counts(texts: DataFrame, window: int) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows, found = encoded(part["text"]), []
-            for i, j in chunks(rows):
-                _, _, _, hashes, first = words_of(rows[i:j])
+            found = []
+            for _, rows in chunks(part["text"]):
+                _, _, _, hashes, first = words_of(rows)
                 at, place, h = minimisers(hashes, first, window)
                 found.append(h[runs_of(at, place)[0]])
             if found:
@@ -57,9 +57,9 @@ def window_counts(texts: DataFrame, window: int, chosen: Filter) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows, found = encoded(part["text"]), []
-            for i, j in chunks(rows):
-                _, _, _, hashes, first = words_of(rows[i:j])
+            found = []
+            for _, rows in chunks(part["text"]):
+                _, _, _, hashes, first = words_of(rows)
                 at, place, h = minimisers(hashes, first, window)
                 start, end = runs_of(at, place)
                 keep = np.repeat(chosen.has(h[start]), end - start)
@@ -78,13 +78,12 @@ def stretches(texts: DataFrame, window: int, chosen: Filter) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows, ids = encoded(part["text"]), part["doc_id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            rows, ids = [rows[i] for i in order], ids[order]
+            part = part.sort_values("doc_id", kind="stable")
+            ids = part["doc_id"].to_numpy()
             seen: dict[bytes, tuple] = {}
             out = []
-            for i, j in chunks(rows):
-                buf, ws, we, hashes, first = words_of(rows[i:j])
+            for i, rows in chunks(part["text"]):
+                buf, ws, we, hashes, first = words_of(rows)
                 at, place, h = minimisers(hashes, first, window)
                 keep = chosen.has(run_hashes(hashes, window)[at])
                 at, place, h = at[keep], place[keep], h[keep]
@@ -174,34 +173,49 @@ def removed_windows(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     return runs.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256), or with texts=True (doc_id, text, n_words, n_removed) with what is left of the text.
+def dedup_substrings(
+    docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256), or with texts=True (doc_id, text, n_words, n_removed, *carry) with what is left of the text.
 
-    The kept text is the kept words joined by one space; where nothing is removed, `texts` returns the text unchanged.
+    The kept text is the kept words joined by one space; where nothing is removed, `texts` returns the text
+    unchanged. carry: columns of docs that go along, so that no further join has to move the texts.
     """
-    rows = documents_of(docs, id_col, text_col)
+    own = documents_of(docs, id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry) if carry else own
     runs = materialize(removed_windows(docs, window, id_col, text_col))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for doc, text, own in zip(part["doc_id"], part["text"], part["runs"], strict=True):
-                words = (text or "").encode("utf-8", "surrogatepass").split()
+            kept_texts, n_words, n_removed, hashes = [], [], [], []
+            for text, own_runs in zip(part["text"], part["runs"], strict=True):
+                words = encoded(text).split()
                 n, kept = len(words), words
-                if own is not None:
+                if own_runs is not None:
                     gone = np.zeros(n + 1, dtype=np.int64)
-                    for r in own:
+                    for r in own_runs:
                         gone[r["start"]] += 1
                         gone[r["start"] + r["n"] + window - 1] -= 1
                     stay = np.cumsum(gone[:-1]) == 0
                     kept = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
                 left = b" ".join(kept)
+                n_words.append(n)
+                n_removed.append(n - len(kept))
                 if texts:
-                    out.append((doc, text if len(kept) == n else left.decode("utf-8", "surrogatepass"), n, n - len(kept)))
+                    kept_texts.append(text if len(kept) == n else left.decode("utf-8", "surrogatepass"))
                 else:
-                    out.append((doc, n, n - len(kept), hashlib.sha256(left).hexdigest()))
-            names = ["doc_id", "text", "n_words", "n_removed"] if texts else ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
-
-    schema = "doc_id long, text string, n_words long, n_removed long" if texts else "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return rows.join(runs, "doc_id", "left").select("doc_id", "text", "runs").mapInPandas(run, schema)
+                    hashes.append(hashlib.sha256(left).hexdigest())
+            out = pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_words": n_words, "n_removed": n_removed})
+            if texts:
+                out["text"] = kept_texts
+                for c in carry:
+                    out[c] = part[c]
+            else:
+                out["kept_sha256"] = hashes
+            yield out
+
+    if texts:
+        schema = ", ".join(["doc_id long, text string, n_words long, n_removed long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
+    else:
+        schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    return rows.join(runs, "doc_id", "left").mapInPandas(run, schema)

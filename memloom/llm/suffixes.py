@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import chunks, documents_of, encoded, materialize, run_hashes, words_of
+from memloom.llm.common import chunks, documents_of, materialize, run_hashes, words_of
 from memloom.llm.mixing import word_count
 from memloom.llm.repeats import Filter, filter_of, minimisers, repeated
 
@@ -44,9 +44,9 @@ def _suffixes(hashes: np.ndarray, first: np.ndarray, window: int, key: int) -> t
 def suffix_counts(texts: DataFrame, window: int, key: int) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows, found = encoded(part["text"]), []
-            for i, j in chunks(rows):
-                _, _, _, hashes, first = words_of(rows[i:j])
+            found = []
+            for _, rows in chunks(part["text"]):
+                _, _, _, hashes, first = words_of(rows)
                 found.append(_suffixes(hashes, first, window, key)[1])
             if found:
                 h, n = np.unique(np.concatenate(found), return_counts=True)
@@ -64,9 +64,9 @@ def suffixes(texts: DataFrame, window: int, key: int, least: int, chosen: Filter
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows, ids, out, seen = encoded(part["text"]), part["doc_id"].to_numpy(), [], {}
-            for i, j in chunks(rows):
-                _, _, _, hashes, first = words_of(rows[i:j])
+            ids, out, seen = part["doc_id"].to_numpy(), [], {}
+            for i, rows in chunks(part["text"]):
+                _, _, _, hashes, first = words_of(rows)
                 place, h = _suffixes(hashes, first, window, key)
                 some = chosen.has(h)
                 place, h = place[some], h[some]
