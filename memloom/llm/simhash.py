@@ -8,7 +8,8 @@ sorted blocks), and the exact join then looks only across components and only wh
 
 `similar_groups` is for similarities (0.8 of shared shingles) at which a fingerprint differs in about an
 eighth of its bits, where blocks that must agree would be a few bits long. It sorts 256-bit fingerprints
-by many different selections of blocks, and verifies the Hamming distance to the next ones in each order.
+by many different selections of bits for candidates, joins what these leave apart on rare shingles, and
+links a pair only if the shingle sets themselves are as similar.
 
 Null and empty texts have no shingle and fingerprint zero; they are linked like any other. Rows whose id
 is null count as documents of their own fingerprint but never name a component. Repeated rows come back
@@ -27,7 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import connected_components, documents_of, encoded, materialize, mix64
+from memloom.llm.common import chunks, connected_components, documents_of, encoded, materialize, mix64
+from memloom.llm.labelled import BROADCAST_ROWS
+from memloom.llm.repeats import Filter, filter_of, repeated
 
 
 def shingle_hashes(text: bytes, ngram: int) -> np.ndarray:
@@ -141,24 +144,92 @@ def bits_at(similarity: float, bits: int) -> int:
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def _set_of(text: bytes, ngram: int) -> tuple[np.ndarray, np.int64]:
+    """The different shingle hashes of a text in ascending order, and a hash of them that names the set."""
+    h = np.unique(shingle_hashes(text, ngram))
+    return h, np.uint64(xxhash.xxh3_64_intdigest(h.tobytes(), 42)).astype(np.int64)
+
+
+def _common_shingles(texts: DataFrame, ngram: int, part: int = 16, levels: tuple[int, ...] = (2, 32)) -> list[Filter]:
+    """Filters of the shingles that occur `levels` times in one of `part` texts. They only order shingles, rare ones first, which no result depends on."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            for _, some in chunks(rows["text"]):
+                h, n = np.unique(np.concatenate([_set_of(t, ngram)[0] for t in some]), return_counts=True)
+                yield pd.DataFrame({"h": h.view(np.int64), "n": n})
+
+    taken = texts.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0).select("text")
+    counts = taken.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = materialize(counts.where(F.col("n") >= min(levels)))
+    return [filter_of(counts.where(F.col("n") >= n)) for n in levels]
+
+
+def _similar_links(pairs: DataFrame, texts: DataFrame, ids: DataFrame, similarity: float, ngram: int) -> DataFrame:
+    """Those of the pairs (a, b) of sets whose Jaccard similarity is as high; ids: (v, first, whole), a text of each set."""
+
+    def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for part in parts:
+            out = []
+            for a, b, text in part.itertuples(index=False, name=None):
+                if last is not None and last[:2] == (a, b):
+                    x, y = _set_of(encoded(last[2]), ngram)[0], _set_of(encoded(text), ngram)[0]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both / (len(x) + len(y) - both) >= similarity:
+                        out.append((a, b))
+                    last = None
+                else:
+                    last = a, b, text
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("v"))
+    wanted = materialize(ends.select("v").distinct().join(ids.select("v", F.col("first").alias("doc_id"), "whole"), "v"))
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    read = texts.withColumn("whole", F.xxhash64("text")).join(F.broadcast(wanted) if few else wanted, ["doc_id", "whole"])
+    met = ends.join(read.select("v", "text").dropDuplicates(["v"]), "v").select("a", "b", "text")
+    met = met.repartition("a", "b").sortWithinPartitions("a", "b")
+    return materialize(met.mapInPandas(verify, "a long, b long"))
+
+
 def similar_groups(
     docs: DataFrame, similarity: float = 0.8, ngram: int = 5, orders: int = 64, reach: int = 8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, component_id): near-duplicates on word shingles, by 256-bit fingerprints.
-
-    A pair is linked if its fingerprints differ in at most the bits expected at `similarity`, with a
-    tenth more for the spread of the estimate; texts that share nothing differ in about 128 of 256.
-    Each of `orders` sorted tables orders the fingerprints by another choice of their bits and compares
-    each with the next `reach`: work grows with the rows alone, also within one huge group.
+    """(doc_id, component_id): components of all pairs whose sets of word shingles have at least this Jaccard similarity.
+
+    Exact (up to equal 64-bit hashes): every link is verified on the shingle sets, and no pair is missed.
+    First 256-bit fingerprints, sorted by `orders` choices of their bits, are compared with the next
+    `reach` in each; a pair is a candidate within the bits expected at `similarity`. Each component has its
+    closest candidate in another verified, for as long as at least half of these link. Then pairs across
+    components are joined on their first shingles in one order, rare ones first (two such sets share one
+    of the first n - ceil(similarity * n) + 1). All are verified but those whose places of the last shared
+    one leave too few shingles behind it. So the candidates decide what is compared when, not what is found.
     Texts without a word stay alone.
     """
     lanes = 4
-    limit = round(1.1 * bits_at(similarity, 64 * lanes))
+    limit = bits_at(similarity, 64 * lanes)
     rng = np.random.default_rng(7)
     picks = np.stack([rng.permutation(64 * lanes)[:64] for _ in range(orders)])
-    prints = materialize(fingerprints(docs, ngram, id_col, text_col, lanes))
-    words = prints.where(F.exists("fp", lambda x: x != 0))
-    uniq = materialize(words.groupBy("fp").agg(F.min("doc_id").alias("first")).where("first is not null"))
+    odd = [np.uint64(0x9E3779B97F4A7C15 * i & (2**64 - 1)) for i in range(lanes)]
+    texts = documents_of(docs, id_col, text_col)
+    common = _common_shingles(texts, ngram)
+
+    def sketch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for doc_id, text, whole in zip(part["doc_id"].astype("Int64"), part["text"], part["whole"], strict=True):
+                h, v = _set_of(encoded(text), ngram)
+                fp = [as_long(majority_bits(mix64(h + x) if i else h)) for i, x in enumerate(odd)]
+                rank = sum(f.has(h).astype(np.int8) for f in common)
+                first = np.lexsort((h, rank))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+                out.append((doc_id, v, whole, len(h), fp, h[first].view(np.int64)))
+            rows = pd.DataFrame(out, columns=["doc_id", "v", "whole", "n", "fp", "keys"])
+            yield rows.astype({"doc_id": "Int64"})
+
+    prints = materialize(texts.withColumn("whole", F.xxhash64("text")).mapInPandas(sketch, "doc_id long, v long, whole long, n int, fp array<long>, keys array<long>"))
+    words = prints.where("n > 0 and doc_id is not null")
+    uniq = words.groupBy("v").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("whole", "n", "fp", "keys"), "doc_id").alias("s"))
+    uniq = materialize(uniq.select("v", "first", "s.whole", "s.n", "s.fp", "s.keys"))
 
     def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -168,30 +239,86 @@ def similar_groups(
             bits = np.unpackbits(fp.astype(">i8").view(np.uint8).reshape(len(fp), -1), axis=1)
             for i, pick in enumerate(picks):
                 order = np.ascontiguousarray(np.packbits(bits[:, pick], axis=1)).view(">i8")[:, 0].astype(np.int64)
-                yield pd.DataFrame({"number": np.int32(i), "place": order, "fp": list(fp), "first": part["first"]})
+                yield pd.DataFrame({"number": np.int32(i), "place": order, "fp": list(fp), "v": part["v"]})
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, fp, first = np.zeros(0, np.int32), np.zeros((0, lanes), np.int64), np.zeros(0, np.int64)
+        number, fp, v = np.zeros(0, np.int32), np.zeros((0, lanes), np.int64), np.zeros(0, np.int64)
         for part in parts:
             if not len(part):
                 continue
             number = np.concatenate([number, part["number"].to_numpy()])
             fp = np.concatenate([fp, np.stack(part["fp"].to_numpy()).astype(np.int64)])
-            first = np.concatenate([first, part["first"].to_numpy()])
-            x, y = [], []
+            v = np.concatenate([v, part["v"].to_numpy()])
+            x, y, bits = [], [], []
             for s in range(1, min(reach, len(fp) - 1) + 1):
                 apart = np.bitwise_count((fp[s:] ^ fp[:-s]).view(np.uint64)).sum(axis=1)
                 near = (number[s:] == number[:-s]) & (apart <= limit)
-                x.append(first[s:][near])
-                y.append(first[:-s][near])
-            number, fp, first = number[-reach:], fp[-reach:], first[-reach:]
+                x.append(np.minimum(v[s:], v[:-s])[near])
+                y.append(np.maximum(v[s:], v[:-s])[near])
+                bits.append(apart[near])
+            number, fp, v = number[-reach:], fp[-reach:], v[-reach:]
             if x:
-                yield pd.DataFrame({"a": np.concatenate(x), "b": np.concatenate(y)}).drop_duplicates()
-
-    tables = uniq.mapInPandas(spread, "number int, place long, fp array<long>, first long")
-    tables = tables.repartitionByRange("number", "place").sortWithinPartitions("number", "place", "first")
-    comps = connected_components(tables.mapInPandas(compare, "a long, b long"))
-    named = uniq.join(comps, uniq["first"] == comps["id"], "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    named = materialize(named)
-    grouped = prints.join(named, "fp", "left")
+                yield pd.DataFrame({"a": np.concatenate(x), "b": np.concatenate(y), "apart": np.concatenate(bits).astype(np.int32)}).drop_duplicates()
+
+    tables = uniq.select("v", "fp").mapInPandas(spread, "number int, place long, fp array<long>, v long")
+    tables = tables.repartitionByRange("number", "place").sortWithinPartitions("number", "place", "v")
+    near = materialize(tables.mapInPandas(compare, "a long, b long, apart int").distinct())
+
+    def named(links: DataFrame) -> DataFrame:
+        """(v, comp) for each set that has links."""
+        return materialize(connected_components(links).select(F.col("id").alias("v"), F.col("component").alias("comp")))
+
+    def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+        for end in ("a", "b"):
+            comp = comps.select(F.col("v").alias(end), F.col("comp").alias(f"{end}_in"))
+            pairs = pairs.join(comp, end, "left").withColumn(f"{end}_in", F.coalesce(f"{end}_in", end))
+        return pairs.where("a_in <> b_in")
+
+    links = near.select("a", "b").limit(0)
+    comps, left = links.selectExpr("a as v", "b as comp"), near
+    while True:
+        left = materialize(across(left, comps).select("a", "b", "apart", F.greatest("a_in", "b_in").alias("of")))
+        best = left.groupBy("of").agg(F.min(F.struct("apart", "a", "b")).alias("p"))
+        best = materialize(best.select("p.a", "p.b").distinct())
+        found = _similar_links(best, texts, uniq, similarity, ngram)
+        linked, tried = found.count(), best.count()
+        if linked:
+            links = links.union(found)
+            comps = named(links)
+        if 2 * linked < tried or not tried:
+            break
+        left = left.join(best, ["a", "b"], "left_anti").select("a", "b", "apart")
+
+    chosen = filter_of(materialize(repeated(uniq.select(F.explode("keys").alias("h"), F.lit(1).alias("n")))))
+
+    def entries_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if not len(part):
+                continue
+            sizes = part["keys"].map(len).to_numpy()
+            h = np.concatenate(part["keys"].to_numpy()).astype(np.int64)
+            some = chosen.has(h.view(np.uint64))
+            place = np.concatenate([np.arange(n) for n in sizes])
+            yield pd.DataFrame({"h": h[some], "at": place[some], "v": np.repeat(part["v"].to_numpy(), sizes)[some], "n": np.repeat(part["n"].to_numpy(), sizes)[some]})
+
+    entries = uniq.select("v", "n", "keys").mapInPandas(entries_of, "h long, at int, v long, n int")
+    entries = materialize(entries.join(comps, "v", "left").select("h", "at", "v", "n", F.coalesce("comp", "v").alias("comp")))
+    # Of a pair across components, one side lies outside of its key's largest component.
+    held = entries.groupBy("h", "comp").agg(F.count("*").alias("many"))
+    mixed = held.groupBy("h").agg(F.count("*").alias("kinds"), F.max(F.struct("many", "comp")).alias("top")).where("kinds > 1")
+    mixed = materialize(mixed.select("h", F.col("top.comp").alias("top")))
+    own = materialize(entries.join(mixed, "h"))
+    rest = own.where("comp <> top").select("h", *(F.col(c).alias(f"{c}2") for c in ("at", "v", "n", "comp")))
+    alike = F.least("n", "n2") >= (similarity - 1e-9) * F.greatest("n", "n2")
+    pairs = own.join(rest, "h").where(alike & F.expr("comp <> comp2 and (comp = top or v < v2)"))
+    pairs = pairs.groupBy("v", "v2", "n", "n2").agg(F.count("*").alias("both"), F.max("at").alias("at"), F.max("at2").alias("at2"))
+    most = F.col("both") + F.least(F.expr("n - at - 1"), F.expr("n2 - at2 - 1"))
+    pairs = pairs.where(most >= similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-6)
+    pairs = materialize(pairs.select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).distinct())
+    comps = named(links.union(_similar_links(pairs, texts, uniq, similarity, ngram)))
+
+    grouped = uniq.select("v", "first").join(comps, "v", "left").select("v", "first", F.coalesce("comp", "v").alias("comp"))
+    least = grouped.groupBy("comp").agg(F.min("first").alias("component_id"))
+    grouped = materialize(grouped.join(least, "comp").select("v", "component_id"))
+    grouped = prints.select("doc_id", F.when(F.col("n") > 0, F.col("v")).alias("v")).join(grouped, "v", "left")
     return grouped.select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))

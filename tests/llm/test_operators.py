@@ -196,6 +196,25 @@ def test_similar_groups_find_near_copies_and_leave_others(spark, messy):
     assert got[2] == 1 and got[3] == 3 and got[6] == 6 and got[None] is None
 
 
+def test_similar_groups_against_all_pairs_at_the_limit(spark):
+    """Families of one template at 0.5 to 0.9: the nearest places in an order hold others than the true copies."""
+    rng, data = np.random.default_rng(5), []
+    for family in range(3):
+        base = prose(3000 + family, 150, 4000).split()
+        for member in range(110):
+            w = list(base)
+            for at in rng.choice(150, int(rng.integers(2, 12)), replace=False):
+                w[at] = f"own{family}x{member}x{at}"
+            data.append((family * 1000 + member, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in data}
+    ids = sorted(sets)
+    pairs = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    root = union_find(pairs, ids)
+    for orders in (64, 1):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(data, "doc_id long, text string"), orders=orders).collect()}
+        assert got == {i: root[i] for i in ids}
+
+
 # ---- op 4, 8, 10 ------------------------------------------------------------
 
 
