@@ -6,10 +6,10 @@ each pair of blocks and the Hamming distance is verified. Copies are collapsed t
 Links that join what is already one component add nothing, so cheap links come first (neighbours in the
 sorted blocks), and the exact join then looks only across components and only where a bucket holds two.
 
-`similar_groups` is for similarities (0.8 of shared shingles) at which a fingerprint differs in about an
-eighth of its bits, where blocks that must agree would be a few bits long. It sorts 256-bit fingerprints
-by many different selections of bits for candidates, joins what these leave apart on rare shingles, and
-links a pair only if the shingle sets themselves are as similar.
+`similar_groups` is for similarities (0.8 of shared shingles) at which a fingerprint differs in about a
+sixth of its bits, where blocks of which one must agree would be a few bits long and pair everything. There
+blocks of 256-bit fingerprints come first and find what is nearest, pairs that they leave apart are joined
+on rare shingles, and a pair is linked only if the shingle sets themselves are as similar.
 
 Null and empty texts have no shingle and fingerprint zero; they are linked like any other. Rows whose id
 is null count as documents of their own fingerprint but never name a component. Repeated rows come back
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import chunks, connected_components, documents_of, encoded, materialize, mix64
+from memloom.llm.common import chunks, connected_components, documents_of, encoded, materialize, mix64, run_hashes, words_of
 from memloom.llm.labelled import BROADCAST_ROWS
 from memloom.llm.repeats import Filter, filter_of, repeated
 
@@ -144,10 +144,42 @@ def bits_at(similarity: float, bits: int) -> int:
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def _set_of(text: bytes, ngram: int) -> tuple[np.ndarray, np.int64]:
-    """The different shingle hashes of a text in ascending order, and a hash of them that names the set."""
-    h = np.unique(shingle_hashes(text, ngram))
-    return h, np.uint64(xxhash.xxh3_64_intdigest(h.tobytes(), 42)).astype(np.int64)
+def shingle_sets(texts: list[bytes], ngram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the number of its different shingles, and these as 64-bit hashes, ascending within each text, one text after the other.
+
+    A-Z in lower case; a text of fewer than ngram words has one shingle, all of them; one without words has none.
+    """
+    _, _, _, words, first = words_of([t.lower() for t in texts])
+    sizes = np.diff(first)
+    left = np.repeat(first[1:], sizes) - np.arange(len(words))
+    at = np.flatnonzero(left >= ngram)
+    of, h = np.searchsorted(first, at, "right") - 1, run_hashes(words, ngram)[at] if len(at) else np.zeros(0, np.uint64)
+    for k in range(1, ngram):
+        short = np.flatnonzero(sizes == k)
+        if len(short):
+            of, h = np.concatenate([of, short]), np.concatenate([h, run_hashes(words, k)[first[short]]])
+    order = np.lexsort((h, of))
+    of, h = of[order], h[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
+    return np.bincount(of[new], minlength=len(texts)), h[new]
+
+
+def _sets(texts: pd.Series, ngram: int) -> Iterator[np.ndarray]:
+    for _, some in chunks(texts):
+        sizes, h = shingle_sets(some, ngram)
+        yield from np.split(h, np.cumsum(sizes)[:-1])
+
+
+def _wide_prints(sizes: np.ndarray, h: np.ndarray, lanes: int) -> np.ndarray:
+    """A fingerprint of lanes times 64 bits for each text."""
+    out, has = np.zeros((len(sizes), lanes), np.int64), sizes > 0
+    starts = (np.cumsum(sizes) - sizes)[has]
+    for i in range(lanes if len(h) else 0):
+        bits = np.unpackbits(mix64(h + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1))).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        out[has, i] = np.packbits(2 * votes > sizes[has][:, None], axis=1).view(">i8")[:, 0]
+    return out
 
 
 def _common_shingles(texts: DataFrame, ngram: int, part: int = 16, levels: tuple[int, ...] = (2, 32)) -> list[Filter]:
@@ -156,7 +188,7 @@ def _common_shingles(texts: DataFrame, ngram: int, part: int = 16, levels: tuple
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
             for _, some in chunks(rows["text"]):
-                h, n = np.unique(np.concatenate([_set_of(t, ngram)[0] for t in some]), return_counts=True)
+                h, n = np.unique(shingle_sets(some, ngram)[1], return_counts=True)
                 yield pd.DataFrame({"h": h.view(np.int64), "n": n})
 
     taken = texts.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0).select("text")
@@ -165,104 +197,174 @@ def _common_shingles(texts: DataFrame, ngram: int, part: int = 16, levels: tuple
     return [filter_of(counts.where(F.col("n") >= n)) for n in levels]
 
 
+def _texts_of(sets: DataFrame, texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(v, text): a text for each set in sets.v; ids: (v, first, whole), where to find one."""
+    wanted = materialize(sets.select("v").distinct().join(ids.select("v", F.col("first").alias("doc_id"), "whole"), "v"))
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    read = texts.withColumn("whole", F.xxhash64("text")).join(F.broadcast(wanted) if few else wanted, ["doc_id", "whole"])
+    return read.select("v", "text").dropDuplicates(["v"])
+
+
 def _similar_links(pairs: DataFrame, texts: DataFrame, ids: DataFrame, similarity: float, ngram: int) -> DataFrame:
-    """Those of the pairs (a, b) of sets whose Jaccard similarity is as high; ids: (v, first, whole), a text of each set."""
+    """Those of the pairs (a, b) of sets whose Jaccard similarity is as high."""
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
         for part in parts:
             out = []
-            for a, b, text in part.itertuples(index=False, name=None):
+            for a, b, own in zip(part["a"], part["b"], _sets(part["text"], ngram), strict=True):
                 if last is not None and last[:2] == (a, b):
-                    x, y = _set_of(encoded(last[2]), ngram)[0], _set_of(encoded(text), ngram)[0]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both / (len(x) + len(y) - both) >= similarity:
+                    both = len(np.intersect1d(last[2], own, assume_unique=True))
+                    if both / (len(last[2]) + len(own) - both) >= similarity:
                         out.append((a, b))
                     last = None
                 else:
-                    last = a, b, text
+                    last = a, b, own
             yield pd.DataFrame(out, columns=["a", "b"])
 
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("v"))
-    wanted = materialize(ends.select("v").distinct().join(ids.select("v", F.col("first").alias("doc_id"), "whole"), "v"))
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    read = texts.withColumn("whole", F.xxhash64("text")).join(F.broadcast(wanted) if few else wanted, ["doc_id", "whole"])
-    met = ends.join(read.select("v", "text").dropDuplicates(["v"]), "v").select("a", "b", "text")
+    met = ends.join(_texts_of(ends, texts, ids), "v").select("a", "b", "text")
     met = met.repartition("a", "b").sortWithinPartitions("a", "b")
     return materialize(met.mapInPandas(verify, "a long, b long"))
 
 
+def _shared(x: list[np.ndarray], y: list[np.ndarray], step: int = 8192) -> np.ndarray:
+    """How many elements each set of x shares with each of y, over `step` elements at a time."""
+    ax, ay = np.concatenate(x), np.concatenate(y)
+    common = np.intersect1d(ax, ay)
+    rx, ry = np.repeat(np.arange(len(x)), [len(s) for s in x]), np.repeat(np.arange(len(y)), [len(s) for s in y])
+    out = np.zeros((len(x), len(y)), np.float32)
+    for c in range(0, len(common), step):
+        some = common[c : c + step]
+        sides = []
+        for rows, of, size in ((ax, rx, len(x)), (ay, ry, len(y))):
+            at = np.minimum(np.searchsorted(some, rows), len(some) - 1)
+            hit = some[at] == rows
+            m = np.zeros((size, len(some)), np.float32)
+            m[of[hit], at[hit]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _hot_links(own: DataFrame, texts: DataFrame, ids: DataFrame, similarity: float, ngram: int, tile: int = 256) -> DataFrame:
+    """Links (a, b) across components under keys with many sets; own: (h, v, comp, top, held, kept), top being the key's largest component with `kept` of its `held` sets.
+
+    Each key's sets outside of its largest component meet all its sets, dealt into cells of about tile times
+    tile; a cell counts shared shingles by a matrix product and gives spanning links only, so no task holds a
+    whole key and no pair leaves one.
+    """
+
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.assign(set=list(_sets(cell["text"], ngram)))
+        left, right = cell[cell["side"] == 0], cell[cell["side"] == 1]
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            both = _shared(list(left["set"]), list(right["set"]))
+            n, m = (f["set"].map(len).to_numpy() for f in (left, right))
+            near = both / (n[:, None] + m[None, :] - both) >= similarity
+            near &= left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while root.get(x, x) != x:
+                    root[x] = root.get(root[x], root[x])
+                    x = root[x]
+                return x
+
+            for i, j in zip(*np.nonzero(near), strict=True):
+                x, y = find(left["comp"].iat[i]), find(right["comp"].iat[j])
+                if x != y:
+                    root[x] = y
+                    out.append((left["v"].iat[i], right["v"].iat[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(tile))).cast("int")
+    sized = own.withColumns({"across": tiles(F.col("held") - F.col("kept")), "down": tiles(F.col("held"))})
+    dealt = lambda n, seed: F.pmod(F.xxhash64("v", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = sized.where("comp <> top").select("h", dealt("across", 1).alias("i"), every("down").alias("j"), "v", "comp", F.lit(0).alias("side"))
+    inner = sized.select("h", every("across").alias("i"), dealt("down", 2).alias("j"), "v", "comp", F.lit(1).alias("side"))
+    found = materialize(_texts_of(own, texts, ids))
+    cells = outer.union(inner).join(found, "v").groupBy("h", "i", "j").applyInPandas(compare, "a long, b long")
+    return materialize(cells.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def similar_groups(
-    docs: DataFrame, similarity: float = 0.8, ngram: int = 5, orders: int = 64, reach: int = 8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, similarity: float = 0.8, ngram: int = 5, reach: int = 4, small: int = 32, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, component_id): components of all pairs whose sets of word shingles have at least this Jaccard similarity.
 
     Exact (up to equal 64-bit hashes): every link is verified on the shingle sets, and no pair is missed.
-    First 256-bit fingerprints, sorted by `orders` choices of their bits, are compared with the next
-    `reach` in each; a pair is a candidate within the bits expected at `similarity`. Each component has its
-    closest candidate in another verified, for as long as at least half of these link. Then pairs across
-    components are joined on their first shingles in one order, rare ones first (two such sets share one
-    of the first n - ceil(similarity * n) + 1). All are verified but those whose places of the last shared
-    one leave too few shingles behind it. So the candidates decide what is compared when, not what is found.
-    Texts without a word stay alone.
+    First pass, pigeonhole blocks: 256-bit fingerprints are split into 16 blocks; under each block they are
+    sorted, and each takes the nearest of the `reach` before it that share the block, within the bits that
+    differ at `similarity`; of all blocks each fingerprint keeps its nearest. Each component has its closest
+    candidate in another verified, for as long as at least half of these link. Blocks find all but surely
+    what is very near, so this collapses large groups of copies; at 0.8 itself a pair shares a block in seven
+    of ten cases only. Second pass, what that leaves: pairs across components are joined on their first
+    shingles in one order, rare ones first (two such sets share one of the first n - ceil(similarity * n) + 1),
+    and verified, but for those whose places of the last shared one leave too few shingles behind it. Keys
+    with over `small` sets are compared in cells (see _hot_links).
+
+    Texts without a word (null, empty, blank) and rows without an id stay alone (component_id null for the
+    latter). Rows that repeat an id count as that document. Of a group the smallest id names it; ties have no
+    part in it. An empty table gives an empty result; other columns are not read.
     """
-    lanes = 4
+    lanes, blocks = 4, 16
     limit = bits_at(similarity, 64 * lanes)
-    rng = np.random.default_rng(7)
-    picks = np.stack([rng.permutation(64 * lanes)[:64] for _ in range(orders)])
-    odd = [np.uint64(0x9E3779B97F4A7C15 * i & (2**64 - 1)) for i in range(lanes)]
     texts = documents_of(docs, id_col, text_col)
     common = _common_shingles(texts, ngram)
 
     def sketch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for doc_id, text, whole in zip(part["doc_id"].astype("Int64"), part["text"], part["whole"], strict=True):
-                h, v = _set_of(encoded(text), ngram)
-                fp = [as_long(majority_bits(mix64(h + x) if i else h)) for i, x in enumerate(odd)]
-                rank = sum(f.has(h).astype(np.int8) for f in common)
-                first = np.lexsort((h, rank))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
-                out.append((doc_id, v, whole, len(h), fp, h[first].view(np.int64)))
-            rows = pd.DataFrame(out, columns=["doc_id", "v", "whole", "n", "fp", "keys"])
-            yield rows.astype({"doc_id": "Int64"})
+            for i, some in chunks(part["text"]):
+                sizes, h = shingle_sets(some, ngram)
+                prints = _wide_prints(sizes, h, lanes)
+                starts = np.cumsum(sizes) - sizes
+                rank = np.sum([f.has(h) for f in common], axis=0, dtype=np.int8)
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                ordered = h[np.lexsort((h, rank, of))].view(np.int64)
+                first = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + (sizes > 0)
+                names = [np.uint64(xxhash.xxh3_64_intdigest(h[s : s + n].tobytes(), 42)).astype(np.int64) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+                own = part.iloc[i : i + len(some)]
+                yield pd.DataFrame({
+                    "doc_id": own["doc_id"].astype("Int64"), "v": names, "whole": own["whole"], "n": sizes.astype(np.int32), "fp": list(prints),
+                    "keys": [ordered[s : s + k] for s, k in zip(starts.tolist(), first.tolist(), strict=True)],
+                })
 
     prints = materialize(texts.withColumn("whole", F.xxhash64("text")).mapInPandas(sketch, "doc_id long, v long, whole long, n int, fp array<long>, keys array<long>"))
     words = prints.where("n > 0 and doc_id is not null")
     uniq = words.groupBy("v").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("whole", "n", "fp", "keys"), "doc_id").alias("s"))
     uniq = materialize(uniq.select("v", "first", "s.whole", "s.n", "s.fp", "s.keys"))
 
-    def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if not len(part):
-                continue
-            fp = np.stack(part["fp"].to_numpy()).astype(np.int64)
-            bits = np.unpackbits(fp.astype(">i8").view(np.uint8).reshape(len(fp), -1), axis=1)
-            for i, pick in enumerate(picks):
-                order = np.ascontiguousarray(np.packbits(bits[:, pick], axis=1)).view(">i8")[:, 0].astype(np.int64)
-                yield pd.DataFrame({"number": np.int32(i), "place": order, "fp": list(fp), "v": part["v"]})
-
-    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, fp, v = np.zeros(0, np.int32), np.zeros((0, lanes), np.int64), np.zeros(0, np.int64)
+    def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, fp, v = np.zeros(0, np.int64), np.zeros((0, lanes), np.int64), np.zeros(0, np.int64)
         for part in parts:
             if not len(part):
                 continue
-            number = np.concatenate([number, part["number"].to_numpy()])
+            old = len(v)
+            block = np.concatenate([block, part["number"].to_numpy() << 16 | (part["place"].to_numpy() >> 48) & 0xFFFF])
             fp = np.concatenate([fp, np.stack(part["fp"].to_numpy()).astype(np.int64)])
             v = np.concatenate([v, part["v"].to_numpy()])
-            x, y, bits = [], [], []
-            for s in range(1, min(reach, len(fp) - 1) + 1):
+            best, to = np.full(len(v), limit + 1), np.full(len(v), -1)
+            for s in range(1, min(reach, len(v) - 1) + 1):
                 apart = np.bitwise_count((fp[s:] ^ fp[:-s]).view(np.uint64)).sum(axis=1)
-                near = (number[s:] == number[:-s]) & (apart <= limit)
-                x.append(np.minimum(v[s:], v[:-s])[near])
-                y.append(np.maximum(v[s:], v[:-s])[near])
-                bits.append(apart[near])
-            number, fp, v = number[-reach:], fp[-reach:], v[-reach:]
-            if x:
-                yield pd.DataFrame({"a": np.concatenate(x), "b": np.concatenate(y), "apart": np.concatenate(bits).astype(np.int32)}).drop_duplicates()
-
-    tables = uniq.select("v", "fp").mapInPandas(spread, "number int, place long, fp array<long>, v long")
+                closer = np.flatnonzero((block[s:] == block[:-s]) & (apart < best[s:]))
+                best[closer + s], to[closer + s] = apart[closer], closer
+            own = np.flatnonzero(to >= 0)
+            own = own[own >= old]
+            yield pd.DataFrame({"v": v[own], "w": v[to[own]], "apart": best[own].astype(np.int32)})
+            block, fp, v = block[-reach:], fp[-reach:], v[-reach:]
+
+    lane = lambda i: F.col("fp")[i % lanes]
+    places = [
+        lane(q) if not r else F.shiftleft(lane(q), r).bitwiseOR(F.shiftrightunsigned(lane(q + 1), 64 - r))
+        for q, r in (divmod(64 * lanes // blocks * i, 64) for i in range(blocks))
+    ]
+    tables = uniq.select("v", "fp", F.posexplode(F.array(*places)).alias("number", "place"))
     tables = tables.repartitionByRange("number", "place").sortWithinPartitions("number", "place", "v")
-    near = materialize(tables.mapInPandas(compare, "a long, b long, apart int").distinct())
+    near = tables.mapInPandas(nearest, "v long, w long, apart int").groupBy("v").agg(F.min(F.struct("apart", "w")).alias("to"))
+    near = materialize(near.select(F.least("v", "to.w").alias("a"), F.greatest("v", "to.w").alias("b"), "to.apart").distinct())
 
     def named(links: DataFrame) -> DataFrame:
         """(v, comp) for each set that has links."""
@@ -280,12 +382,15 @@ def similar_groups(
         left = materialize(across(left, comps).select("a", "b", "apart", F.greatest("a_in", "b_in").alias("of")))
         best = left.groupBy("of").agg(F.min(F.struct("apart", "a", "b")).alias("p"))
         best = materialize(best.select("p.a", "p.b").distinct())
+        tried = best.count()
+        if not tried:
+            break
         found = _similar_links(best, texts, uniq, similarity, ngram)
-        linked, tried = found.count(), best.count()
+        linked = found.count()
         if linked:
             links = links.union(found)
             comps = named(links)
-        if 2 * linked < tried or not tried:
+        if 2 * linked < tried:
             break
         left = left.join(best, ["a", "b"], "left_anti").select("a", "b", "apart")
 
@@ -304,10 +409,11 @@ def similar_groups(
     entries = uniq.select("v", "n", "keys").mapInPandas(entries_of, "h long, at int, v long, n int")
     entries = materialize(entries.join(comps, "v", "left").select("h", "at", "v", "n", F.coalesce("comp", "v").alias("comp")))
     # Of a pair across components, one side lies outside of its key's largest component.
-    held = entries.groupBy("h", "comp").agg(F.count("*").alias("many"))
-    mixed = held.groupBy("h").agg(F.count("*").alias("kinds"), F.max(F.struct("many", "comp")).alias("top")).where("kinds > 1")
-    mixed = materialize(mixed.select("h", F.col("top.comp").alias("top")))
-    own = materialize(entries.join(mixed, "h"))
+    parts = entries.groupBy("h", "comp").agg(F.count("*").alias("many"))
+    mixed = parts.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("many").alias("held"), F.max(F.struct("many", "comp")).alias("top")).where("kinds > 1")
+    mixed = materialize(mixed.select("h", "held", F.col("top.comp").alias("top"), F.col("top.many").alias("kept")))
+    every = materialize(entries.join(mixed, "h"))
+    own = every.where(F.col("held") <= small)
     rest = own.where("comp <> top").select("h", *(F.col(c).alias(f"{c}2") for c in ("at", "v", "n", "comp")))
     alike = F.least("n", "n2") >= (similarity - 1e-9) * F.greatest("n", "n2")
     pairs = own.join(rest, "h").where(alike & F.expr("comp <> comp2 and (comp = top or v < v2)"))
@@ -315,10 +421,14 @@ def similar_groups(
     most = F.col("both") + F.least(F.expr("n - at - 1"), F.expr("n2 - at2 - 1"))
     pairs = pairs.where(most >= similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-6)
     pairs = materialize(pairs.select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).distinct())
-    comps = named(links.union(_similar_links(pairs, texts, uniq, similarity, ngram)))
+    links = links.union(_similar_links(pairs, texts, uniq, similarity, ngram))
+    hot = every.where(F.col("held") > small).select("h", "v", "comp", "top", "held", "kept")
+    if not hot.isEmpty():
+        links = links.union(_hot_links(hot, texts, uniq, similarity, ngram))
+    comps = named(links)
 
     grouped = uniq.select("v", "first").join(comps, "v", "left").select("v", "first", F.coalesce("comp", "v").alias("comp"))
     least = grouped.groupBy("comp").agg(F.min("first").alias("component_id"))
     grouped = materialize(grouped.join(least, "comp").select("v", "component_id"))
     grouped = prints.select("doc_id", F.when(F.col("n") > 0, F.col("v")).alias("v")).join(grouped, "v", "left")
-    return grouped.select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return grouped.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -210,8 +210,8 @@ def test_similar_groups_against_all_pairs_at_the_limit(spark):
     ids = sorted(sets)
     pairs = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
     root = union_find(pairs, ids)
-    for orders in (64, 1):
-        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(data, "doc_id long, text string"), orders=orders).collect()}
+    for small in (32, 1):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(data, "doc_id long, text string"), small=small).collect()}
         assert got == {i: root[i] for i in ids}
 
 
