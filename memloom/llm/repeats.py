@@ -13,21 +13,26 @@ GRAM = 4
 _AT = np.uint64((1 << 24) - 1)
 
 
-def minimisers(hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def minimisers(hashes: np.ndarray, first: np.ndarray, window: int, block: int = 1 << 23) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each window of so many words within one text: its first word, the place of its minimiser, and that one's hash.
 
     The minimiser is the run of GRAM words with the smallest hash (the leftmost at a tie): a choice that
-    depends on the window's content alone, so that equal windows choose alike. first: see words_of.
+    depends on the window's content alone, so that equal windows choose alike. first: see words_of. Places
+    are kept in the low 24 bits within overlapping blocks, so texts may be of any length.
     """
     grams = run_hashes(hashes, GRAM)
     span = window - GRAM + 1
     if len(grams) < span:
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64)
-    least = sliding_min((grams & ~_AT) | np.arange(len(grams), dtype=np.uint64), span)
-    left = np.repeat(first[1:], np.diff(first))[: len(least)] - np.arange(len(least))
+    places = np.empty(len(grams) - span + 1, dtype=np.int64)
+    for b in range(0, len(places), block):
+        part = grams[b : b + block + span - 1]
+        least = sliding_min((part & ~_AT) | np.arange(len(part), dtype=np.uint64), span)
+        places[b : b + len(least)] = b + (least & _AT).astype(np.int64)
+    left = np.repeat(first[1:], np.diff(first))[: len(places)] - np.arange(len(places))
     at = np.flatnonzero(left >= window)
-    place = (least[at] & _AT).astype(np.int64)
+    place = places[at]
     return at, place, grams[place]
 
 

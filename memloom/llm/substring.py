@@ -4,9 +4,10 @@ A window of `window` words that occurs twice must meet its other occurrence. Win
 their minimiser (the run of four words in them with the smallest hash), so equal windows meet in one shard
 and no document has to be searched in every shard. Two counts (of minimisers, then of windows under repeated
 ones) leave what can repeat at all; filters of bounded size carry them back to the texts, and let a few
-others through, never too few. The stretches of words that remain are put into one FM-index for each shard
-and streamed against it: matching statistics tell where a window of full length also starts earlier.
-Equal stretches are collapsed before the shuffle and again in the sorted shard, so copies cost one row each.
+others through, never too few. Of the stretches of words that remain the different ones are put into one
+compressed FM-index for each shard, and all are streamed against it: matching statistics give the interval
+of each window, and its first suffix the earliest occurrence, which decides for every document that holds
+the stretch. Equal stretches of a batch travel as one row with the list of their places.
 
 A null text has no words; words are runs of bytes other than 0x20 and 0x09-0x0D, unchanged. "Earlier" is a
 smaller doc_id, or an earlier start in the same document; rows that repeat an id and text are the same
@@ -20,14 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm.common import chunks, documents_of, encoded, materialize, run_hashes, words_of
 from memloom.llm.fmindex import FMIndex
+from memloom.llm.labelled import BROADCAST_ROWS
 from memloom.llm.repeats import Filter, filter_of, minimisers, repeated, runs_of
 
-#: Words of a shard's index, about; a minimiser's stretches are never split.
+#: Words of an index, about: shards are put together up to that size.
 SHARD_WORDS = 150_000
 
 
@@ -71,17 +74,16 @@ def window_counts(texts: DataFrame, window: int, chosen: Filter) -> DataFrame:
 
 
 def stretches(texts: DataFrame, window: int, chosen: Filter) -> DataFrame:
-    """(shard, doc_id, start, n, words): runs of n windows that may repeat, under one minimiser.
+    """(shard, key, words, doc_id, start, members): runs of windows that may repeat, under one minimiser.
 
-    Of equal runs in a batch only the earliest keeps its words; the others are known to start later.
+    A row holds the equal runs of a batch: key is a hash of their words, members (doc_id, start) where they
+    are, doc_id and start the first of these.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            part = part.sort_values("doc_id", kind="stable")
             ids = part["doc_id"].to_numpy()
-            seen: dict[bytes, tuple] = {}
-            out = []
+            seen: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
             for i, rows in chunks(part["text"]):
                 buf, ws, we, hashes, first = words_of(rows)
                 at, place, h = minimisers(hashes, first, window)
@@ -93,84 +95,116 @@ def stretches(texts: DataFrame, window: int, chosen: Filter) -> DataFrame:
                 raw = buf.tobytes()
                 bounds = zip(ws[a].tolist(), we[a + n + window - 2].tolist(), strict=True)
                 words = [b" ".join(raw[s:e].split()) for s, e in bounds]
-                for row in zip(h[start].view(np.int64).tolist(), ids[i + doc].tolist(), (a - first[doc]).tolist(), n.tolist(), words, strict=True):
-                    key = row[4]
-                    if key in seen and seen[key] != row[1:3]:
-                        out.append((*row[:4], None))
-                    elif key not in seen:
-                        seen[key] = row[1:3]
-                        out.append(row)
-            yield pd.DataFrame(out, columns=["shard", "doc_id", "start", "n", "words"])
-
-    return texts.mapInPandas(run, "shard long, doc_id long, start long, n long, words binary")
-
-
-def shard_removals(rows: list[tuple[int, int, int, bytes]], window: int) -> list[tuple[int, int, int]]:
-    """(doc_id, start, n) runs of windows that also start earlier; rows: (doc_id, start, n, words), all different in words."""
-    rows = sorted(rows)
-    split = [r[3].split(b" ") for r in rows]
+                for shard, w, own, s in zip(h[start].view(np.int64).tolist(), words, ids[i + doc].tolist(), (a - first[doc]).tolist(), strict=True):
+                    seen.setdefault((shard, w), []).append((own, s))
+            out = [(k[0], xxhash.xxh3_64_intdigest(k[1], 6) - (1 << 63), k[1], *min(m), m) for k, m in seen.items()]
+            yield pd.DataFrame(out, columns=["shard", "key", "words", "doc_id", "start", "members"])
+
+    return texts.mapInPandas(run, "shard long, key long, words binary, doc_id long, start long, members array<struct<doc_id: long, start: long>>")
+
+
+def search_shard(rows: list[tuple[int, int, bytes]], window: int) -> list[list[tuple[int, int, int, int]]]:
+    """For each of the rows (doc_id, start, words), all different in words: runs (at, n, doc_id, start) of its windows and where these start first.
+
+    The rows are indexed in the order of doc_id and start, and each is streamed against the index: an
+    interval of full depth gives the earliest occurrence of the window that it belongs to.
+    """
+    order = sorted(range(len(rows)), key=lambda i: rows[i][:2])
+    split = [rows[i][2].split(b" ") for i in order]
     symbol = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for x in split for w in x))}
     texts = [np.array([symbol[w] for w in x], dtype=np.int64) for x in split]
     index = FMIndex(texts, len(symbol) + 1, window)
-    length, low, _ = index.matching_statistics(texts)
-    group, first, _ = index.bounds(window)
-    earliest = np.minimum.reduceat(index.order, first)
-    lengths = np.array([len(t) for t in texts])
-    own = np.repeat(index.starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-    again = (length >= window) & (earliest[group[low]] < own)
-    out, at = [], 0
-    for (doc, start, n, _), size in zip(rows, lengths.tolist(), strict=True):
-        flags = np.flatnonzero(np.diff(np.concatenate([[0], again[at : at + n].astype(np.int8), [0]])))
-        out += [(doc, start + s, e - s) for s, e in zip(flags[::2].tolist(), flags[1::2].tolist(), strict=True)]
-        at += size
+    length, found = index.matching_statistics(texts)
+    docs, starts = (np.array([rows[i][c] for i in order], dtype=np.int64) for c in (0, 1))
+    of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    at = np.arange(len(of)) - np.searchsorted(of, of)
+    hit = np.flatnonzero(length >= window)
+    owner = np.searchsorted(index.starts, found[hit], "right") - 1
+    of, at, doc, start = of[hit], at[hit], docs[owner], starts[owner] + found[hit] - index.starts[owner]
+    new = np.ones(len(hit), dtype=bool)
+    new[1:] = (np.diff(of) != 0) | (np.diff(at) != 1) | (np.diff(doc) != 0) | (np.diff(start) != 1)
+    head = np.flatnonzero(new)
+    size = np.diff(np.concatenate([head, [len(hit)]]))
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in rows]
+    for i, a, n, d, s in zip(of[head].tolist(), at[head].tolist(), size.tolist(), doc[head].tolist(), start[head].tolist(), strict=True):
+        out[order[i]].append((a, n, d, s))
     return out
 
 
-def removals(dealt: DataFrame, window: int) -> DataFrame:
-    """Runs of windows that start earlier elsewhere, from stretches with words; one FM-index for each few minimisers."""
+def earliest_runs(dealt: DataFrame, window: int) -> DataFrame:
+    """(key, at, n, first_doc, first_start): for n windows from `at` on in the stretches with this key, where the first of them starts first; one FM-index for each few shards.
+
+    dealt: (shard, key, offset, words, doc_id, start, many). Stretches that occur once and start first themselves give no row.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting, size, shard, last, out = [], 0, None, None, []
+        waiting: list[tuple[int, int, bytes]] = []
+        owners: list[dict[tuple[int, int], int]] = []
+        size, shard = 0, None
 
-        def close() -> None:
+        def close() -> list[tuple]:
             nonlocal size
-            if len(waiting) > 0:
-                out.extend(shard_removals(waiting, window))
+            out = []
+            for row, keys, runs in zip(waiting, owners, search_shard(waiting, window) if waiting else [], strict=True):
+                alone = sum(keys.values()) == 1
+                for (key, offset) in keys:
+                    out += [(key, offset + at, n, d, s) for at, n, d, s in runs if not alone or (d, s) != (row[0], row[1] + at)]
             waiting.clear()
+            owners.clear()
             size = 0
+            return out
 
         for part in parts:
-            for s, doc, start, n, words in part.itertuples(index=False):
+            out = []
+            for s, key, offset, words, doc, start, many in part.itertuples(index=False, name=None):
                 if s != shard:
                     if size > SHARD_WORDS:
-                        close()
-                    shard, last = s, None
-                if words == last:
-                    out.append((doc, start, n))  # sorted: the first of equal ones is the earliest
+                        out += close()
+                    shard = s
+                    waiting_from = len(waiting)
+                if len(waiting) > waiting_from and waiting[-1][2] == words:  # sorted: the first of equal ones is the earliest
+                    owners[-1][key, offset] = owners[-1].get((key, offset), 0) + many
                     continue
-                last = words
-                waiting.append((doc, start, n, words))
-                size += n + window
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "start", "n"])
-                out = []
-        close()
-        if out:
-            yield pd.DataFrame(out, columns=["doc_id", "start", "n"])
+                waiting.append((doc, start, words))
+                owners.append({(key, offset): many})
+                size += words.count(b" ") + 1
+            yield pd.DataFrame(out, columns=["key", "at", "n", "first_doc", "first_start"])
+        yield pd.DataFrame(close(), columns=["key", "at", "n", "first_doc", "first_start"])
 
     sorted_ = dealt.repartition("shard").sortWithinPartitions("shard", "words", "doc_id", "start")
-    return sorted_.select("shard", "doc_id", "start", "n", "words").mapInPandas(run, "doc_id long, start long, n long")
+    return sorted_.select("shard", "key", "offset", "words", "doc_id", "start", "many").mapInPandas(run, "key long, at long, n long, first_doc long, first_start long")
+
 
+def single_windows(rows: DataFrame, window: int) -> DataFrame:
+    """Stretches cut into their windows, each a shard of its own content."""
+    cut = F.expr(f"transform(sequence(0, size(split(w, ' ')) - {window}), i -> struct(i as i, array_join(slice(split(w, ' '), i + 1, {window}), ' ') as w))")
+    # Bytes pass through Latin-1, which keeps each of them.
+    each = rows.withColumn("w", F.decode("words", "ISO-8859-1")).select("key", "offset", "doc_id", "start", "many", F.explode(cut).alias("c"))
+    return each.select(
+        F.xxhash64("c.w").alias("shard"), "key", (F.col("offset") + F.col("c.i")).alias("offset"), F.encode("c.w", "ISO-8859-1").alias("words"), "doc_id", (F.col("start") + F.col("c.i")).alias("start"), "many",
+    )
 
-def removed_windows(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, runs array<struct<start, n>>): runs of n windows from word `start` on whose words also start earlier."""
+
+def removed_windows(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", most: int = 20_000) -> DataFrame:
+    """(doc_id, runs array<struct<start, n>>): runs of n windows from word `start` on whose words also start earlier.
+
+    A minimiser with over `most` rows of stretches is not searched as one shard: its windows are dealt by
+    their own content, which finds the same.
+    """
     texts = documents_of(docs, id_col, text_col).where("doc_id is not null")
     first = filter_of(materialize(repeated(minimiser_counts(texts, window))))
     second = filter_of(materialize(repeated(window_counts(texts, window, first))))
     found = materialize(stretches(texts, window, second))
-    later = found.where("words is null").select("doc_id", "start", "n")
-    runs = removals(found.where("words is not null"), window).union(later)
-    return runs.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
+    rows = found.select("shard", "key", F.lit(0).cast("long").alias("offset"), "words", "doc_id", "start", F.size("members").alias("many"))
+    hot = materialize(rows.groupBy("shard").count().where(F.col("count") > most).select("shard"))
+    many = hot.limit(BROADCAST_ROWS + 1).count()
+    if many:
+        side = F.broadcast(hot) if many <= BROADCAST_ROWS else hot
+        rows = rows.join(side, "shard", "left_anti").unionByName(single_windows(rows.join(side, "shard", "left_semi"), window))
+    known = materialize(earliest_runs(rows, window))
+    met = found.select("key", "members").join(known, "key").select("at", "n", "first_doc", "first_start", F.explode("members").alias("m"))
+    later = met.where("first_doc < m.doc_id or first_doc = m.doc_id and first_start < m.start + at")
+    return later.groupBy(F.col("m.doc_id").alias("doc_id")).agg(F.collect_set(F.struct((F.col("m.start") + F.col("at")).alias("start"), "n")).alias("runs"))
 
 
 def dedup_substrings(

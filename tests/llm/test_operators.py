@@ -337,6 +337,10 @@ def test_substrings_against_a_dictionary_of_windows(spark, messy, empty):
     docs = {i: " ".join(rng.choice(["x", "y", "z"], rng.integers(0, 120))) for i in range(80)}
     small = substring.dedup_substrings(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), window=8)
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in small.collect()} == plain_removed(docs, 8)
+    cut = substring.removed_windows(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), window=8, most=3)
+    whole = substring.removed_windows(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), window=8)
+    spread = lambda df: {(r["doc_id"], x["start"] + i) for r in df.collect() for x in r["runs"] for i in range(x["n"])}
+    assert spread(cut) == spread(whole) != set()
     assert substring.dedup_substrings(empty).count() == 0
     left = {r["doc_id"]: r["text"] for r in substring.dedup_substrings(messy, texts=True).collect()}
     assert left[6] == "  \n\t " and left[2] == ""
@@ -348,18 +352,34 @@ def test_matching_statistics_against_search():
         sigma, depth = int(rng.integers(2, 6)), int(rng.integers(2, 9))
         own = [rng.integers(1, sigma + 1, rng.integers(1, 60)) for _ in range(4)]
         asked = [np.where((q := rng.integers(0, sigma + 1, rng.integers(1, 40))) == 0, -1, q) for _ in range(3)]
-        length, low, high = fmindex.FMIndex(own, sigma + 1, depth).matching_statistics(asked)
+        index = fmindex.FMIndex(own, sigma + 1, depth)
+        length, found = index.matching_statistics(asked)
         at = 0
         for q in asked:
             for i in range(len(q)):
-                hits = lambda n, q=q, i=i: sum((t[x : x + n] == q[i : i + n]).all() for t in own for x in range(len(t) - n + 1))
+                hits = lambda n, q=q, i=i: [s + x for s, t in zip(index.starts, own, strict=True) for x in range(len(t) - n + 1) if (t[x : x + n] == q[i : i + n]).all()]
                 best = 0
                 while best < min(depth, len(q) - i) and hits(best + 1):
                     best += 1
-                assert length[at] == best and (not best or high[at] - low[at] == hits(best))
+                assert length[at] == best and found[at] == (min(hits(best)) if best == depth else -1)
                 at += 1
 
 
+def test_the_index_decides_what_is_removed(monkeypatch):
+    rows = [(1, 0, b"a b c d e f"), (2, 5, b"x b c d e"), (3, 0, b"b c d e q")]
+    got = substring.search_shard(rows, 4)
+    assert got == [[(0, 3, 1, 0)], [(0, 1, 2, 5), (1, 1, 1, 1)], [(0, 1, 1, 1), (1, 1, 3, 1)]]
+    monkeypatch.setattr(fmindex.FMIndex, "step", lambda self, symbol, low, high: (low, low))
+    assert substring.search_shard(rows, 4) == [[], [], []]
+
+
+def test_minimisers_in_blocks():
+    h = np.random.default_rng(4).integers(0, 9, 5000).astype(np.uint64)
+    first = np.array([0, 1200, 1210, 5000])
+    whole, cut = repeats.minimisers(h, first, 20), repeats.minimisers(h, first, 20, block=100)
+    assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
+
+
 def test_filter_misses_nothing_and_can_be_left_out(spark):
     h = np.random.default_rng(2).integers(-(2**63), 2**63, 5000)
     f = repeats.filter_of(spark.createDataFrame([(int(x),) for x in h], "h long"))
