@@ -102,39 +102,89 @@ def test_merkle_locates_edits():
 # ---- op 2 -------------------------------------------------------------------
 
 
-def test_budgets_share_shortages_with_siblings_first():
+def plain_budgets(tokens, weights, budget, max_epochs):
+    """Down the tree: whoever is full first keeps that, its siblings share the rest by weight."""
+    out = {}
+
+    def down(node, amount):
+        if node in tokens:
+            out[node] = int(amount + 1e-6)
+            return
+        below = sorted({k[: len(node) + 1] for k in tokens if k[: len(node)] == node})
+        room = {c: max_epochs * sum(n for k, n in tokens.items() if k[: len(c)] == c) for c in below}
+        weight, own, left = {c: weights.get(c, 1.0) for c in below}, dict.fromkeys(below, 0.0), amount
+        live = [c for c in below if room[c] > 0]
+        while live:
+            per = left / sum(weight[c] for c in live)
+            full = [c for c in live if per * weight[c] >= room[c]]
+            own.update({c: room[c] for c in full} if full else {c: per * weight[c] for c in live})
+            left -= sum(room[c] for c in full)
+            live = [c for c in live if c not in full] if full else []
+        for c in below:
+            down(c, own[c])
+
+    if tokens:
+        down((), min(budget, max_epochs * sum(tokens.values())))
+    return out
+
+
+def test_budgets_share_shortages_with_siblings_first(spark):
+    def spread(tokens, weights, share, epochs):
+        leaves = spark.createDataFrame([(*k, n) for k, n in tokens.items()], "domain string, lang string, source string, tokens long")
+        return {tuple(r)[:3]: r["quota"] for r in mixing.budgets(leaves, weights, share, epochs).collect()}
+
     tokens = {("web", "en", "a"): 100, ("web", "en", "b"): 1000, ("web", "de", "c"): 1000, ("books", "en", "d"): 1000}
-    got = mixing.budgets(tokens, {("web",): 3.0}, 1600, 1.0)
+    got = spread(tokens, {("web",): 3.0}, 1600 / 3100, 1.0)
     # web gets 1200, half of it each for en and de; a takes 100 of its 300 and leaves 200 to b, not to de
     assert got == {("web", "en", "a"): 100, ("web", "en", "b"): 500, ("web", "de", "c"): 600, ("books", "en", "d"): 400}
-    short = mixing.budgets({("x", "p", "1"): 10, ("x", "q", "2"): 50, ("y", "r", "3"): 500}, {}, 300, 1.0)
-    assert short == {("x", "p", "1"): 10, ("x", "q", "2"): 50, ("y", "r", "3"): 240}
-    assert mixing.budgets({}, {}, 10, 1.0) == {}
+    assert spread({("x", "p", "1"): 10, ("x", "q", "2"): 50, ("y", "r", "3"): 500}, {}, 300 / 560, 1.0) == {("x", "p", "1"): 10, ("x", "q", "2"): 50, ("y", "r", "3"): 240}
+    assert spread({}, {}, 0.5, 1.0) == {}
+    rng = np.random.default_rng(5)
+    many = {(f"d{a}", f"l{b}", f"s{c}"): int(rng.integers(0, 900)) for a in range(3) for b in range(3) for c in range(7)}
+    weights = {("d1",): 4.0, ("d1", "l2"): 0.5, ("d2", "l0", "s3"): 9.0}
+    for share, epochs in ((0.3, 1.0), (0.9, 2.0), (3.0, 1.5)):
+        assert spread(many, weights, share, epochs) == plain_budgets(many, weights, share * sum(many.values()), epochs)
 
 
 def test_mix_takes_prefixes_of_seeded_orders(spark, messy, empty):
     docs = spark.createDataFrame([(i, prose(i, 5 + i % 40), "en" if i % 3 else "de", "s1" if i % 2 else "s2") for i in range(2000)], "doc_id long, text string, lang string, source string")
     got = mixing.mix(docs, {("all", "de"): 4.0}, share=0.6, max_epochs=2.0).collect()
     n = {r["doc_id"]: 5 + r["doc_id"] % 40 for r in docs.collect()}
-    total = sum(n.values())
+    leaf_of = lambda i: ("all", "en" if i % 3 else "de", "s1" if i % 2 else "s2")
     own = collections.Counter()
     for i in range(2000):
-        own["all", "en" if i % 3 else "de", "s1" if i % 2 else "s2"] += n[i]
-    quota = mixing.budgets(own, {("all", "de"): 4.0}, 0.6 * total, 2.0)
-    place = {r["doc_id"]: r["p"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 40)).alias("p")).collect()}
-    expect = {}
+        own[leaf_of(i)] += n[i]
+    quota = plain_budgets(own, {("all", "de"): 4.0}, 0.6 * sum(n.values()), 2.0)
+    orders = [
+        {r["doc_id"]: r["p"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(2), F.lit(e).cast("long")), F.lit(1 << 40)).alias("p")).collect()} for e in range(2)
+    ]
+    assert sorted(orders[0], key=orders[0].get) != sorted(orders[1], key=orders[1].get)
+    expect = set()
     for leaf, q in quota.items():
-        rest = q % own[leaf]
-        so_far = 0
-        for i in sorted((i for i in range(2000) if ("all", "en" if i % 3 else "de", "s1" if i % 2 else "s2") == leaf), key=lambda i: (place[i], i)):
-            so_far += n[i]
-            if (e := q // own[leaf] + (so_far <= rest)) > 0:
-                expect[i] = e
-    assert {r["doc_id"]: r["epochs"] for r in got} == expect
+        left = q
+        for epoch, place in enumerate(orders):
+            for i in sorted((i for i in range(2000) if leaf_of(i) == leaf), key=place.get):
+                left -= n[i]
+                if left < 0:
+                    break
+                expect.add((i, epoch, place[i]))
+            if left < 0:
+                break
+    assert {(r["doc_id"], r["epoch"], r["place"]) for r in got} == expect and len(got) == len(expect)
     assert mixing.mix(empty, {}).count() == 0
     assert mixing.mix(messy, {}, share=1.0, max_epochs=1.0, keep=True).columns == messy.columns
 
 
+def test_mix_leaves_clashing_columns_alone(spark):
+    clash = ["edge", "rest", "whole", "before", "_tokens", "_domain", "cell", "place", "id", "domain", "n_tokens", "row", "tokens", "taken", "within"]
+    docs = spark.createDataFrame([(i, prose(i, 30), "en", None if i % 5 else "s") for i in range(300)], "doc_id long, text string, lang string, source string")
+    docs = docs.selectExpr("*", *(f"concat('{c}', doc_id) as `{c}`" for c in clash))
+    kept = mixing.mix(docs, {}, share=0.5, max_epochs=1.0, keep=True)
+    plain = mixing.mix(docs.drop(*clash), {}, share=0.5, max_epochs=1.0, keep=True)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in plain.collect()}
+    assert all(r[c] == f"{c}{r['doc_id']}" for r in kept.collect() for c in clash)
+
+
 # ---- op 3 -------------------------------------------------------------------
 
 
