@@ -197,12 +197,12 @@ def _common_shingles(texts: DataFrame, ngram: int, part: int = 16, levels: tuple
     return [filter_of(counts.where(F.col("n") >= n)) for n in levels]
 
 
-def _texts_of(sets: DataFrame, texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(v, text): a text for each set in sets.v; ids: (v, first, whole), where to find one."""
-    wanted = materialize(sets.select("v").distinct().join(ids.select("v", F.col("first").alias("doc_id"), "whole"), "v"))
+def _with_texts(rows: DataFrame, texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows with the text of the set rows.v; ids: (v, first, whole), where to find one. Texts stay where they are if rows are few. Documents that are there twice come twice."""
+    wanted = materialize(rows.join(ids.select("v", F.col("first").alias("doc_id"), "whole"), "v"))
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     read = texts.withColumn("whole", F.xxhash64("text")).join(F.broadcast(wanted) if few else wanted, ["doc_id", "whole"])
-    return read.select("v", "text").dropDuplicates(["v"])
+    return read.select(*rows.columns, "text")
 
 
 def _similar_links(pairs: DataFrame, texts: DataFrame, ids: DataFrame, similarity: float, ngram: int) -> DataFrame:
@@ -212,19 +212,18 @@ def _similar_links(pairs: DataFrame, texts: DataFrame, ids: DataFrame, similarit
         last = None
         for part in parts:
             out = []
-            for a, b, own in zip(part["a"], part["b"], _sets(part["text"], ngram), strict=True):
+            for a, b, v, own in zip(part["a"], part["b"], part["v"], _sets(part["text"], ngram), strict=True):
                 if last is not None and last[:2] == (a, b):
-                    both = len(np.intersect1d(last[2], own, assume_unique=True))
-                    if both / (len(last[2]) + len(own) - both) >= similarity:
-                        out.append((a, b))
-                    last = None
+                    if v != last[2]:  # else the same document again
+                        both = len(np.intersect1d(last[3], own, assume_unique=True))
+                        if both / (len(last[3]) + len(own) - both) >= similarity:
+                            out.append((a, b))
                 else:
-                    last = a, b, own
-            yield pd.DataFrame(out, columns=["a", "b"])
+                    last = a, b, v, own
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
 
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("v"))
-    met = ends.join(_texts_of(ends, texts, ids), "v").select("a", "b", "text")
-    met = met.repartition("a", "b").sortWithinPartitions("a", "b")
+    met = _with_texts(ends, texts, ids).repartition("a", "b").sortWithinPartitions("a", "b", "v")
     return materialize(met.mapInPandas(verify, "a long, b long"))
 
 
@@ -285,7 +284,7 @@ def _hot_links(own: DataFrame, texts: DataFrame, ids: DataFrame, similarity: flo
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     outer = sized.where("comp <> top").select("h", dealt("across", 1).alias("i"), every("down").alias("j"), "v", "comp", F.lit(0).alias("side"))
     inner = sized.select("h", every("across").alias("i"), dealt("down", 2).alias("j"), "v", "comp", F.lit(1).alias("side"))
-    found = materialize(_texts_of(own, texts, ids))
+    found = materialize(_with_texts(own.select("v").distinct(), texts, ids))
     cells = outer.union(inner).join(found, "v").groupBy("h", "i", "j").applyInPandas(compare, "a long, b long")
     return materialize(cells.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 

@@ -73,17 +73,22 @@ def window_counts(texts: DataFrame, window: int, chosen: Filter) -> DataFrame:
     return texts.select("text").mapInPandas(run, "h long, n long")
 
 
-def stretches(texts: DataFrame, window: int, chosen: Filter) -> DataFrame:
+def stretches(texts: DataFrame, window: int, chosen: Filter, most: int = 50_000) -> DataFrame:
     """(shard, key, words, doc_id, start, members): runs of windows that may repeat, under one minimiser.
 
-    A row holds the equal runs of a batch: key is a hash of their words, members (doc_id, start) where they
-    are, doc_id and start the first of these.
+    A row holds the equal runs among about `most` that follow each other: key is a hash of their words, members
+    (doc_id, start) where they are, doc_id and start the first of these.
     """
 
+    def collapsed(seen: dict[tuple[int, bytes], list[tuple[int, int]]]) -> pd.DataFrame:
+        out = [(k[0], xxhash.xxh3_64_intdigest(k[1], 6) - (1 << 63), k[1], *min(m), m) for k, m in seen.items()]
+        return pd.DataFrame(out, columns=["shard", "key", "words", "doc_id", "start", "members"])
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             ids = part["doc_id"].to_numpy()
             seen: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+            held = 0
             for i, rows in chunks(part["text"]):
                 buf, ws, we, hashes, first = words_of(rows)
                 at, place, h = minimisers(hashes, first, window)
@@ -97,8 +102,11 @@ def stretches(texts: DataFrame, window: int, chosen: Filter) -> DataFrame:
                 words = [b" ".join(raw[s:e].split()) for s, e in bounds]
                 for shard, w, own, s in zip(h[start].view(np.int64).tolist(), words, ids[i + doc].tolist(), (a - first[doc]).tolist(), strict=True):
                     seen.setdefault((shard, w), []).append((own, s))
-            out = [(k[0], xxhash.xxh3_64_intdigest(k[1], 6) - (1 << 63), k[1], *min(m), m) for k, m in seen.items()]
-            yield pd.DataFrame(out, columns=["shard", "key", "words", "doc_id", "start", "members"])
+                held += len(words)
+                if held > most:
+                    yield collapsed(seen)
+                    seen, held = {}, 0
+            yield collapsed(seen)
 
     return texts.mapInPandas(run, "shard long, key long, words binary, doc_id long, start long, members array<struct<doc_id: long, start: long>>")
 
