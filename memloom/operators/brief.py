@@ -41,7 +41,8 @@ def recent_messages(memory: DataFrame, as_of: dt.datetime, current_platform: str
     rows = memory.where(F.col("is_active") & (F.col("created_at") >= since(as_of, days))).withColumn("is_current", own).where("is_current is not null")
     rows = rows.select("user_id", "is_current", "id", "role", "agent_platform", "device_name", F.substring("message", 1, PREVIEW).alias("preview"), "created_at")
     rank = F.row_number().over(Window.partitionBy("user_id", "is_current").orderBy(F.desc("created_at"), F.desc("id")))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("is_current"), CURRENT).otherwise(OTHERS))
+    ranked = rows.withColumn("rank", rank).where(F.col("rank") <= max(CURRENT, OTHERS))  # a literal bound cuts groups before the exchange
+    return ranked.where(F.col("rank") <= F.when(F.col("is_current"), CURRENT).otherwise(OTHERS))
 
 
 def collect_brief(users: DataFrame, memory: DataFrame, tags: DataFrame, as_of: dt.datetime, current_platform: str | None = None, days: int = 3) -> DataFrame:

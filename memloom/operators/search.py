@@ -8,7 +8,6 @@ fit `MAX_QUERIES`, which is checked, else each is matched by a join on the user.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,9 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import parse_date_range, slug, trim_all
+from memloom.sources.shared import written
 
 #: Queries that are sent to every task at once (64 MB at 3,072 dimensions of 4 bytes and a margin).
 MAX_QUERIES = 4000
+#: Largest k.
+MOST = 50
 FILTERS = ["query_id", "user_id", "text", "vector", "p_tag", "date_range", "role", "platform", "include_archived", "k"]
 
 
@@ -31,7 +33,7 @@ def prepare_queries(queries: DataFrame, aliases: DataFrame, as_of: dt.datetime)
         "query_id", F.col("user_id").alias("q_user"), F.nullif(trim_all(F.col("text")), F.lit("")).alias("q_text"), F.col("text").alias("q_raw"), F.col("vector").alias("q_vector"),
         F.col("root_id").alias("q_tag"), (asked & F.col("root_id").isNull()).alias("unknown_tag"), parse_date_range(F.col("date_range"), as_of).alias("q_since"),
         F.col("role").alias("q_role"), F.col("platform").alias("q_platform"), F.coalesce("include_archived", F.lit(False)).alias("q_archived"),
-        F.greatest(F.lit(1), F.least(F.lit(50), F.coalesce("k", F.lit(10)))).alias("q_k"),
+        F.greatest(F.lit(1), F.least(F.lit(MOST), F.coalesce("k", F.lit(10)))).alias("q_k"),
     )
 
 
@@ -59,7 +61,8 @@ def _few(queries: DataFrame) -> DataFrame:
 
 
 def _ranked(hits: DataFrame, *order: F.Column) -> DataFrame:
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= F.col("q_k"))
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return ranked.where((F.col("rank") <= MOST) & (F.col("rank") <= F.col("q_k")))  # the literal bound cuts groups before the exchange
 
 
 def search_recent(memory: DataFrame, queries: DataFrame) -> DataFrame:
@@ -76,54 +79,53 @@ def search_keyword(memory: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def search_vector(memory: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, rank, similarity): exact cosine top k. Each task keeps its own best k of every query; these meet in one rank by query.
+    """(query_id, id, rank, similarity): exact cosine top k among the rows of the query's user that meet its filters.
 
-    Zero vectors and vectors of another length match nothing.
+    A join on the user, in the JVM; norms are taken once a vector. Zero vectors and vectors of another length
+    match nothing.
     """
-    wanted = queries.where("q_text is not null and q_vector is not null")
-    n = wanted.limit(MAX_QUERIES + 1).count()
-    rows = memory.where("embedding is not null").select("id", "user_id", "role", "agent_platform", "p_tag_id", "is_active", "created_at", "embedding")
-    if n > MAX_QUERIES:  # by user, in the JVM
-        dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-        e, v = F.col("embedding"), F.col("q_vector")
-        sim = F.try_divide(dot(e, v), F.sqrt(dot(e, e)) * F.sqrt(dot(v, v)))
-        hits = rows.join(wanted, matches() & (F.size("embedding") == F.size("q_vector"))).withColumn("similarity", sim).where("similarity is not null")
-        return _ranked(hits, F.desc("similarity"), F.asc("id")).select("query_id", "id", "rank", "similarity")
-    asked = [r.asDict() for r in wanted.orderBy("query_id").collect()]
-
-    def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[int, pd.DataFrame] = {}
-        for part in parts:
-            sizes = part["embedding"].map(len)
-            for dim, own in part.groupby(sizes):
-                x = np.stack(own["embedding"].to_numpy()).astype(np.float64)
-                norm = np.linalg.norm(x, axis=1)
-                asked_here = [i for i, q in enumerate(asked) if len(q["q_vector"]) == dim and np.any(q["q_vector"])]
-                if not asked_here:
-                    continue
-                v = np.array([asked[i]["q_vector"] for i in asked_here], dtype=np.float64)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    sims = (x @ v.T) / norm[:, None] / np.linalg.norm(v, axis=1)[None, :]
-                for column, i in enumerate(asked_here):
-                    q = asked[i]
-                    ok = (own["user_id"] == q["q_user"]).to_numpy() & np.isfinite(sims[:, column])
-                    ok &= q["q_archived"] | own["is_active"].to_numpy(dtype=bool)
-                    for name, field in (("q_tag", "p_tag_id"), ("q_role", "role"), ("q_platform", "agent_platform")):
-                        if q[name] is not None:
-                            ok &= (own[field] == q[name]).to_numpy(dtype=bool, na_value=False)
-                    if q["q_since"] is not None:
-                        ok &= (own["created_at"] >= q["q_since"]).to_numpy()
-                    if ok.any():
-                        hit = pd.DataFrame({"query_id": q["query_id"], "id": own["id"].to_numpy()[ok], "similarity": sims[ok, column], "q_k": q["q_k"]})
-                        hit = pd.concat([kept[i], hit]) if i in kept else hit
-                        kept[i] = hit.sort_values(["similarity", "id"], ascending=[False, True]).head(q["q_k"])
-        yield from kept.values()
-
-    kind = queries.schema["query_id"].dataType.simpleString()
-    hits = rows.mapInPandas(best, f"query_id {kind}, id long, similarity double, q_k int")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    e, v = F.col("embedding"), F.col("q_vector")
+    wanted = queries.where("q_text is not null and q_vector is not null").withColumn("q_norm", F.sqrt(dot(v, v)))
+    rows = memory.where("embedding is not null").select("id", "user_id", "role", "agent_platform", "p_tag_id", "is_active", "created_at", "embedding", F.sqrt(dot(e, e)).alias("norm"))
+    met = rows.join(_few(wanted), matches() & (F.size("embedding") == F.size("q_vector")))
+    hits = met.withColumn("similarity", F.try_divide(dot(e, v), F.col("norm") * F.col("q_norm"))).where("similarity is not null and not isnan(similarity)")
     return _ranked(hits, F.desc("similarity"), F.asc("id")).select("query_id", "id", "rank", "similarity")
 
 
+def nearest_in_blocks(rows: DataFrame, queries: DataFrame, block: int = 2000, slice_: int = 20_000) -> DataFrame:
+    """(query_id, id, similarity): of rows (id, embedding) the one of highest cosine for each of queries (query_id, vector), ties by id.
+
+    All queries against all rows: blocks of queries meet slices of rows, a matrix product in each, and each
+    slice gives one row a query. Zero vectors, null ones and those of another length match nothing.
+    """
+    n, m = (max(1, -(-df.count() // size)) for df, size in ((queries, block), (rows, slice_)))
+    deal = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    asked = queries.where("vector is not null").select(deal("query_id", n).alias("b"), each(m).alias("s"), "query_id", "vector")
+    held = rows.where("embedding is not null").select(each(n).alias("b"), deal("id", m).alias("s"), "id", "embedding")
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        right = right.sort_values("id")
+        for dim, q in left.groupby(left["vector"].map(len)):
+            r = right[right["embedding"].map(len) == dim]
+            if not len(r) or not dim:
+                continue
+            x, y = (np.stack(c.to_numpy()).astype(np.float64) for c in (q["vector"], r["embedding"]))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sims = (x @ y.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)[None, :]
+            sims = np.where(np.isfinite(sims), sims, -np.inf)
+            top = sims.argmax(axis=1)
+            out.append(pd.DataFrame({"query_id": q["query_id"].to_numpy(), "id": r["id"].to_numpy()[top], "similarity": sims[np.arange(len(x)), top]}))
+        found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "similarity": []})
+        return found[np.isfinite(found["similarity"])] if len(found) else found
+
+    found = asked.groupBy("b", "s").cogroup(held.groupBy("b", "s")).applyInPandas(best, "query_id long, id long, similarity double")
+    top = found.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("id")).alias("i"))).alias("t"))
+    return top.select("query_id", (-F.col("t.i")).alias("id"), "t.similarity")
+
+
 def search_hybrid(memory: DataFrame, queries: DataFrame, aliases: DataFrame, as_of: dt.datetime, threshold: float = 0.3) -> DataFrame:
     """(query_id, used, top_similarity, rank, id, similarity), a row a hit and one for queries without any.
 
@@ -132,7 +134,7 @@ def search_hybrid(memory: DataFrame, queries: DataFrame, aliases: DataFrame, as_
     """
     q = prepare_queries(queries, aliases, as_of)
     known = q.where("not unknown_tag")
-    vector = search_vector(memory, known)
+    vector = written(search_vector(memory, known))  # read by four legs
     top = vector.groupBy("query_id").agg(F.max("similarity").alias("top"))
     need = known.where("q_text is not null").join(top, "query_id", "left").where(F.col("top").isNull() | (F.col("top") < threshold)).drop("top")
     keyword = search_keyword(memory, need)

@@ -5,20 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.operators.search import search_vector
+from memloom.operators.search import nearest_in_blocks
 
 
-def injectable_skills(skills: DataFrame, contexts: DataFrame, n: int = 5) -> DataFrame:
-    """(ctx_id, id, rank): active skills that apply to a context's model, platform and project; a missing list applies to all, a null value asks for nothing."""
+def _keys(listed: Column, value: Column | None = None) -> Column:
+    """What a skill's list, or a context's value, is joined by: a value, `*` for a missing list, `?` for a null value."""
+    if value is not None:
+        return F.when(value.isNull(), F.array(F.lit("?"))).otherwise(F.array(F.concat(F.lit("="), value), F.lit("*")))
+    own = F.transform(F.array_distinct(F.filter(listed, lambda x: x.isNotNull())), lambda x: F.concat(F.lit("="), x))
+    return F.concat(F.coalesce(own, F.array(F.lit("*"))), F.array(F.lit("?")))
+
 
-    def fits(key: str, value: str) -> Column:
-        listed = F.col(f"applicable_to.{key}")
-        return F.col(value).isNull() | listed.isNull() | F.array_contains(listed, F.col(value))
+def injectable_skills(skills: DataFrame, contexts: DataFrame, n: int = 5) -> DataFrame:
+    """(ctx_id, id, rank): active skills that apply to a context's model, platform and project; a missing list applies to all, a null value asks for nothing.
 
-    ok = fits("models", "model") & fits("platforms", "platform") & fits("projects", "project_key")
-    pairs = skills.where("status = 'active'").select("id", "applicable_to", "use_count").join(contexts, ok)
-    rank = F.row_number().over(Window.partitionBy("ctx_id").orderBy(F.desc("use_count"), "id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= n).select("ctx_id", "id", "rank")
+    An equi-join: of the keys of a skill and of a context exactly one is the same where they fit. The best n of
+    each key are found first, so a context meets at most eight times n skills.
+    """
+    dims = {"model": "models", "platform": "platforms", "project_key": "projects"}
+    best = skills.where("status = 'active'").select("id", "use_count", *(_keys(F.col(f"applicable_to.{v}")).alias(k) for k, v in dims.items()))
+    asked = contexts.select("ctx_id", *(_keys(F.lit(None), F.col(k)).alias(k) for k in dims))
+    for k in dims:
+        best, asked = best.withColumn(k, F.explode(k)), asked.withColumn(k, F.explode(k))
+    order = [F.desc("use_count"), F.asc("id")]
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*dims).orderBy(*order))).where(F.col("rank") <= n).drop("rank")
+    rank = F.row_number().over(Window.partitionBy("ctx_id").orderBy(*order))
+    return asked.join(best, list(dims)).withColumn("rank", rank).where(F.col("rank") <= n).select("ctx_id", "id", "rank")
 
 
 def mark_exposed(skills: DataFrame, exposures: DataFrame) -> DataFrame:
@@ -30,18 +42,11 @@ def mark_exposed(skills: DataFrame, exposures: DataFrame) -> DataFrame:
 def route_skill_candidates(skills: DataFrame, candidates: DataFrame, same: float = 0.9, near: float = 0.7) -> DataFrame:
     """(candidate_id, skill_id, similarity, action, parent_skill_id): the nearest active skill decides: accumulate, branch (it becomes inactive and the parent) or create.
 
-    Uses the vector search with k = 1: candidates are the queries.
+    Candidates are queries to all skills, in blocks (see nearest_in_blocks).
     """
-    void = lambda t: F.lit(None).cast(t)
-    rows = skills.where("status = 'active'").select(
-        F.col("id").cast("long").alias("id"), F.lit(0).cast("long").alias("user_id"), void("string").alias("role"), void("string").alias("agent_platform"),
-        void("long").alias("p_tag_id"), F.lit(True).alias("is_active"), void("timestamp_ntz").alias("created_at"), "embedding",
-    )
-    asked = candidates.select(
-        F.col("candidate_id").alias("query_id"), F.lit(0).cast("long").alias("q_user"), F.lit("-").alias("q_text"), F.col("embedding").alias("q_vector"), void("long").alias("q_tag"),
-        void("timestamp_ntz").alias("q_since"), void("string").alias("q_role"), void("string").alias("q_platform"), F.lit(True).alias("q_archived"), F.lit(1).alias("q_k"),
-    )
-    best = search_vector(rows, asked).select(F.col("query_id").alias("candidate_id"), F.col("id").alias("_skill"), "similarity")
+    rows = skills.where("status = 'active'").select(F.col("id").cast("long").alias("id"), "embedding")
+    best = nearest_in_blocks(rows, candidates.select(F.col("candidate_id").cast("long").alias("query_id"), F.col("embedding").alias("vector")))
+    best = best.select(F.col("query_id").alias("candidate_id"), F.col("id").alias("_skill"), "similarity")
     j = candidates.select("candidate_id").join(best, "candidate_id", "left")
     action = F.when(F.col("similarity") >= same, "accumulate").when(F.col("similarity") >= near, "branch").otherwise("create")
     j = j.withColumn("action", action)

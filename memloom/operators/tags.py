@@ -9,14 +9,22 @@ from pyspark.sql import functions as F
 
 from memloom.functions.text import slug, trim_all
 from memloom.operators.writes import get_or_create_dim
+from memloom.sources.shared import written
 
 
-def resolve_aliases(tags: DataFrame, rounds: int = 6) -> DataFrame:
-    """(name, id, root_id): pointer doubling along alias_of, chains of up to 2**rounds; a cycle has no root."""
+def resolve_aliases(tags: DataFrame) -> DataFrame:
+    """(name, id, root_id): pointer doubling along alias_of, until nothing moves; a cycle has no root, nor has a chain that ends outside.
+
+    A chain is at most as long as there are tags, so more doublings than that only go round cycles.
+    """
     links = tags.select("name", "id", F.coalesce("alias_of", "id").alias("at"))
-    for _ in range(rounds):
+    for _ in range(tags.count().bit_length()):
         step = links.select(F.col("id").alias("_id"), F.col("at").alias("_next"))
-        links = links.join(step, F.col("at") == F.col("_id"), "left").select("name", "id", F.col("_next").alias("at"))
+        moved = links.join(step, F.col("at") == F.col("_id"), "left")
+        moved = written(moved.select("name", "id", F.col("_next").alias("at"), (~F.col("at").eqNullSafe(F.col("_next"))).alias("_moved")))
+        links = moved.drop("_moved")
+        if moved.where("_moved").isEmpty():
+            break
     roots = tags.where("alias_of is null").select(F.col("id").alias("root_id"))
     return links.join(roots, F.col("at") == F.col("root_id"), "left").select("name", "id", "root_id")
 

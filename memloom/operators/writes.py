@@ -1,7 +1,7 @@
 """Dedup, validation and merges into the memory table and its dimensions.
 
-New ids are the largest id plus a number. Numbers are dealt in parts: each partition counts its rows, the
-counts are summed up (a row a partition), so no task sees all new rows.
+New ids are the largest id plus a number. Numbers are dealt in parts: rows are written in ranges, each with
+its place in its range, and the ranges' sizes are summed up (a row a range), so no task sees all new rows.
 """
 
 from __future__ import annotations
@@ -10,16 +10,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import infer_provider, slug, trim_all
+from memloom.sources.shared import written
 
 
 def numbered(df: DataFrame, order: list[str], start: Column | int, name: str = "id") -> DataFrame:
-    """Consecutive numbers from start + 1 in the given order, by ranges: each range's rows are ranked within it."""
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n"))
+    """Consecutive numbers from start + 1 in the given order.
+
+    The sorted ranges are written with the range in the upper bits of _at and the place in it in the lower 33:
+    ranges are cut anew by each plan that is run, so sizes and places must come from one run.
+    """
+    dealt = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     begin = start if isinstance(start, Column) else F.lit(start)
-    return ranked.join(F.broadcast(before), "_part").withColumn(name, begin + F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before")
+    return dealt.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, begin + F.col("_before") + place + 1).drop("_part", "_at", "_before")
 
 
 def dedup_content(df: DataFrame, scope: list[str], order: list[str]) -> DataFrame:

@@ -43,11 +43,11 @@ FROM {conversations} WHERE role IN ('user', 'assistant')""",
     "tags": "SELECT * FROM (VALUES (1, 'alpha', NULL), (2, 'beta', NULL), (3, 'gamma', NULL), (4, 'alpha-app', 1), (5, 'alpha-ui', 4), (6, 'beta-svc', 2), (7, 'delta', NULL), (8, 'click', NULL)) AS t(id, name, alias_of)",
     "forest": "SELECT c_custkey AS id, concat('tag-', CAST(c_custkey AS STRING)) AS name, CASE WHEN c_custkey % 4 <> 0 AND c_custkey > 2 THEN CAST(floor(c_custkey / 2) AS BIGINT) END AS alias_of FROM {customer}",
     "asked": """
-SELECT v.vec_id AS query_id, e.user_id, CASE (v.vec_id / 50) % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'k=7' WHEN 2 THEN 'no-such-word' WHEN 3 THEN '100%' END AS text,
- CASE WHEN v.vec_id % 100 = 0 THEN v.embedding END AS vector, CASE WHEN (v.vec_id / 50) % 7 = 3 THEN 'alpha-ui' WHEN (v.vec_id / 50) % 7 = 5 THEN 'nowhere' END AS p_tag,
- CASE (v.vec_id / 50) % 6 WHEN 1 THEN '2024-01-10' WHEN 2 THEN '20_days_ago' WHEN 3 THEN 'last_month' END AS date_range,
- CASE WHEN (v.vec_id / 50) % 4 = 1 THEN 'user' END AS role, CAST(NULL AS STRING) AS platform, v.vec_id % 150 = 0 AS include_archived, 5 AS k
-FROM {embeddings} v JOIN {events} e ON e.event_id = v.vec_id WHERE v.vec_id % 50 = 0""",
+SELECT v.vec_id AS query_id, e.user_id, CASE (v.vec_id / 20) % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'k=7' WHEN 2 THEN 'no-such-word' WHEN 3 THEN '100%' END AS text,
+ v.embedding AS vector, CASE WHEN (v.vec_id / 20) % 7 = 3 THEN 'alpha-ui' WHEN (v.vec_id / 20) % 7 = 5 THEN 'nowhere' END AS p_tag,
+ CASE (v.vec_id / 20) % 6 WHEN 1 THEN '2024-01-10' WHEN 2 THEN '20_days_ago' WHEN 3 THEN 'last_month' END AS date_range,
+ CASE WHEN (v.vec_id / 20) % 4 = 1 THEN 'user' END AS role, CAST(NULL AS STRING) AS platform, v.vec_id % 60 = 0 AS include_archived, CAST((v.vec_id / 20) % 9 + 1 AS INT) AS k
+FROM {embeddings} v JOIN {events} e ON e.event_id = v.vec_id WHERE v.vec_id % 20 = 0""",
     "facts": """
 SELECT id, user_id AS subject_id, message AS content,
  CASE id % 7 WHEN 0 THEN 'profile' WHEN 1 THEN 'preference' WHEN 2 THEN 'skill' WHEN 3 THEN 'decision' WHEN 4 THEN 'learning' WHEN 5 THEN 'state' ELSE 'relationship' END AS fact_type,
@@ -92,8 +92,8 @@ def text(name: str, dialect: str) -> str:
     sql = re.sub(r"MINUTES<(.*?)>(?=\s|$)", r"make_interval(0, 0, 0, 0, 0, CAST(\1 AS INT), 0)" if spark else r"to_minutes(CAST(\1 AS INT))", sql)
     sql = sql.replace("TS'", "TIMESTAMP_NTZ '" if spark else "TIMESTAMP '")
     if spark:
-        return sql.replace("(v.vec_id / 50)", "(v.vec_id DIV 50)")
-    sql = sql.replace("(v.vec_id / 50)", "(v.vec_id // 50)")
+        return sql.replace("(v.vec_id / 20)", "(v.vec_id DIV 20)")
+    sql = sql.replace("(v.vec_id / 20)", "(v.vec_id // 20)")
     return re.sub(r"\{(\w+)\}", r"\1", sql.replace("{{", "\0").replace("}}", "\1")).replace("\0", "{").replace("\1", "}")
 
 

@@ -16,7 +16,7 @@ from memloom.functions import text as tx
 from memloom.operators import brief, diagnostics, enrich, evaluate, lifecycle, parsing, profile, search, skills, tags, writes
 from memloom.plans.fixtures import AS_OF, FACTS_AS_OF, Data, oracle
 from memloom.sources import transcripts as tr
-from memloom.sources.shared import fresh_path
+from memloom.sources.shared import fresh_path, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
@@ -294,10 +294,10 @@ def q_apply_profile_changes(d: Data) -> DataFrame:
     return writes.apply_profile_changes(d.people, log).select("user_id", "sub_profile")
 
 
-@_query("""WITH wanted AS (SELECT DISTINCT lower(trim(c_name)) AS name FROM (SELECT concat(' TAG-', CAST(c_custkey + 20 AS STRING), ' ') AS c_name FROM customer WHERE c_custkey % 2 = 0)), new AS (SELECT name FROM wanted WHERE name NOT IN (SELECT name FROM forest))
+@_query("""WITH wanted AS (SELECT DISTINCT lower(trim(c_name)) AS name FROM (SELECT concat(' TAG-', CAST(c_custkey + 20 AS STRING), ' ') AS c_name FROM customer)), new AS (SELECT name FROM wanted WHERE name NOT IN (SELECT name FROM forest))
 SELECT name, coalesce(f.id, n.id) AS id FROM wanted LEFT JOIN forest f USING (name) LEFT JOIN (SELECT name, (SELECT max(id) FROM forest) + row_number() OVER (ORDER BY name) AS id FROM new) n USING (name)""")
 def q_get_or_create_dim(d: Data) -> DataFrame:
-    names = d.customer.where("c_custkey % 2 = 0").select(F.concat(F.lit(" TAG-"), (F.col("c_custkey") + 20).cast("string"), F.lit(" ")).alias("name"))
+    names = d.customer.select(F.concat(F.lit(" TAG-"), (F.col("c_custkey") + 20).cast("string"), F.lit(" ")).alias("name"))
     return writes.get_or_create_dim(d.forest, names, lower=True)[1]
 
 
@@ -428,9 +428,9 @@ _ASKED = """SELECT a.*, CASE p_tag WHEN 'alpha-ui' THEN 1 END AS tag, p_tag = 'n
  CASE date_range WHEN '2024-01-10' THEN TIMESTAMP '2024-01-10 00:00:00' WHEN '20_days_ago' THEN TIMESTAMP '2024-01-11 00:00:00' WHEN 'last_month' THEN TIMESTAMP '2023-12-31 00:00:00' END AS since FROM asked a"""
 _MATCH = """m.user_id = q.user_id AND (q.include_archived OR m.is_active) AND (q.tag IS NULL OR q.tag = m.p_tag_id) AND (q.role IS NULL OR q.role = m.role) AND (q.since IS NULL OR m.created_at >= q.since) AND coalesce(NOT q.unknown_tag, TRUE)"""
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY {0}) AS rank"
-_RECENT = f"SELECT query_id, id, rank FROM (SELECT query_id, m.id, {_RANK.format('m.created_at DESC, m.id')} FROM ({_ASKED}) q JOIN mem m ON {_MATCH} WHERE {{0}}) WHERE rank <= 5"
-_VECTOR = f"""SELECT query_id, id, rank, similarity FROM (SELECT query_id, id, similarity, {_RANK.format('similarity DESC, id')} FROM (SELECT query_id, m.id, list_cosine_similarity(CAST(m.embedding AS DOUBLE[]), CAST(q.vector AS DOUBLE[])) AS similarity
- FROM ({_ASKED}) q JOIN mem m ON {_MATCH} WHERE q.text IS NOT NULL AND q.vector IS NOT NULL AND m.embedding IS NOT NULL)) WHERE rank <= 5"""
+_RECENT = f"SELECT query_id, id, rank FROM (SELECT query_id, q.k, m.id, {_RANK.format('m.created_at DESC, m.id')} FROM ({_ASKED}) q JOIN mem m ON {_MATCH} WHERE {{0}}) WHERE rank <= k"
+_VECTOR = f"""SELECT query_id, id, rank, similarity FROM (SELECT query_id, k, id, similarity, {_RANK.format('similarity DESC, id')} FROM (SELECT query_id, q.k, m.id, list_cosine_similarity(CAST(m.embedding AS DOUBLE[]), CAST(q.vector AS DOUBLE[])) AS similarity
+ FROM ({_ASKED}) q JOIN mem m ON {_MATCH} WHERE q.text IS NOT NULL AND q.vector IS NOT NULL AND m.embedding IS NOT NULL)) WHERE rank <= k"""
 _KEYWORD = _RECENT.format("q.text IS NOT NULL AND m.message ILIKE concat('%', q.text, '%')")
 
 
@@ -641,10 +641,11 @@ def q_assign_tier(d: Data) -> DataFrame:
     return lifecycle.assign_tier(d.facts, AS_OF, 15).select("id", "tier", "content")
 
 
-@_query("""WITH s AS (SELECT 3 AS u UNION ALL SELECT 8), near AS (SELECT u FROM s UNION SELECT to_id FROM edges WHERE from_id IN (SELECT u FROM s) UNION SELECT from_id FROM edges WHERE to_id IN (SELECT u FROM s))
+@_query("""WITH s AS (SELECT user_id AS u FROM people WHERE user_id % 20 = 0), near AS (SELECT u FROM s UNION SELECT to_id FROM edges WHERE from_id IN (SELECT u FROM s) UNION SELECT from_id FROM edges WHERE to_id IN (SELECT u FROM s))
 SELECT id, subject_id FROM facts WHERE subject_id IN (SELECT u FROM near) AND list_has_any(tags, ['click', 'k3'])""")
 def q_expand_subjects(d: Data) -> DataFrame:
-    seeds = d.people.where("user_id in (3, 8)").select(F.col("user_id").alias("subject_id")).union(d.spark.createDataFrame([(3,), (8,)], "subject_id long"))
+    seeds = d.people.where("user_id % 20 = 0").select(F.col("user_id").alias("subject_id"))
+    seeds = seeds.union(seeds)
     return lifecycle.expand_subjects(d.facts, d.edges, seeds, ["click", "k3"]).select("id", "subject_id")
 
 
@@ -693,11 +694,11 @@ def q_mark_exposed(d: Data) -> DataFrame:
 
 
 
-@_query("""WITH c AS (SELECT id + 100000 AS candidate_id, embedding, id % 3 AS m FROM skills WHERE id % 20 IN (1, 4)), s AS (SELECT candidate_id, id, list_cosine_similarity(CAST(skills.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS sim FROM c JOIN skills ON status = 'active'),
+@_query("""WITH c AS (SELECT id + 100000 AS candidate_id, embedding, id % 3 AS m FROM skills WHERE id % 20 = 0), s AS (SELECT candidate_id, id, list_cosine_similarity(CAST(skills.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS sim FROM c JOIN skills ON status = 'active'),
  b AS (SELECT candidate_id, id, sim, row_number() OVER (PARTITION BY candidate_id ORDER BY sim DESC, id) AS r FROM s)
 SELECT candidate_id, CASE WHEN sim >= 0.7 THEN id END AS skill_id, round(sim, 6) AS similarity, CASE WHEN sim >= 0.9 THEN 'accumulate' WHEN sim >= 0.7 THEN 'branch' ELSE 'create' END AS action, CASE WHEN sim >= 0.7 AND sim < 0.9 THEN id END AS parent_skill_id FROM b WHERE r = 1""")
 def q_route_skill_candidates(d: Data) -> DataFrame:
-    candidates = d.skills.where("id % 20 in (1, 4)").select((F.col("id") + 100000).alias("candidate_id"), "embedding")
+    candidates = d.skills.where("id % 20 = 0").select((F.col("id") + 100000).alias("candidate_id"), "embedding")
     return skills.route_skill_candidates(skill_rows(d), candidates).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -765,26 +766,36 @@ def q_stream_carry_model(d: Data) -> DataFrame:
     return _finished(d, stream, "session_id string, byte_offset long, carried string")
 
 
-@_query(_CLAUDE_OUT)
+def _ticks(d: Data, n: int) -> DataFrame:
+    """A stream of n batches."""
+    landing = fresh_path(d.spark)
+    for i in range(n):
+        d.spark.range(i, i + 1).coalesce(1).write.mode("append").parquet(landing)
+    return d.spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(landing)
+
+
+@_query(_CLAUDE_OUT.replace("concat('m', CAST(session_no % 3 AS VARCHAR)) AS agent_model", "CASE WHEN role = 'assistant' THEN concat('m', CAST(session_no % 3 AS VARCHAR)) END AS agent_model"))
 def q_stream_ingest(d: Data) -> DataFrame:
-    """All transcripts, one file a session, through the stream into the table."""
+    """All transcripts, one file a session, through two rounds of the stream into the table; messages of users name no model."""
     from memloom.streaming.capture import stream_ingest
 
     landing, table = fresh_path(d.spark), fresh_path(d.spark)
     lines = d.claude_lines.select("session_no", "turn", "line").repartition("session_no").sortWithinPartitions("session_no", "turn")
     lines.select("line", F.concat(F.col("session_no").cast("string"), F.lit(".jsonl")).alias("file")).write.partitionBy("file").text(landing)
-    stream_ingest(d.spark, landing, table, fresh_path(d.spark), kind_of_path="folder", availableNow=True).awaitTermination()
-    return d.spark.read.parquet(table).select("session_id", "role", md5("message"), F.expr("concat('m', cast(session_id as long) % 3) as agent_model"), "external_uuid")
+    stream_ingest(d.spark, landing, table, fresh_path(d.spark), kind_of_path="folder", ticks=_ticks(d, 2), availableNow=True).awaitTermination()
+    return d.spark.read.parquet(table).select("session_id", "role", md5("message"), "agent_model", "external_uuid")
 
 
 @_query("""SELECT id, CASE WHEN NOT tag_processed THEN 1 ELSE p_tag_id END AS p_tag_id, TRUE AS tag_processed, 64 AS dims, NULL AS cold_error
 FROM mem WHERE (embedding IS NULL OR NOT tag_processed) AND (cold_error IS NULL OR updated_at < TIMESTAMP '2024-01-31 00:00:00' - CASE WHEN is_active THEN INTERVAL 5 MINUTE ELSE INTERVAL 1 HOUR END)""")
 def q_stream_enrich(d: Data) -> DataFrame:
-    """One round over all that is pending, as each batch of the stream runs it."""
-    from memloom.streaming.capture import enrich_once
+    """The stream over two ticks with written tables: the first round enriches all that is pending, the second finds nothing more."""
+    from memloom.streaming.capture import stream_enrich
 
     tag = lambda values: ['{"p_tag": "alpha", "d_tag": ["t"]}' for _ in values]
     embed = lambda values: [[0.5] * 64 for _ in values]
-    after, _ = enrich_once(d.mem, d.tags, tag, embed, 64, AS_OF)
-    after = after.where(F.col("updated_at") == now())
+    kept = [(written(d.mem), d.tags)]
+    save = lambda memory, tags, number: kept.append((written(memory), written(tags)))
+    stream_enrich(_ticks(d, 2), lambda: kept[-1], save, tag, embed, 64, lambda: AS_OF, fresh_path(d.spark), availableNow=True).awaitTermination()
+    after = kept[-1][0].where(F.col("updated_at") == now())
     return after.select("id", "p_tag_id", "tag_processed", F.size("embedding").alias("dims"), "cold_error")

@@ -1,4 +1,4 @@
-"""Paths in the folder that driver and executors share."""
+"""Paths and tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @cache
@@ -15,6 +15,17 @@ def _own_dir() -> str:
 
 
 def fresh_path(spark: SparkSession) -> str:
-    """An unused path below spark.checkpoint.dir; below a local folder only where that is unset, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """An unused path below spark.checkpoint.dir; below a local folder only where that is unset and all runs in one process, as in tests."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = _own_dir()
     return f"{top.rstrip('/')}/memloom/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, whatever is lost or planned anew later."""
+    path = fresh_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,7 +16,7 @@ def split_lines(files: DataFrame) -> DataFrame:
     """(path, pos, byte_offset, line) of each complete line of (path, text) rows.
 
     The text behind the last line feed is held back. Blank lines count in offsets and are not returned.
-    The running offset is an aggregate over the file's own array: no shuffle.
+    A line's offset is a running sum over its file: a window by path, so a shuffle of the lines.
     """
     lines = F.split(F.col("text"), "\n", -1)
     whole = F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))
@@ -72,10 +72,10 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.json*") -> Data
     return found.select("path", "length", "modificationTime")
 
 
-def write_memory(memory: DataFrame, path: str, mode: str = "append") -> None:
-    """Store by day of creation, one task a day and hash, so that days are few files and filters on dates prune."""
-    dated = memory.withColumn("day", F.to_date("created_at"))
-    dated.repartition("day").write.mode(mode).partitionBy("day").parquet(path)
+def write_memory(memory: DataFrame, path: str, mode: str = "append", parts: int = 4) -> None:
+    """Store by day of creation, so that filters on dates prune. A day is dealt by id to up to `parts` tasks, however busy it is."""
+    dated = memory.withColumn("day", F.to_date("created_at")).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    dated.repartition("day", "_part").drop("_part").write.mode(mode).partitionBy("day").parquet(path)
 
 
 def read_memory(spark: SparkSession, path: str, since: dt.datetime | None = None) -> DataFrame:

@@ -14,43 +14,101 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from memloom.functions.text import session_id_of
 from memloom.operators.enrich import apply_outcomes, build_tag_prompts, check_embedding, claim_pending, merge_outcomes, parse_tag_output, prepare_embedding_input, tag_candidates, with_model_fn
-from memloom.operators.parsing import RAW, normalize_messages, parse_claude
+from memloom.operators.parsing import carry_forward_model, gemini_lines, normalize_messages, parse_claude, parse_codex, parse_gemini
 from memloom.operators.tags import cluster_totals, dtag_frequency, promote_tags, resolve_aliases, retrotag
 from memloom.operators.writes import dedup_content
-from memloom.sources.transcripts import split_lines
-
-PARSED = ", ".join(f"{c} {'int' if c == 'pos' else 'string'}" for c in [*RAW, "device_name"])
-
-
-def landing_lines(spark: SparkSession, landing: str, files_per_trigger: int = 1000) -> DataFrame:
-    """A stream of (path, session_id, pos, byte_offset, line) of transcript files as they arrive; the checkpoint is the cursor."""
-    read = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_trigger)
-    return read.load(landing).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-
-
-def stream_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str, kind_of_path: str = "file", **trigger: Any) -> StreamingQuery:
-    """Parse new files and append messages whose external_uuid the table lacks: idempotent across restarts.
-
-    Each batch joins its own uuids (few) with the table's by an anti join; it is written under its batch
-    number, so a batch that is run again replaces what it had written. kind_of_path: `folder` where the
-    session's name is that of the file's folder (file=<name>).
+from memloom.sources.shared import written
+from memloom.sources.transcripts import explode_sessions, split_lines
+
+PATTERNS = {"claude": "*.jsonl", "codex": "*.jsonl", "gemini": "*.json*"}
+#: The table is kept by a hash of the session, so that a round reads back only what its own sessions can have.
+BUCKETS = 64
+
+
+def _before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+    """What rounds before this one have written, or None."""
+    try:
+        stored = spark.read.parquet(path)
+    except Exception as e:  # the first round
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+    return stored.where(F.col("batch") < number)
+
+
+def changed_files(spark: SparkSession, landing: str, pattern: str, cursors: DataFrame | None) -> DataFrame:
+    """(path, changed, text, cursor, model) of files modified at or after the last change that the cursors know; others are not opened."""
+    read = spark.read.text(landing, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+    files = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("changed"), F.col("value").alias("text"))
+    if cursors is None:
+        return files.withColumns({"cursor": F.lit(0).cast("long"), "model": F.lit(None).cast("string")})
+    last = cursors.agg(F.max("changed")).first()[0]
+    if last is not None:
+        files = files.where(F.col("changed") >= F.lit(last))
+    known = cursors.select("path", "cursor", "model")
+    return files.join(known, "path", "left").withColumn("cursor", F.coalesce("cursor", F.lit(0).cast("long")))
+
+
+def capture_round(spark: SparkSession, landing: str, table: str, number: int, kind: str = "claude", kind_of_path: str = "file") -> None:
+    """Messages beyond each file's cursor are appended to the table under the round's number; then cursors are written.
+
+    A file may have grown since; lines before its cursor are not parsed again. Left out is what the table has
+    by external_uuid, or for line files by role and text within the session. A round that is run again sees only
+    what came before it and replaces what it had written.
     """
+    state = _before(spark, f"{table}_cursors", number)
+    cursors = None
+    if state is not None and (top := state.agg(F.max("batch")).first()[0]) is not None:
+        cursors = state.where(F.col("batch") == top).drop("batch")
+    files = written(changed_files(spark, landing, PATTERNS[kind] if kind_of_path == "file" else "*", cursors))
     name = F.col("path") if kind_of_path == "file" else F.regexp_extract("path", "file=([^/]+)/", 1)
-
-    def append(batch: DataFrame, number: int) -> None:
-        lines = split_lines(batch).withColumn("session_id", session_id_of(name, "claude"))
-        rows = normalize_messages(dedup_content(parse_claude(lines), ["session_id"], ["pos"]))
-        rows = rows.groupBy("external_uuid").agg(F.min_by(F.struct(*rows.columns), F.struct("path", "pos")).alias("r")).select("r.*")
-        try:
-            have = spark.read.parquet(table).where(F.col("batch") != number).select("external_uuid")
-        except Exception as e:  # the table's first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        else:
-            rows = rows.join(have, "external_uuid", "left_anti")
-        rows.write.mode("overwrite").parquet(f"{table}/batch={number}")
-
-    return landing_lines(spark, landing).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "3 seconds"})).start()
+    lines = split_lines(files.select("path", "text")).join(files.select("path", "cursor", "model"), "path")
+    lines = lines.withColumn("session_id", session_id_of(name, kind)).where("session_id is not null")
+    fresh = lines.where("byte_offset >= cursor")
+    if kind == "claude":
+        rows, models = parse_claude(fresh), None
+    elif kind == "codex":
+        carried = carry_forward_model(fresh).withColumn("carried", F.coalesce("carried", "model"))
+        rows, models = parse_codex(carried), carried.groupBy("path").agg(F.max_by("carried", "byte_offset").alias("named"))
+    else:
+        whole = F.col("path").endswith(".json")
+        rows = parse_gemini(explode_sessions(files.where(whole).select("path", "text"))).unionByName(parse_gemini(gemini_lines(fresh.where(~whole))))
+        models = None
+    if kind != "gemini":
+        rows = dedup_content(rows, ["session_id"], ["path", "pos"])
+    rows = normalize_messages(rows)
+    rows = rows.groupBy("external_uuid").agg(F.min_by(F.struct(*rows.columns), F.struct("path", "pos")).alias("r")).select("r.*")
+    rows = written(rows.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int")))
+    old = _before(spark, table, number)
+    if old is not None:
+        own = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
+        old = old.where(F.col("bucket").isin(own))
+        rows = rows.join(old.select("external_uuid"), "external_uuid", "left_anti")
+        if kind != "gemini":
+            said = old.select("session_id", "role", F.sha2("message", 256).alias("_h")).distinct()
+            rows = rows.withColumn("_h", F.sha2("message", 256)).join(said, ["session_id", "role", "_h"], "left_anti").drop("_h")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={number}")
+    ends = lines.groupBy("path").agg(F.max(F.col("byte_offset") + F.octet_length("line") + 1).alias("end"))
+    now = files.select("path", "changed", "cursor", "model").join(ends, "path", "left")
+    now = now.join(models, "path", "left") if models is not None else now.withColumn("named", F.lit(None).cast("string"))
+    now = now.select("path", "changed", F.greatest("cursor", F.coalesce("end", F.lit(0))).alias("cursor"), F.coalesce("named", "model").alias("model"))
+    if cursors is not None:
+        now = now.unionByName(cursors.join(files.select("path"), "path", "left_anti").select(*now.columns))
+    now.write.mode("overwrite").parquet(f"{table}_cursors/batch={number}")
+
+
+def stream_ingest(
+    spark: SparkSession, landing: str, table: str, checkpoint: str, kind: str = "claude", kind_of_path: str = "file", ticks: DataFrame | None = None, **trigger: Any
+) -> StreamingQuery:
+    """Follow growing transcripts of one kind (claude, codex, gemini): each batch of ticks captures what was added.
+
+    A file source gives each path once and would miss what is appended, so rounds are driven by ticks (a rate
+    stream if none are given) and files are found by size and time. kind_of_path: `folder` where the session's
+    name is that of the file's folder (file=<name>). The table's cursors lie beside it in <table>_cursors.
+    """
+    source = ticks if ticks is not None else spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    run = lambda batch, number: capture_round(spark, landing, table, number, kind, kind_of_path)
+    return source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "3 seconds"})).start()
 
 
 def stream_dedup(stream: DataFrame, time_col: str = "created_at", late: str = "1 hour") -> DataFrame:

@@ -186,20 +186,81 @@ def test_noise_is_removed_once_per_element(spark):
     assert [r["o"] for r in df.select(tx.strip_noise(F.col("t")).alias("o")).collect()] == ["a  b", "<hook>k</hook>"]
 
 
-def test_streams_continue_over_restarts(spark, tmp_path):
-    from memloom.streaming.capture import stream_carry_model, stream_ingest
+def ticks(spark, folder, n=1):
+    for i in range(n):
+        spark.range(i, i + 1).coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_capture_follows_files_that_grow(spark, tmp_path):
+    from memloom.streaming.capture import stream_ingest
 
     landing, table, check = tmp_path / "in", tmp_path / "table", tmp_path / "check"
     landing.mkdir()
     line = lambda u, m: json.dumps({"type": "user", "uuid": u, "message": {"content": m}}) + "\n"
-    (landing / "a.jsonl").write_text(line("1", "x") + line("2", "x") + line("3", "y"))
-    for _ in range(2):
-        stream_ingest(spark, str(landing), str(table), str(check), availableNow=True).awaitTermination(60)
-        (landing / "b.jsonl").write_text(line("1", "x"))
-        (landing / "copy").mkdir(exist_ok=True)
-        (landing / "copy" / "a.jsonl").write_text(line("3", "y") + line("4", "z"))
+    run = lambda: stream_ingest(spark, str(landing), str(table), str(check), ticks=ticks(spark, tmp_path / "ticks"), availableNow=True).awaitTermination(60)
+    (landing / "a.jsonl").write_text(line("1", "x") + line("2", "x") + line("3", "y") + '{"half')
+    run()
+    (landing / "b.jsonl").write_text(line("1", "x"))
+    (landing / "copy").mkdir()
+    (landing / "copy" / "a.jsonl").write_text(line("3", "y") + line("4", "z"))
+    run()
+    with (landing / "a.jsonl").open("w") as f:  # grown: the half line completed, a text said before, a new one
+        f.write(line("1", "x") + line("2", "x") + line("3", "y") + line("5", "y") + line("6", "new"))
+    run()
+    run()
     got = sorted(r["external_uuid"] for r in spark.read.parquet(str(table)).collect())
-    assert got == ["claude-code:a:1", "claude-code:a:3", "claude-code:a:4", "claude-code:b:1"]
+    assert got == ["claude-code:a:1", "claude-code:a:3", "claude-code:a:4", "claude-code:a:6", "claude-code:b:1"]
+
+
+def test_capture_of_the_other_formats(spark, tmp_path):
+    from memloom.streaming.capture import capture_round
+
+    (tmp_path / "in").mkdir()
+    uid = "0123abcd-0000-1111-2222-333344445555"
+    said = lambda kind, m: json.dumps({"type": "event_msg", "payload": {"type": kind, "message": m}}) + "\n"
+    log = tmp_path / "in" / f"rollout-2024-{uid}.jsonl"
+    log.write_text(json.dumps({"type": "turn_context", "payload": {"model": "m1"}}) + "\n" + said("user_message", "hello"))
+    capture_round(spark, str(tmp_path / "in"), str(tmp_path / "t"), 0, "codex")
+    with log.open("a") as f:
+        f.write(said("agent_message", "answer"))
+    for _ in range(2):  # a round may be run again
+        capture_round(spark, str(tmp_path / "in"), str(tmp_path / "t"), 1, "codex")
+    got = sorted((r["role"], r["message"], r["agent_model"]) for r in spark.read.parquet(str(tmp_path / "t")).collect())
+    assert got == [("assistant", "answer", "m1"), ("user", "hello", None)]  # the model was named before the cursor
+
+    (tmp_path / "g").mkdir()
+    doc = tmp_path / "g" / "session-2024-ab12.json"
+    messages = [{"id": "1", "type": "user", "content": "hi"}]
+    for number in range(3):
+        doc.write_text(json.dumps({"sessionId": "s", "messages": messages}))
+        capture_round(spark, str(tmp_path / "g"), str(tmp_path / "u"), number, "gemini")
+        messages.append({"id": str(number + 2), "type": "gemini", "content": "hi", "model": "g"})
+    assert sorted(r["external_uuid"] for r in spark.read.parquet(str(tmp_path / "u")).collect()) == ["gemini:s:1", "gemini:s:2", "gemini:s:3"]
+
+
+def test_numbers_are_whole_and_unique_at_size(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        for adaptive in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            made = writes.numbered(spark.range(4_000_000).select((F.col("id") * 7919 % 4_000_037).alias("x")), ["x"], 10)
+            assert made.agg(F.count("*"), F.count_distinct("id"), F.min("id"), F.max("id")).first()[:] == (4_000_000, 4_000_000, 11, 4_000_010)
+        assert made.orderBy("id").where("id % 1000 = 0").selectExpr("x").collect() == made.orderBy("x").where("id % 1000 = 0").selectExpr("x").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_long_alias_chains(spark):
+    t = spark.createDataFrame([(i, f"t{i}", i - 1 if i else None) for i in range(300)] + [(1000, "c", 1001), (1001, "d", 1000)], "id long, name string, alias_of long")
+    got = {r["id"]: r["root_id"] for r in tags.resolve_aliases(t).collect()}
+    assert got == dict.fromkeys(range(300), 0) | {1000: None, 1001: None}
+
+
+def test_streams_continue_over_restarts(spark, tmp_path):
+    from memloom.streaming.capture import stream_carry_model
 
     rows = "session_id string, byte_offset long, line string"
     turn, said = json.dumps({"type": "turn_context", "payload": {"model": "m"}}), json.dumps({"type": "event_msg"})
