@@ -246,7 +246,7 @@ def _shared(x: list[np.ndarray], y: list[np.ndarray], step: int = 8192) -> np.nd
     return out
 
 
-def _hot_links(own: DataFrame, texts: DataFrame, ids: DataFrame, similarity: float, ngram: int, tile: int = 256) -> DataFrame:
+def _hot_links(own: DataFrame, texts: DataFrame, ids: DataFrame, similarity: float, ngram: int, tile: int = 1024) -> DataFrame:
     """Links (a, b) across components under keys with many sets; own: (h, v, comp, top, held, kept), top being the key's largest component with `kept` of its `held` sets.
 
     Each key's sets outside of its largest component meet all its sets, dealt into cells of about tile times
