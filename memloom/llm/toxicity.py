@@ -1,16 +1,19 @@
 """Toxicity: class-conditional Kneser-Ney models of letters within words.
 
-Two interpolated Kneser-Ney models of order six, one for toxic and one for ordinary documents, end in
-one shared distribution of letters; what a class has not seen falls back to shorter contexts, so rare
-forms of an expression are known by their parts. A document's evidence is its toxic less its ordinary
-log-likelihood, normalised by its length; a logistic curve, fitted on rows that the scoring model had
-not learnt from, turns it into a score.
-
-Counts cover every labelled row outside of the held-out fold and are summed by Spark; the model keeps the
-`model_size` most frequent letter sequences (a parameter, so what is broadcast has a fixed bound), all rarer
-ones being left to the shorter contexts. Null, empty and letterless texts have no evidence either way and
-get the score that their length gives. Rows with a null id are scored and never learnt from. Without
-labels of both classes every score is 0.5.
+Two interpolated Kneser-Ney models, one for toxic and one for ordinary documents, predict each letter of a
+word (and its end) from the ORDER - 1 before it. They differ in what was counted at full order; below that
+both back off to the same counts, in how many different contexts a sequence occurs in either class, so rare
+expressions are judged by their parts. A letter's evidence is its toxic less its ordinary log-likelihood. A
+document is scored by its evidence normalised by length (by letter, and that of its telling words by word);
+a logistic curve with these, the number of words and an offset is fitted on rows that the model they are
+scored by had not learnt from.
+
+Counts cover every labelled row outside of the held-out fold and stay in Spark, however many sequences there
+are; the evidence of each different word of the documents is found there by joins. Words are letters only,
+so an expression of several words counts by its words. Null, empty and letterless texts have no evidence
+either way and get the score of that. Rows with a null id are scored and never learnt from; rows that repeat
+an id are scored each. Without labels of both classes every score is 0.5. An empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,18 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.llm.common import documents_of, materialize
-from memloom.llm.labelled import at_most, fit_logistic, fold, one_label, with_labels
+from memloom.llm.labelled import BROADCAST_ROWS, at_most, fit_logistic, fold, one_label, with_labels
 
-ORDER = 6
+ORDER = 5
 BITS = 10
-#: Ranges of a word's evidence that are summed apart.
-LEVELS = ((1.5, 6.0), (2.5, 6.0), (3.5, 8.0))
+#: A word tells something from the first evidence on, and never more than the second.
+TELLING = (2.5, 6.0)
 WORDS = re.compile(r"[^\W\d_]+")
-_MASKS = [np.int64((1 << (BITS * n)) - 1) for n in range(ORDER + 1)]
 
 
 def letter_runs(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,94 +61,7 @@ def word_counts(text: str | None) -> Counter:
     return Counter(WORDS.findall(text.lower())) if text else Counter()
 
 
-class KneserNey:
-    """Log-likelihood ratio of letters given those before, toxic against ordinary."""
-
-    def __init__(self, runs: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, discount: float) -> None:
-        self.ready = bool(len(runs) and toxic.any() and ordinary.any())
-        if not self.ready:
-            return
-        seen = {ORDER: (runs, np.stack([toxic, ordinary]).astype(np.float64))}
-        for n in range(ORDER - 1, 0, -1):  # below the highest order a sequence counts as often as it has different letters before it
-            longer, counts = seen[n + 1]
-            keys, at = np.unique(longer & _MASKS[n], return_inverse=True)
-            seen[n] = keys, np.stack([np.bincount(at, weights=c > 0, minlength=len(keys)) for c in counts])
-        keys, counts = seen[1]
-        pooled = counts.sum(axis=0) + 0.5
-        self.letters, shared = keys, pooled / pooled.sum()
-        prob = None
-        self.keys, self.ratio, self.contexts, self.fallback = {}, {}, {}, {}
-        for n in range(1, ORDER + 1):
-            keys, counts = seen[n]
-            order = np.argsort(keys)
-            keys, counts = keys[order], counts[:, order]
-            contexts, at = np.unique(keys >> np.int64(BITS), return_inverse=True)
-            mass = np.stack([np.bincount(at, weights=c, minlength=len(contexts)) for c in counts])
-            kinds = np.stack([np.bincount(at, weights=c > 0, minlength=len(contexts)) for c in counts])
-            rest = np.where(mass > 0, discount * kinds / np.maximum(mass, 1), 1.0)
-            lower = np.stack([shared[np.searchsorted(self.letters, keys)]] * 2) if n == 1 else prob[:, np.searchsorted(last, keys & _MASKS[n - 1])]
-            prob = np.where(mass[:, at] > 0, np.maximum(counts - discount, 0) / np.maximum(mass[:, at], 1), 0) + rest[:, at] * lower
-            last = keys
-            self.keys[n], self.ratio[n] = keys, np.log(prob[0]) - np.log(prob[1])
-            self.contexts[n], self.fallback[n] = contexts, np.log(rest[0]) - np.log(rest[1])
-
-    def evidence(self, runs: np.ndarray) -> np.ndarray:
-        out, open_ = np.zeros(len(runs)), np.arange(len(runs))
-        for n in range(ORDER, 0, -1):
-            key = runs[open_] & _MASKS[n]
-            i = np.minimum(np.searchsorted(self.keys[n], key), len(self.keys[n]) - 1)
-            hit = self.keys[n][i] == key
-            out[open_[hit]] += self.ratio[n][i[hit]]
-            open_, key = open_[~hit], key[~hit] >> np.int64(BITS)
-            if not len(open_):
-                break
-            i = np.minimum(np.searchsorted(self.contexts[n], key), len(self.contexts[n]) - 1)
-            known = self.contexts[n][i] == key
-            out[open_[known]] += self.fallback[n][i[known]]
-        return out
-
-
-class Scorer:
-    """Evidence of whole texts; that of a word is computed once and kept."""
-
-    def __init__(self, model: KneserNey, keep: int = 1 << 20) -> None:
-        self.model, self.keep, self.known = model, keep, {}
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) > self.keep:
-            self.known.clear()
-        if words:
-            runs, number = letter_runs(words)
-            total = np.bincount(number, weights=self.model.evidence(runs), minlength=len(words))
-            self.known.update(zip(words, total.tolist(), strict=True))
-
-    def describe(self, texts: list[str | None]) -> np.ndarray:
-        """For each text: evidence by letter, log number of words, and over each range of LEVELS the mean, sum and share of its words' evidence."""
-        rows = np.zeros((len(texts), 2 + 3 * len(LEVELS)))
-        for i, text in enumerate(texts):
-            words = WORDS.findall(text.lower()) if text else []
-            if not words:
-                continue
-            self.learn([w for w in set(words) if w not in self.known])
-            e, n = np.array([self.known[w] for w in words]), len(words)
-            row = [e.sum() / (sum(map(len, words)) + n), np.log(n)]
-            for low, high in LEVELS:
-                strong = np.clip(e - low, 0, high - low)
-                row += [strong.sum() / n, strong.sum(), np.count_nonzero(strong) / n]
-            rows[i] = row
-        return rows
-
-
-def _design(x: np.ndarray) -> np.ndarray:
-    """Columns of the curve: length-normalised evidence, and what its strongest words add."""
-    cols = [np.ones(len(x)), 10 * x[:, 0], x[:, 1] / 5]
-    for j in range(2, x.shape[1], 3):
-        mean, total, share = x[:, j : j + 3].T
-        cols += [np.sqrt(mean), np.minimum(10 * mean, 5), np.log1p(total), np.sqrt(share)]
-    return np.column_stack(cols)
-
-
-def sequence_counts(rows: DataFrame, folds: int = 2) -> DataFrame:
+def sequence_counts(rows: DataFrame) -> DataFrame:
     """(run, t0, t1, o0, o1): how often each sequence of letters occurs in toxic and ordinary rows of either half."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,8 +84,117 @@ def sequence_counts(rows: DataFrame, folds: int = 2) -> DataFrame:
     return counted.groupBy("run").agg(*(F.sum(c).alias(c) for c in ("t0", "t1", "o0", "o1")))
 
 
+def _shorter(run: str, n: int) -> Column:
+    """The last n letters of a packed sequence."""
+    return F.col(run).bitwiseAND(F.lit((1 << BITS * n) - 1))
+
+
+def backoff(runs: DataFrame, discount: float) -> DataFrame:
+    """(key, p): the shared probability of the last letter of each sequence of ORDER - 1 letters in runs.run, given those before."""
+    keys = {ORDER: runs.select(F.col("run").alias("key"))}
+    for n in range(ORDER - 1, 0, -1):  # a sequence counts as often as it has different letters before it
+        keys[n] = materialize(keys[n + 1].groupBy(_shorter("key", n).alias("key")).agg(F.count("*").alias("c")))
+    total = keys[1].agg(F.coalesce(F.sum(F.col("c") + 0.5), F.lit(1.0))).first()[0]
+    p = keys[1].select("key", ((F.col("c") + 0.5) / total).alias("p"))
+    for n in range(2, ORDER):
+        alike = Window.partitionBy(F.shiftright("key", BITS))
+        own = keys[n].select("key", "c", F.sum("c").over(alike).alias("mass"), F.count("*").over(alike).alias("kinds"), _shorter("key", n - 1).alias("low"))
+        lower = p.select(F.col("key").alias("low"), F.col("p").alias("below"))
+        p = materialize(own.join(lower, "low").select("key", ((F.greatest(F.col("c") - discount, F.lit(0.0)) + discount * F.col("kinds") * F.col("below")) / F.col("mass")).alias("p")))
+    return p
+
+
+def letter_evidence(counts: DataFrame, discount: float) -> tuple[DataFrame, DataFrame]:
+    """((run, e0, e1, e2), (context, f0, f1, f2)): evidence of sequences that were seen, and of unseen letters after seen contexts.
+
+    By the model of the first half of the rows, of the second, and of all. A context that a class has not
+    seen gives its letters the shared probability, as an unseen letter has in both: elsewhere there is no evidence.
+    """
+    low = backoff(counts, discount).select(F.col("key").alias("low"), "p")
+    own = counts.withColumns({"t2": F.expr("t0 + t1"), "o2": F.expr("o0 + o1"), "low": _shorter("run", ORDER - 1), "context": F.shiftright("run", BITS)})
+    names = [f"{c}{m}" for c in "to" for m in range(3)]
+    sums = own.groupBy("context").agg(*(F.sum(x).alias(f"mass_{x}") for x in names), *(F.count_if(F.col(x) > 0).alias(f"kinds_{x}") for x in names))
+    sums = materialize(sums)
+    mass, rest = lambda x: F.col(f"mass_{x}"), lambda x: F.when(F.col(f"mass_{x}") > 0, discount * F.col(f"kinds_{x}") / F.col(f"mass_{x}")).otherwise(1.0)
+    prob = lambda x: F.when(mass(x) > 0, F.greatest(F.col(x) - discount, F.lit(0.0)) / mass(x)).otherwise(0.0) + rest(x) * F.col("p")
+    seen = own.join(sums, "context").join(low, "low")
+    ratios = seen.select("run", *((F.log(prob(f"t{m}")) - F.log(prob(f"o{m}"))).alias(f"e{m}") for m in range(3)))
+    after = sums.select("context", *((F.log(rest(f"t{m}")) - F.log(rest(f"o{m}"))).alias(f"f{m}") for m in range(3)))
+    return materialize(ratios), materialize(after)
+
+
+def _named(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), 4) for w in words], dtype=np.uint64).view(np.int64)
+
+
+def word_evidence(texts: DataFrame, ratios: DataFrame, after: DataFrame) -> DataFrame:
+    """(w, e0, e1, e2): the evidence of each different word of the texts; w is its hash."""
+
+    def distinct(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            words = list(set().union(*(WORDS.findall(t.lower()) for t in part["text"] if t)))
+            yield pd.DataFrame({"w": _named(words), "word": words})
+
+    def letters(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                runs, number = letter_runs(list(part["word"]))
+                yield pd.DataFrame({"w": part["w"].to_numpy()[number], "run": runs})
+
+    words = texts.select("text").mapInPandas(distinct, "w long, word string").dropDuplicates(["w"])
+    each = words.mapInPandas(letters, "w long, run long").withColumn("context", F.shiftright("run", BITS))
+    met = each.join(ratios, "run", "left").join(after, "context", "left")
+    return materialize(met.groupBy("w").agg(*(F.sum(F.coalesce(f"e{m}", f"f{m}", F.lit(0.0))).alias(f"e{m}") for m in range(3))))
+
+
+def described(rows: DataFrame, evidence: DataFrame, model: Column) -> DataFrame:
+    """rows without text, with x: evidence by letter, log number of words, telling evidence by word, and log of its sum.
+
+    model: which of e0, e1 and e2 counts. Words meet their evidence in place if different ones are few.
+    """
+    kept = [c for c in rows.columns if c != "text"]
+    schema = rows.select(*kept).schema.simpleString()[len("struct<") : -1].replace(":", " ")
+
+    def words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for start in range(0, len(part), 256):
+                some = part.iloc[start : start + 256]
+                found = [WORDS.findall(t.lower()) if t else [] for t in some["text"]]
+                code, different = pd.factorize(np.array([w for f in found for w in f] + [""], dtype=object))  # "" keeps the array from being empty
+                doc = np.repeat(np.arange(len(some)), [len(f) for f in found])
+                pair, n = np.unique(doc * len(different) + code[:-1], return_counts=True)
+                doc, code = np.divmod(pair, len(different))
+                none = np.flatnonzero([not f for f in found])  # these need a row as well
+                size = np.array([len(w) for w in different], dtype=np.int64)
+                names = _named(list(different))
+                of = np.concatenate([doc, none])
+                out = some[kept].iloc[of].reset_index(drop=True)
+                out["w"] = np.concatenate([names[code], np.zeros(len(none), np.int64)])
+                out["n"] = np.concatenate([n, np.zeros(len(none), np.int64)])
+                out["letters"] = np.concatenate([size[code] + 1, np.zeros(len(none), np.int64)])
+                yield out
+
+    each = rows.withColumn("row", F.monotonically_increasing_id())
+    kept.append("row")
+    each = each.mapInPandas(words, f"{schema}, row long, w long, n long, letters long")
+    few = evidence.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = each.join(F.broadcast(evidence) if few else evidence, "w", "left")
+    e = F.coalesce(model, F.lit(0.0))
+    telling = F.greatest(F.least(e, F.lit(TELLING[1])) - TELLING[0], F.lit(0.0))
+    sums = met.groupBy(*kept).agg(
+        F.sum(F.col("n") * e).alias("all"), F.sum(F.col("n") * F.col("letters")).alias("size"), F.sum("n").alias("words"), F.sum(F.col("n") * telling).alias("telling")
+    )
+    some = F.greatest(F.col("words"), F.lit(1))
+    x = F.array(F.col("all") / F.greatest(F.col("size"), F.lit(1)), F.log(some.cast("double")), F.col("telling") / some, F.log1p("telling"))
+    return sums.select(*(c for c in kept if c != "row"), x.alias("x"))
+
+
+#: Factors that bring the columns of x to like sizes for the fit.
+SCALE = (10.0, 0.2, 10.0, 1.0)
+
+
 def toxicity_scores(
-    docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5, model_size: int = 400_000, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted). The curve is fitted on about `sample` labelled rows."""
     texts = documents_of(docs, id_col, text_col)
@@ -177,42 +202,19 @@ def toxicity_scores(
     taught = taught.select("doc_id", "text", "label", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(2)).cast("int").alias("half"))
     counts = materialize(sequence_counts(taught))
     total = F.expr("t0 + t1 + o0 + o1")
-    sizes = counts.select(F.least(total, F.lit(10_000)).alias("n")).groupBy("n").count().collect()
-    room, least = model_size, 10_001
-    for r in sorted(sizes, key=lambda r: -r["n"]):
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r["n"]
-    once = sum(r["count"] for r in sizes if r["n"] == 1)
-    twice = sum(r["count"] for r in sizes if r["n"] == 2)
-    discount = min(0.95, max(0.3, once / (once + 2 * twice))) if once else 0.75
-    kept = counts.where(total >= least).toArrow().to_pandas().sort_values("run")
-    runs = kept["run"].to_numpy(np.int64)
-    c = {k: kept[k].to_numpy(np.float64) for k in ("t0", "t1", "o0", "o1")}
-    halves = [KneserNey(runs, c["t0"], c["o0"], discount), KneserNey(runs, c["t1"], c["o1"], discount)]
-    whole = KneserNey(runs, c["t0"] + c["t1"], c["o0"] + c["o1"], discount)
-    ready = whole.ready and all(h.ready for h in halves)
-
-    def crossed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorers = [Scorer(halves[1]), Scorer(halves[0])]
-        for part in parts:
-            for half, own in part.groupby("half"):
-                yield pd.DataFrame({"doc_id": own["doc_id"], "label": own["label"], "x": list(scorers[half].describe(list(own["text"])))})
-
-    curve = np.zeros(3 + 4 * len(LEVELS))
-    if ready:
-        fit = at_most(taught, sample, 44).mapInPandas(crossed, "doc_id long, label int, x array<double>").collect()
+    facts = counts.agg(F.count_if(total == 1).alias("once"), F.count_if(total == 2).alias("twice"), *(F.sum(c).alias(c) for c in ("t0", "t1", "o0", "o1"))).first()
+    scored = texts.select("doc_id", F.lit(0.5).alias("score"))
+    if all(facts[c] for c in ("t0", "t1", "o0", "o1")):
+        discount = min(0.95, max(0.3, facts["once"] / max(1, facts["once"] + 2 * facts["twice"])))
+        evidence = word_evidence(texts, *letter_evidence(counts, discount))
+        fit = described(at_most(taught, sample, 44), evidence, F.when(F.col("half") == 0, F.col("e1")).otherwise(F.col("e0"))).collect()
         fit = sorted((r["doc_id"], r["label"], r["x"]) for r in fit)
-        curve = fit_logistic(_design(np.array([r[2] for r in fit])), np.array([r[1] for r in fit], dtype=np.float64), 1.0)
-
-    def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(whole)
-        for part in parts:
-            s = np.full(len(part), 0.5)
-            if ready and len(part):
-                s = 1 / (1 + np.exp(-np.clip(_design(scorer.describe(list(part["text"]))) @ curve, -30, 30)))
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "score": s, "predicted": (s >= 0.5).astype("int32")})
-
-    scored = texts.mapInPandas(judge, "doc_id long, score double, predicted int")
-    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+        x = np.column_stack([np.ones(len(fit)), np.array([r[2] for r in fit]) * SCALE])
+        curve = fit_logistic(x, np.array([r[1] for r in fit], dtype=np.float64), 1.0)
+        z = F.lit(float(curve[0]))
+        for i, (w, k) in enumerate(zip(curve[1:], SCALE, strict=True)):
+            z = z + F.col("x")[i] * float(w * k)
+        scored = described(texts, evidence, F.col("e2")).select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
+    return scored.select(
+        "doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import math
 import hashlib
 import zlib
 
@@ -268,18 +269,56 @@ def test_similar_groups_against_all_pairs_at_the_limit(spark):
 # ---- op 4, 8, 10 ------------------------------------------------------------
 
 
-def test_letter_runs_and_kneser_ney_sum_to_one():
-    runs, number = toxicity.letter_runs(["ab", "é"])
-    assert number.tolist() == [0, 0, 0, 1, 1] and len(set(runs.tolist())) == 5
-    words = ["stupid", "idiot", "table", "chair", "chain", "stable"]
-    runs, number = toxicity.letter_runs(words)
-    keys, at = np.unique(runs, return_inverse=True)
-    toxic = np.bincount(at, weights=(number < 2).astype(float))
-    ordinary = np.bincount(at, weights=(number >= 2).astype(float))
-    s = toxicity.Scorer(toxicity.KneserNey(keys, toxic, ordinary, 0.75))
-    s.learn([*words, "idiotic", "chairs", "zzz"])
-    assert s.known["idiotic"] > 1 and s.known["chairs"] < -1
-    assert abs(s.known["zzz"]) < abs(s.known["idiotic"])
+def test_letter_evidence_against_plain_kneser_ney(spark):
+    """Every letter's evidence against dictionaries of letters, whose probabilities sum to one in each context."""
+    rng, size = np.random.default_rng(6), toxicity.ORDER
+    rows = [(i, " ".join("".join(rng.choice(list("abc"), rng.integers(1, 7))) for _ in range(12)), int(i % 3 == 0), i % 2) for i in range(40)]
+    counts = toxicity.sequence_counts(spark.createDataFrame(rows, "doc_id long, text string, label int, half int"))
+    discount, start, end = 0.7, "<", ">"
+    seen = {c: collections.Counter() for c in ("t0", "t1", "o0", "o1")}
+    for _, text, label, half in rows:
+        for w in text.split():
+            padded = start * (size - 1) + w + end
+            seen[("t" if label else "o") + str(half)].update(padded[i : i + size] for i in range(len(padded) - size + 1))
+    every = set().union(*seen.values())
+    level = {size: every}
+    lower = {}
+    for n in range(size - 1, 0, -1):
+        lower[n] = collections.Counter(k[-n:] for k in level[n + 1])
+        level[n] = set(lower[n])
+    letters = sorted(level[1])
+
+    def shared(context, letter, n):
+        if n == 1:
+            return (lower[1][letter] + 0.5) / sum(c + 0.5 for c in lower[1].values())
+        own = {k[-1]: c for k, c in lower[n].items() if k[:-1] == context}
+        below = shared(context[1:], letter, n - 1)
+        return below if not own else (max(own.get(letter, 0) - discount, 0) + discount * len(own) * below) / sum(own.values())
+
+    def prob(table, context, letter):
+        own = {k[-1]: c for k, c in table.items() if k[:-1] == context}
+        below = shared(context[1:], letter, size - 1)
+        return below if not own else (max(own.get(letter, 0) - discount, 0) + discount * len(own) * below) / sum(own.values())
+
+    toxic, ordinary = seen["t0"] + seen["t1"], seen["o0"] + seen["o1"]
+    for context in sorted({k[:-1] for k in every})[:25]:
+        for table in (toxic, ordinary):
+            assert abs(sum(prob(table, context, x) for x in letters) - 1) < 1e-9
+    words = ["abc", "cab", "a", "ccccccb", "bbbba", "xyz"]
+    got = toxicity.word_evidence(spark.createDataFrame([(" ".join(words) + " abc",)], "text string"), *toxicity.letter_evidence(counts, discount))
+    got = {r["w"]: r["e2"] for r in got.collect()}
+    assert len(got) == len(words)
+    for w, name in zip(words, toxicity._named(words).tolist(), strict=True):
+        padded = start * (size - 1) + w + end
+        want = 0.0
+        for i in range(len(padded) - size + 1):
+            k = padded[i : i + size]
+            if not set(k) <= set("abc<>"):  # a letter of neither class: the same backoff in both
+                t, o = ([c for x, c in table.items() if x[:-1] == k[:-1]] for table in (toxic, ordinary))
+                want += math.log(discount * len(t) / sum(t) if t else 1) - math.log(discount * len(o) / sum(o) if o else 1)
+            else:
+                want += math.log(prob(toxic, k[:-1], k[-1])) - math.log(prob(ordinary, k[:-1], k[-1]))
+        assert got[name] == pytest.approx(want, abs=1e-9), w
 
 
 def synthetic(spark, n=600):
