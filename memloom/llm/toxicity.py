@@ -9,7 +9,8 @@ a logistic curve with these, the number of words and an offset is fitted on rows
 scored by had not learnt from.
 
 Counts cover every labelled row outside of the held-out fold and stay in Spark, however many sequences there
-are; the evidence of each different word of the documents is found there by joins. Words are letters only,
+are. The tables made from them are sent to the tasks if they are few (a checked bound), else the evidence
+of each different word of the documents is found by joins. Words are letters only,
 so an expression of several words counts by its words. Null, empty and letterless texts have no evidence
 either way and get the score of that. Rows with a null id are scored and never learnt from; rows that repeat
 an id are scored each. Without labels of both classes every score is 0.5. An empty table gives an empty
@@ -29,12 +30,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.llm.common import documents_of, materialize
-from memloom.llm.labelled import BROADCAST_ROWS, at_most, fit_logistic, fold, one_label, with_labels
+from memloom.llm.labelled import at_most, fit_logistic, fold, one_label, with_labels
 
 ORDER = 5
 BITS = 10
 #: A word tells something from the first evidence on, and never more than the second.
 TELLING = (2.5, 6.0)
+#: Factors that bring the columns of x to like sizes for the fit.
+SCALE = (10.0, 0.2, 10.0, 1.0)
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -147,56 +150,103 @@ def word_evidence(texts: DataFrame, ratios: DataFrame, after: DataFrame) -> Data
     return materialize(met.groupBy("w").agg(*(F.sum(F.coalesce(f"e{m}", f"f{m}", F.lit(0.0))).alias(f"e{m}") for m in range(3))))
 
 
-def described(rows: DataFrame, evidence: DataFrame, model: Column) -> DataFrame:
+class Letters:
+    """Evidence of letters by one model, from the tables of letter_evidence."""
+
+    def __init__(self, ratios: DataFrame, after: DataFrame, model: int) -> None:
+        self.tables = []
+        for df, key, value in ((ratios, "run", f"e{model}"), (after, "context", f"f{model}")):
+            t = df.select(key, value).toArrow()
+            k, v = t[key].to_numpy(), t[value].to_numpy()
+            order = np.argsort(k)
+            self.tables.append((k[order], v[order]))
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        runs, number = letter_runs(words)
+        out, open_ = np.zeros(len(runs)), np.arange(len(runs))
+        for (keys, values), shift in zip(self.tables, (0, BITS), strict=True):
+            if len(keys):
+                asked = runs[open_] >> np.int64(shift)
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                hit = keys[at] == asked
+                out[open_[hit]] = values[at[hit]]
+                open_ = open_[~hit]
+        return np.bincount(number, weights=out, minlength=len(words))
+
+
+def _words_of(texts: pd.Series, step: int = 1024) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[str], np.ndarray]]:
+    """For some texts at a time: where they are, and by text and different word how often: (start, end, text, word's number, words, times)."""
+    for start in range(0, len(texts), step):
+        found = [WORDS.findall(t.lower()) if t else [] for t in texts.iloc[start : start + step]]
+        code, different = pd.factorize(np.array([w for f in found for w in f] + [""], dtype=object))  # "" keeps the array from being empty
+        doc = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        pair, n = np.unique(doc * len(different) + code[:-1], return_counts=True)
+        doc, code = np.divmod(pair, len(different))
+        yield start, start + len(found), doc, code, list(different), n
+
+
+def _schema(rows: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
+
+
+def described_in_place(rows: DataFrame, letters: list[Letters], model: str) -> DataFrame:
+    """As described, with the tables at hand in every task; rows.model says by which of them a row is judged."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            x = np.zeros((len(part), len(SCALE)))
+            which = part[model].to_numpy()
+            for start, end, doc, code, words, n in _words_of(part["text"]):
+                size = np.array([len(w) for w in words], dtype=np.int64) + 1
+                add = lambda v, doc=doc, k=end - start: np.bincount(doc, weights=v, minlength=k)
+                for m, own in enumerate(letters):
+                    if not (which[start:end] == m).any():
+                        continue
+                    e = own.of_words(words)[code]
+                    telling, count = add(n * np.clip(e - TELLING[0], 0, TELLING[1] - TELLING[0])), add(n)
+                    some = np.maximum(count, 1)
+                    rows_ = np.column_stack([add(n * e) / np.maximum(add(n * size[code]), 1), np.log(some), telling / some, np.log1p(telling)])
+                    x[start:end] = np.where((which[start:end] == m)[:, None], rows_, x[start:end])
+            yield part.drop(columns="text").assign(x=list(x))
+
+    return rows.mapInPandas(run, f"{_schema(rows)}, x array<double>")
+
+
+def described(rows: DataFrame, evidence: DataFrame, model: str) -> DataFrame:
     """rows without text, with x: evidence by letter, log number of words, telling evidence by word, and log of its sum.
 
-    model: which of e0, e1 and e2 counts. Words meet their evidence in place if different ones are few.
+    By joins on words, for tables of any size; rows.model says which of e0, e1 and e2 judges a row.
     """
     kept = [c for c in rows.columns if c != "text"]
-    schema = rows.select(*kept).schema.simpleString()[len("struct<") : -1].replace(":", " ")
 
     def words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for start in range(0, len(part), 256):
-                some = part.iloc[start : start + 256]
-                found = [WORDS.findall(t.lower()) if t else [] for t in some["text"]]
-                code, different = pd.factorize(np.array([w for f in found for w in f] + [""], dtype=object))  # "" keeps the array from being empty
-                doc = np.repeat(np.arange(len(some)), [len(f) for f in found])
-                pair, n = np.unique(doc * len(different) + code[:-1], return_counts=True)
-                doc, code = np.divmod(pair, len(different))
-                none = np.flatnonzero([not f for f in found])  # these need a row as well
-                size = np.array([len(w) for w in different], dtype=np.int64)
-                names = _named(list(different))
-                of = np.concatenate([doc, none])
-                out = some[kept].iloc[of].reset_index(drop=True)
-                out["w"] = np.concatenate([names[code], np.zeros(len(none), np.int64)])
-                out["n"] = np.concatenate([n, np.zeros(len(none), np.int64)])
-                out["letters"] = np.concatenate([size[code] + 1, np.zeros(len(none), np.int64)])
-                yield out
-
-    each = rows.withColumn("row", F.monotonically_increasing_id())
-    kept.append("row")
-    each = each.mapInPandas(words, f"{schema}, row long, w long, n long, letters long")
-    few = evidence.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    met = each.join(F.broadcast(evidence) if few else evidence, "w", "left")
-    e = F.coalesce(model, F.lit(0.0))
+            for start, end, doc, code, different, n in _words_of(part["text"]):
+                none = np.setdiff1d(np.arange(end - start), doc)  # these need a row as well
+                size, names, zero = np.array([len(w) for w in different], dtype=np.int64), _named(different), np.zeros(len(none), np.int64)
+                out = part[[*kept, "row"]].iloc[np.concatenate([doc, none]) + start].reset_index(drop=True)
+                yield out.assign(w=np.concatenate([names[code], zero]), n=np.concatenate([n, zero]), letters=np.concatenate([size[code] + 1, zero]))
+
+    each = rows.withColumn("row", F.monotonically_increasing_id()).mapInPandas(words, f"{_schema(rows)}, row long, w long, n long, letters long")
+    met = each.join(evidence, "w", "left")
+    e = F.coalesce(F.when(F.col(model) == 0, F.col("e0")).when(F.col(model) == 1, F.col("e1")).otherwise(F.col("e2")), F.lit(0.0))
     telling = F.greatest(F.least(e, F.lit(TELLING[1])) - TELLING[0], F.lit(0.0))
-    sums = met.groupBy(*kept).agg(
+    sums = met.groupBy(*kept, "row").agg(
         F.sum(F.col("n") * e).alias("all"), F.sum(F.col("n") * F.col("letters")).alias("size"), F.sum("n").alias("words"), F.sum(F.col("n") * telling).alias("telling")
     )
     some = F.greatest(F.col("words"), F.lit(1))
     x = F.array(F.col("all") / F.greatest(F.col("size"), F.lit(1)), F.log(some.cast("double")), F.col("telling") / some, F.log1p("telling"))
-    return sums.select(*(c for c in kept if c != "row"), x.alias("x"))
-
-
-#: Factors that bring the columns of x to like sizes for the fit.
-SCALE = (10.0, 0.2, 10.0, 1.0)
+    return sums.select(*kept, x.alias("x"))
 
 
 def toxicity_scores(
-    docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5, sample: int = 20_000, few: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, held_out, score, predicted). The curve is fitted on about `sample` labelled rows."""
+    """(doc_id, held_out, score, predicted). The curve is fitted on about `sample` labelled rows.
+
+    few: tables of up to so many sequences (32 bytes each) are sent to the tasks; larger ones are joined with
+    the different words of the texts, to the same scores.
+    """
     texts = documents_of(docs, id_col, text_col)
     taught = with_labels(texts.where(fold(F.col("doc_id"), folds) != held_out), one_label(labels, "toxic", id_col))
     taught = taught.select("doc_id", "text", "label", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(2)).cast("int").alias("half"))
@@ -206,15 +256,21 @@ def toxicity_scores(
     scored = texts.select("doc_id", F.lit(0.5).alias("score"))
     if all(facts[c] for c in ("t0", "t1", "o0", "o1")):
         discount = min(0.95, max(0.3, facts["once"] / max(1, facts["once"] + 2 * facts["twice"])))
-        evidence = word_evidence(texts, *letter_evidence(counts, discount))
-        fit = described(at_most(taught, sample, 44), evidence, F.when(F.col("half") == 0, F.col("e1")).otherwise(F.col("e0"))).collect()
+        ratios, after = letter_evidence(counts, discount)
+        if ratios.count() + after.count() <= few:
+            letters = [Letters(ratios, after, m) for m in range(3)]
+            describe = lambda rows: described_in_place(rows, letters, "model")
+        else:
+            evidence = word_evidence(texts, ratios, after)
+            describe = lambda rows: described(rows, evidence, "model")
+        fit = describe(at_most(taught, sample, 44).select("doc_id", "text", "label", (1 - F.col("half")).alias("model"))).collect()
         fit = sorted((r["doc_id"], r["label"], r["x"]) for r in fit)
         x = np.column_stack([np.ones(len(fit)), np.array([r[2] for r in fit]) * SCALE])
         curve = fit_logistic(x, np.array([r[1] for r in fit], dtype=np.float64), 1.0)
         z = F.lit(float(curve[0]))
         for i, (w, k) in enumerate(zip(curve[1:], SCALE, strict=True)):
             z = z + F.col("x")[i] * float(w * k)
-        scored = described(texts, evidence, F.col("e2")).select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
+        scored = describe(texts.withColumn("model", F.lit(2))).select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
     return scored.select(
         "doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )

@@ -350,6 +350,13 @@ def test_classifiers_on_held_out_rows(spark, messy, empty, labels, operator, col
     assert {r["score"] for r in none} == {0.5}
 
 
+def test_toxicity_by_joins_gives_the_same_scores(spark, messy, labels):
+    docs, lab = synthetic(spark)
+    for rows_, own in ((docs, lab), (docs.unionByName(messy.select("doc_id", "text"), allowMissingColumns=True), lab)):
+        here, there = (sorted((str(r["doc_id"]), round(r["score"], 9)) for r in toxicity.toxicity_scores(rows_, own, few=n).collect()) for n in (2_000_000, 0))
+        assert here == there
+
+
 def test_labels_by_majority(spark, labels):
     got = {r["doc_id"]: r["label"] for r in labelled.one_label(labels, "quality").collect()}
     assert got[1] == 1 and got[3] == 1 and None not in got
