@@ -72,7 +72,9 @@ class Tree:
 
 
 def unit(vectors: list) -> np.ndarray:
+    """Vectors of length one. Divided by their largest component first, so that squares neither vanish nor overflow."""
     x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

@@ -406,6 +406,12 @@ def test_embeddings_against_all_pairs(spark):
     assert neighbours.embedding_components(df.where("false")).count() == 0
 
 
+def test_cosines_of_very_small_and_large_components(spark):
+    data = [(1, [1e-200, 1e-200]), (2, [0.1, 1.0]), (3, [1e200, 1e200]), (4, [2e200, 2e200]), (5, [5e-324, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neighbours.embedding_components(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (0, 2), 3: (2, 1), 4: (2, 1), 5: (0, 5)}
+
+
 # ---- op 6 and 7 -------------------------------------------------------------
 
 
