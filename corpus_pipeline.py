@@ -29,13 +29,16 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pairwise ranking rejects go; those without an id stay."""
+    """Documents that the pairwise ranking rejects go; those without an id stay. Null and empty texts are judged like others, repeated rows alike; without labels, and of an empty table, nothing goes."""
     judged = materialize(quality_scores(docs, table(spark, sf_dir, "labels")))
     return _without(docs, judged.where("predicted = 0").select("doc_id"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest id."""
+    """One document of each group stays: that with the smallest id, whatever its place; rows that repeat this id all stay.
+
+    Texts without a word and rows without an id are in no group and stay; an empty table stays empty.
+    """
     groups = materialize(similar_groups(docs, similarity=0.8, ngram=5))
     return _without(docs, groups.where("doc_id <> component_id").select("doc_id"))
 
@@ -48,14 +51,18 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Four fifths of the tokens, shared among domains, languages and sources by weight; no row twice."""
+    """Four fifths of the tokens, shared among domains, languages and sources by weight; no row twice.
+
+    Null labels are a leaf of their own; texts without a word come where their place is taken. Rows that repeat
+    an id come together; those without one stay away from a prefix's last cell. An empty table stays empty.
+    """
     number = F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int")
     domain = F.when(number < 10, "web").when(number >= 10, "books").otherwise("unknown")
     return mix(docs.select(COLUMNS), WEIGHTS, share=0.8, max_epochs=1.0, domain=domain, keep=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens and their places in sequences."""
+    """Pieces of at most 1024 tokens and their places in sequences. Null and empty texts are a piece of their end token; repeated rows are packed each; an empty table gives no sequence."""
     return pack(docs)
 
 
