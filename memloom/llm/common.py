@@ -113,6 +113,14 @@ def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix64((total[k:] - total[:-k]) * down[: n - k + 1])
 
 
+def run_hashes_by_row(words: np.ndarray, k: int) -> np.ndarray:
+    """run_hashes of each row of a matrix."""
+    up, down = _POWERS.get(words.shape[1] + 1)
+    total = np.zeros((len(words), words.shape[1] + 1), dtype=np.uint64)
+    np.cumsum(words * up[:-1], axis=1, out=total[:, 1:])
+    return mix64((total[:, k:] - total[:, :-k]) * down[: words.shape[1] - k + 1])
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w consecutive values, by doubling."""
     out, have = x, 1

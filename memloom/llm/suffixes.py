@@ -4,8 +4,13 @@ Only suffixes that start at a minimiser are kept (one in about a dozen words). A
 a passage choose the same minimisers within it, so both have suffixes that start alike. Suffixes whose first
 `key` words occur once are left out (counted by Spark, carried back by a filter of bounded size); the others
 are sorted, neighbours are compared, and matches are extended to the right and, from the words before, to
-the left. Two orders are used, one by the words that follow and one by those before, so that the neighbour
-with the longest match on either side is met; each is compared with the NEIGHBOURS before it.
+the left.
+
+Suffixes that start alike are a group. In a group of two the neighbours are all there is; in a larger one a
+suffix can share its right side with one neighbour and, by both sides together, a passage with one further
+away. So each of its windows of `least` words is also looked up in the group: within the task, or, for a
+group of over GROUP_ROWS rows or one that is cut by the bounds of a task, by grouping hashes across tasks.
+No group has to fit one task, and every repeated window is found.
 
 Every suffix carries `least` words of its own and those before that a passage of that length can have, as
 32-bit hashes; longer passages come out whole because their suffixes' spans overlap. Suffixes alike in all
@@ -16,7 +21,6 @@ the order go by doc_id and place. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import chunks, documents_of, materialize, run_hashes, words_of
+from memloom.llm.common import chunks, documents_of, materialize, mix64, run_hashes, run_hashes_by_row, words_of
 from memloom.llm.mixing import word_count
 from memloom.llm.repeats import Filter, filter_of, minimisers, repeated
 
-#: How many suffixes before each in an order it is compared with.
-NEIGHBOURS = 3
+#: Rows of one group that a task holds at once; the windows of larger groups are compared across tasks.
+GROUP_ROWS = 20_000
 
 
 def _suffixes(hashes: np.ndarray, first: np.ndarray, window: int, key: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,39 +98,93 @@ def suffixes(texts: DataFrame, window: int, key: int, least: int, chosen: Filter
     return texts.mapInPandas(run, "h long, doc_id long, at long, after binary, before binary, n long")
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Words in the common prefix."""
-    n = min(len(a), len(b)) // 4
-    if a[: 4 * n] == b[: 4 * n]:
-        return n
-    differ = np.frombuffer(a, ">u4", n) != np.frombuffer(b, ">u4", n)
-    return int(differ.argmax())
-
-
-def spans(found: DataFrame, least: int, by: str) -> DataFrame:
-    """(doc_id, start, n): spans of both of two neighbours that share `least` words around their starts."""
+def _words(column: pd.Series, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of `most` word hashes, zero beyond a row's own, and how many are its own."""
+    flat = b"".join(x.ljust(4 * most, b"\0") for x in column)
+    return np.frombuffer(flat, ">u4").reshape(-1, most).astype(np.uint64), column.str.len().to_numpy().astype(np.int64) // 4
+
+
+def _common(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Words in the common prefix of each row and the next."""
+    differ = words[1:] != words[:-1]
+    alike = np.where(differ.any(axis=1), differ.argmax(axis=1), words.shape[1])
+    return np.minimum(alike, np.minimum(n[1:], n[:-1]))
+
+
+def _compare(part: pd.DataFrame, across: set[int], least: int, back: int) -> Iterator[pd.DataFrame]:
+    """Spans of sorted suffixes (w null), and of the groups in `across` one place of each window with its hash w."""
+    part = part.drop_duplicates(["doc_id", "at", "after", "before"], ignore_index=True)
+    h, doc, at = (part[c].to_numpy().astype(np.int64) for c in ("h", "doc_id", "at"))
+    after, n_after = _words(part["after"], least)
+    before, n_before = _words(part["before"], back)
+    # found[i, k]: the window with k words before the start of suffix i occurs elsewhere.
+    found, left_words = np.zeros((len(part), back + 1), dtype=bool), np.arange(back + 1)
+    right, left = _common(after, n_after), _common(before, n_before)
+    alike = (h[1:] == h[:-1]) & ((doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))
+    shared = alike[:, None] & (left_words >= (least - right)[:, None]) & (left_words <= left[:, None])
+    found[1:] |= shared
+    found[:-1] |= shared
+
+    _, group, size = np.unique(h, return_inverse=True, return_counts=True)
+    wide = np.isin(h, np.fromiter(across, np.int64, len(across)))
+    rows = np.flatnonzero(wide | (size[group] > 2))
+    wide, own_doc, own_at = wide[rows], doc[rows], at[rows]
+    hashes = run_hashes_by_row(mix64(np.hstack([before[rows, ::-1], after[rows]])), least)
+    for k in range(back + 1):
+        some = np.flatnonzero((n_before[rows] >= k) & (n_after[rows] >= least - k))
+        w = mix64(hashes[some, back - k] + np.uint64(k))
+        order = np.lexsort((own_at[some], own_doc[some], w))
+        some, w = some[order], w[order]
+        new = np.concatenate([[True], w[1:] != w[:-1]])[: len(w)]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(w) else np.zeros(0, np.int64)
+        last = np.append(np.flatnonzero(new)[1:], len(w))[np.cumsum(new) - 1] - 1 if len(w) else first
+        # Rows that repeat an id are one place, so the first and the last of equal windows must differ in it.
+        twice = (own_doc[some[first]] != own_doc[some[last]]) | (own_at[some[first]] != own_at[some[last]])
+        found[rows[some[twice]], k] = True
+        one = some[new & wide[some]]
+        yield pd.DataFrame({"doc_id": own_doc[one], "start": own_at[one] - k, "n": least, "w": w[new & wide[some]].view(np.int64)})
+
+    # Windows with k to m words before the start, all found, are one span.
+    edges = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (i, k), (_, m) = np.nonzero(edges == 1), np.nonzero(edges == -1)
+    yield pd.DataFrame({"doc_id": doc[i], "start": at[i] - (m - 1), "n": least + m - 1 - k, "w": None})
+
+
+def spans(suffixes: DataFrame, least: int, back: int, group_rows: int) -> DataFrame:
+    """(doc_id, start, n): spans of `least` words or more, around the suffixes' starts, that occur twice."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        recent: deque = deque(maxlen=NEIGHBOURS)
+        across: set[int] = set()  # a task's first and last group may go on in another, and large ones come in parts
+        rest = None
         for part in parts:
-            out = []
-            for now in part.itertuples(index=False, name=None):
-                h, doc, at, after, before = now
-                for last in recent:
-                    if last[0] == h and last[1:3] != (doc, at):
-                        right, left = _common(last[3], after), _common(last[4], before)
-                        if right + left >= least:
-                            out.append((doc, at - left, right + left))
-                            out.append((last[1], last[2] - left, right + left))
-                recent.append(now)
-            yield pd.DataFrame(out, columns=["doc_id", "start", "n"])
-
-    order = ["h", by, "before" if by == "after" else "after", "doc_id", "at"]
-    dealt = found.repartition("h").sortWithinPartitions(*order)
-    return dealt.select("h", "doc_id", "at", "after", "before").mapInPandas(run, "doc_id long, start long, n long")
-
-
-def repeated_passages(docs: DataFrame, least: int = 50, key: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            rest = part if rest is None else pd.concat([rest, part], ignore_index=True)
+            if not len(rest):
+                continue
+            h = rest["h"].to_numpy()
+            across = across or {int(h[0])}
+            cut = int(np.flatnonzero(h == h[-1])[0])
+            if len(h) - cut > group_rows:
+                across.add(int(h[-1]))
+                cut = len(h)
+            if cut:
+                yield from _compare(rest[:cut], across, least, back)
+                rest = rest[cut:]
+        if rest is not None and len(rest):
+            yield from _compare(rest, across | {int(rest["h"].iloc[-1])}, least, back)
+
+    # Dealt by range, so that one group can be spread over tasks.
+    dealt = suffixes.select("h", "doc_id", "at", "after", "before").repartitionByRange("h", "doc_id")
+    dealt = dealt.sortWithinPartitions("h", "after", "before", "doc_id", "at")
+    got = materialize(dealt.mapInPandas(run, "doc_id long, start long, n long, w long"))
+    open_ = got.where("w is not null")
+    places = open_.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
+    more = open_.join(places.where("first <> last").select("w"), "w", "left_semi")
+    return got.where("w is null").select("doc_id", "start", "n").union(more.select("doc_id", "start", "n"))
+
+
+def repeated_passages(
+    docs: DataFrame, least: int = 50, key: int = 24, group_rows: int = GROUP_ROWS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """(doc_id, n_words, n_repeated, passages array<struct<start, end>>): the words of each text that lie in passages found twice.
 
     A passage of `least` words has a minimiser in its first least - key, with `key` words after it.
@@ -137,7 +195,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, key: int = 24, id_col: s
     chosen = filter_of(materialize(repeated(suffix_counts(known, window, key))))
     found = materialize(suffixes(known, window, key, least, chosen))
     whole = found.where("n = 0")
-    every = spans(whole, least, "after").union(spans(whole, least, "before")).union(found.where("n > 0").select("doc_id", "at", "n"))
+    every = spans(whole, least, least - key, group_rows).union(found.where("n > 0").select("doc_id", "at", "n"))
     # Union of spans in a document: a span that starts behind all earlier ends opens a passage.
     every = every.distinct().selectExpr("doc_id", "start", "start + n as end")
     every = every.selectExpr("*", "max(end) over (partition by doc_id order by start, end rows between unbounded preceding and 1 preceding) as reach")

@@ -492,26 +492,52 @@ def test_filter_misses_nothing_and_can_be_left_out(spark):
     assert everything.bits is None and everything.has(other).all()
 
 
-def test_passages_against_all_windows(spark, messy, empty):
-    words = {k: v.encode().split() for k, v in texts().items()}
+def plain_repeated(docs, least):
     where = collections.defaultdict(list)
+    words = {k: v.encode().split() for k, v in docs.items()}
     for k, w in words.items():
-        for i in range(len(w) - 49):
-            where[tuple(w[i : i + 50])].append((k, i))
+        for i in range(len(w) - least + 1):
+            where[tuple(w[i : i + least])].append((k, i))
     want = {k: np.zeros(len(w), dtype=bool) for k, w in words.items()}
     for at in where.values():
         for k, i in at if len(at) > 1 else []:
-            want[k][i : i + 50] = True
+            want[k][i : i + least] = True
+    return want
+
+
+def covered(row):
+    have = np.zeros(row["n_words"], dtype=bool)
+    for p in row["passages"]:
+        have[p["start"] : p["end"]] = True
+    assert row["n_repeated"] == have.sum()
+    return have.tolist()
+
+
+def test_passages_against_all_windows(spark, messy, empty):
+    want = plain_repeated(texts(), 50)
     for r in suffixes.repeated_passages(messy).collect():
         if r["doc_id"] is not None:
-            have = np.zeros(len(words[r["doc_id"]]), dtype=bool)
-            for p in r["passages"]:
-                have[p["start"] : p["end"]] = True
-            assert (have == want[r["doc_id"]]).all(), r["doc_id"]
-            assert r["n_repeated"] == have.sum() and r["n_words"] == len(have)
+            assert covered(r) == want[r["doc_id"]].tolist(), r["doc_id"]
     assert suffixes.repeated_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("group_rows", [suffixes.GROUP_ROWS, 5])
+def test_passages_between_frequent_neighbours(spark, group_rows):
+    """Few texts share head, body and tail together; many share the body and one of the two, which alone is too short."""
+    body, heads, tails = prose(500, 40), [prose(600 + i, 6) for i in range(9)], [prose(700 + i, 6) for i in range(9)]
+    rng = np.random.default_rng(4)
+    pairs = [(i, j) for i in range(9) for j in range(9)] + [(int(i), int(j)) for i, j in rng.integers(0, 9, (12, 2))]
+    docs = {n: " ".join([prose(800 + n, 30), heads[i], body, tails[j], prose(900 + n, 30)]) for n, (i, j) in enumerate(pairs)}
+    want = plain_repeated(docs, 50)
+    assert 12 < sum(x.any() for x in want.values()) < 40
+    got = suffixes.repeated_passages(spark.createDataFrame([*docs.items(), (0, docs[0])], "doc_id long, text string"), group_rows=group_rows)
+    assert {r["doc_id"]: covered(r) for r in got.collect()} == {k: v.tolist() for k, v in want.items()}
+    # Very repetitive texts: windows that overlap themselves.
+    small = {i: " ".join(rng.choice(["x", "y"], rng.integers(0, 90))) for i in range(60)}
+    got = suffixes.repeated_passages(spark.createDataFrame(list(small.items()), "doc_id long, text string"), least=12, key=6, group_rows=group_rows)
+    assert {r["doc_id"]: covered(r) for r in got.collect()} == {k: v.tolist() for k, v in plain_repeated(small, 12).items()}
+
+
 # ---- op 9 -------------------------------------------------------------------
 
 
