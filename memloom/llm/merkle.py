@@ -3,21 +3,22 @@
 Leaves are pieces of a paragraph (runs of words, cut where a word's hash says so, about four words long),
 their parents are paragraphs (lines), sections are runs of about eight paragraphs, cut where a paragraph's
 digest says so, and the root is over the sections. Cuts depend on content alone, so an edit changes the
-leaves it touches and the branches above them, wherever it lies and however it moves the rest.
+leaves it touches and the branches above them, wherever it lies and however it moves the rest. A leaf's
+digest has 128 bits; every node above is the SHA-256 of its children's digests.
 
-A fingerprint is the tree as text: the root (SHA-256 of the sections' digests), a colon, and the leaves'
-digests with `.` between paragraphs and `/` between sections. Roots test equality; leaves that differ
-locate edits (`differences`) and give a likeness (`likeness`) between 0 and 1.
+A fingerprint is the tree as text: the root, a colon, and the sections with `/` between them. A section is
+its digest (64 bits shown), `=`, and its paragraphs with `.` between them; a paragraph is its digest (as
+many), `-`, and its leaves' digests (32 bits shown). Roots test equality; sections and paragraphs that
+differ locate edits (`differences`), and the leaves give a likeness (`likeness`) between 0 and 1.
 
 A null text counts as empty; an empty text has a root and no leaf. White space is part of the pieces, so
-equal fingerprints mean equal texts. Rows with a null id are left out, as they have no next document; of
+equal fingerprints mean equal texts (up to collisions of 128-bit hashes). Rows with a null id are left out, as they have no next document; of
 rows that repeat an id the order is by text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from memloom.llm.common import documents_of
 
 LEAF_WORDS, SECTION_PARAGRAPHS = 4, 8
+#: Hexadecimal digits of a leaf's and of a node's digest in a fingerprint.
+LEAF_HEX, NODE_HEX = 8, 16
 
 
 def _paragraph(line: bytes) -> tuple[bytes, tuple[str, ...]]:
@@ -44,26 +47,26 @@ def _paragraph(line: bytes) -> tuple[bytes, tuple[str, ...]]:
             start = at
     if start < len(line):
         pieces.append(line[start:])
-    node = hashlib.sha256()
-    for x in pieces:
-        node.update(len(x).to_bytes(8, "big"))
-        node.update(x)
-    return node.digest(), tuple(map(xxhash.xxh32_hexdigest, pieces))
+    digests = b"".join(map(xxhash.xxh3_128_digest, pieces))
+    shown = digests.hex()
+    return hashlib.sha256(digests).digest(), tuple(shown[i : i + LEAF_HEX] for i in range(0, len(shown), 32))
 
 
-Tree = tuple[str, list[list[tuple[str, ...]]]]
+Paragraph = tuple[str, tuple[str, ...]]
+Tree = tuple[str, list[tuple[str, list[Paragraph]]]]
 
 
 def tree(text: str | None, known: dict | None = None) -> Tree:
-    """(root, sections of paragraphs of leaf digests). known keeps paragraphs that have been seen."""
+    """(root, sections), a section being (digest, paragraphs), a paragraph (digest, leaf digests). known keeps paragraphs that have been seen."""
     known = {} if known is None else known
     sections, section, nodes = [], [], []
     top = hashlib.sha256()
 
     def close() -> None:
         if section:
-            top.update(hashlib.sha256(b"".join(nodes)).digest())
-            sections.append(section.copy())
+            node = hashlib.sha256(b"".join(nodes))
+            top.update(node.digest())
+            sections.append((node.hexdigest()[:NODE_HEX], section.copy()))
             section.clear()
             nodes.clear()
 
@@ -71,7 +74,7 @@ def tree(text: str | None, known: dict | None = None) -> Tree:
         if line not in known:
             known[line] = _paragraph(line)
         node, leaves = known[line]
-        section.append(leaves)
+        section.append((node.hex()[:NODE_HEX], leaves))
         nodes.append(node)
         if node[0] % SECTION_PARAGRAPHS == 0:
             close()
@@ -80,23 +83,28 @@ def tree(text: str | None, known: dict | None = None) -> Tree:
 
 
 def leaf_counts(t: Tree) -> Counter:
-    return Counter(chain.from_iterable(chain.from_iterable(t[1])))
+    return Counter(chain.from_iterable(leaves for _, section in t[1] for _, leaves in section))
 
 
 def as_text(t: Tree) -> str:
-    return t[0] + ":" + "/".join(".".join("".join(p) for p in s) for s in t[1])
+    return t[0] + ":" + "/".join(s + "=" + ".".join(p + "-" + "".join(x) for p, x in section) for s, section in t[1])
 
 
-def leaves(fingerprint: str) -> list[str]:
-    body = re.sub("[./]", "", fingerprint.partition(":")[2])
-    return [body[i : i + 8] for i in range(0, len(body), 8)]
+def branches(fingerprint: str) -> list[tuple[str, list[Paragraph]]]:
+    """The sections of `tree`, read from its text."""
+    out = []
+    for section in filter(None, fingerprint.partition(":")[2].split("/")):
+        digest, _, body = section.partition("=")
+        parts = [p.partition("-") for p in body.split(".")]
+        out.append((digest, [(p, tuple(x[i : i + LEAF_HEX] for i in range(0, len(x), LEAF_HEX))) for p, _, x in parts]))
+    return out
 
 
 def likeness(a: str, b: str) -> float:
     """Shared leaves of both, twice, over all leaves of both (repeats count); 1 for equal roots."""
     if a.partition(":")[0] == b.partition(":")[0]:
         return 1.0
-    return _shared(Counter(leaves(a)), Counter(leaves(b)))
+    return _shared(leaf_counts(("", branches(a))), leaf_counts(("", branches(b))))
 
 
 def _shared(x: Counter, y: Counter) -> float:
@@ -110,11 +118,9 @@ def differences(a: str, b: str) -> list[tuple[int, int]]:
     """(section, paragraph) of each paragraph of a that b lacks: equal branches are passed over whole."""
     if a.partition(":")[0] == b.partition(":")[0]:
         return []
-    there = [s for s in b.partition(":")[2].split("/") if s]
-    whole = set(there)
-    parts = {p for s in there for p in s.split(".")}
-    own = [s for s in a.partition(":")[2].split("/") if s]
-    return [(i, j) for i, s in enumerate(own) if s not in whole for j, p in enumerate(s.split(".")) if p not in parts]
+    there = branches(b)
+    whole, parts = {digest for digest, _ in there}, {p for _, section in there for p, _ in section}
+    return [(i, j) for i, (digest, own) in enumerate(branches(a)) if digest not in whole for j, (p, _) in enumerate(own) if p not in parts]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -100,6 +100,22 @@ def test_merkle_locates_edits():
     assert 0.9 < merkle.likeness(a, b) < 1 and merkle.likeness(a, a) == 1.0
 
 
+@pytest.mark.parametrize("text", ["", "one", "\n\n", "\n".join(prose(i, 20) for i in range(60)), "a\r\nb \x0b c\n"])
+def test_merkle_nodes_are_over_their_children(text):
+    root, sections = merkle.tree(text)
+    assert merkle.branches(merkle.as_text((root, sections))) == sections
+    lines = text.encode().splitlines(keepends=True)
+    pieces = [merkle._paragraph(x) for x in lines]
+    assert [x[0].hex()[:16] for x in pieces] == [p for _, section in sections for p, _ in section]
+    at, tops = 0, []
+    for digest, section in sections:
+        node = hashlib.sha256(b"".join(x[0] for x in pieces[at : at + len(section)]))
+        assert node.hexdigest()[:16] == digest
+        tops.append(node.digest())
+        at += len(section)
+    assert hashlib.sha256(b"".join(tops)).hexdigest() == root
+
+
 # ---- op 2 -------------------------------------------------------------------
 
 
