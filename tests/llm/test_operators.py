@@ -373,6 +373,20 @@ def test_toxicity_by_joins_gives_the_same_scores(spark, messy, labels):
         assert here == there
 
 
+def test_quality_threshold_against_every_cut():
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(200, 3)), rng.integers(0, 2, 200)
+    x[:, 0] += 1.5 * y
+    model = quality.BradleyTerry(x, y, 5000)
+    s = model.binned(x) @ model.w
+    right = [int(((s >= cut) == (y == 1)).sum()) for cut in [*np.unique(s), np.inf]]
+    assert ((model.score(x) >= 0.5) == (y == 1)).sum() == max(right)
+    assert (s < model.threshold).mean() == pytest.approx(model.quantile, abs=0.01)
+    # The mean probability that the model gives to preferences is above that of scores turned round.
+    margin = s[y == 1][:, None] - s[y == 0][None, :]
+    assert (margin > 0).mean() > 0.75
+
+
 def test_labels_by_majority(spark, labels):
     got = {r["doc_id"]: r["label"] for r in labelled.one_label(labels, "quality").collect()}
     assert got[1] == 1 and got[3] == 1 and None not in got
