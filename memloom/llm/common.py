@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from memloom.sources.shared import fresh_path
 
@@ -30,6 +33,22 @@ def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """df.mapInPandas(run, schema), in which numbers beside null stay whole: pandas would hold them as floats, which alters ids above 2**53."""
+    target = to_arrow_schema(T._parse_datatype_string(schema))
+    whole = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
+
+    def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def frames() -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({f.name: c.to_pandas(types_mapper=whole.get if c.null_count else None) for f, c in zip(b.schema, b.columns, strict=True)})
+
+        for out in run(frames()):
+            yield pa.RecordBatch.from_pandas(out, schema=target, preserve_index=False)
+
+    return df.mapInArrow(arrow, schema)
+
+
 def encoded(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 

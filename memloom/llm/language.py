@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import documents_of
+from memloom.llm.common import documents_of, map_frames
 from memloom.llm.labelled import at_most, fold
 
 DIMS = 4096
@@ -148,5 +148,5 @@ def languages(docs: DataFrame, held_out: int = 2, folds: int = 4, sample: int =
                 score += np.where(some, p, 0.0).tolist()
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "lang_pred": names, "score": score})
 
-    found = documents_of(docs, id_col, text_col).mapInPandas(judge, "doc_id long, lang_pred string, score double")
+    found = map_frames(documents_of(docs, id_col, text_col), judge, "doc_id long, lang_pred string, score double")
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")

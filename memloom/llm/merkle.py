@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import documents_of
+from memloom.llm.common import documents_of, map_frames
 
 LEAF_WORDS, SECTION_PARAGRAPHS = 4, 8
 #: Hexadecimal digits of a leaf's and of a node's digest in a fingerprint.
@@ -130,7 +130,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for part in parts:
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "fingerprint": [as_text(tree(t)) for t in part["text"]]})
 
-    return documents_of(docs, id_col, text_col).mapInPandas(run, "doc_id long, fingerprint string")
+    return map_frames(documents_of(docs, id_col, text_col), run, "doc_id long, fingerprint string")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

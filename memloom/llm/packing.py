@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from memloom.llm.common import documents_of, materialize
+from memloom.llm.common import documents_of, map_frames, materialize
 
 CAPACITY = 1024
 END_ID = 2
@@ -66,20 +66,21 @@ def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None, capacit
         known, end, at = token_ids(tokenizer_path, ranks_path), np.array([end_id], dtype="<u4"), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for part in parts:
-            rows = []
-            for doc, text in zip(part["doc_id"], part["text"], strict=True):
+            rows, owner = [], []
+            for row, text in enumerate(part["text"]):
                 ids = np.concatenate([known.encode(text), end]).astype("<u4") if text else end
                 n = len(ids)
                 first = n % capacity or capacity
                 bounds = [0, *range(first, n + 1, capacity)]
                 for i, (s, e) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                    rows.append((doc, i, s, e - s, zlib.crc32(ids[s:e].tobytes()), at, seen[e - s]))
+                    owner.append(row)
+                    rows.append((i, s, e - s, zlib.crc32(ids[s:e].tobytes()), at, seen[e - s]))
                     seen[e - s] += 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
-            yield out.astype({"doc_id": "Int64"})
+            out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32", "part", "nth"])
+            yield out.assign(doc_id=part["doc_id"].astype("Int64").array.take(owner))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
-    return documents_of(docs, id_col, text_col).mapInPandas(run, schema)
+    return map_frames(documents_of(docs, id_col, text_col), run, schema)
 
 
 def _patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int, most: int) -> list[tuple[int, ...]]:
@@ -197,8 +198,8 @@ def pack(
                 i = np.searchsorted(t[:, 0], rank[at], "right") - 1
                 seq[at], off[at] = t[i, 1] + rank[at] - t[i, 0], t[i, 2]
             part["sequence_id"], part["offset"] = seq, off
-            yield part.astype({"doc_id": "Int64"})
+            yield part
 
     ranked = cut.join(per.select("length", "part", "before"), ["length", "part"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
-    return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_frames(ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

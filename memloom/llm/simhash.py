@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import chunks, connected_components, documents_of, encoded, materialize, mix64, run_hashes, words_of
+from memloom.llm.common import chunks, connected_components, documents_of, encoded, map_frames, materialize, mix64, run_hashes, words_of
 from memloom.llm.labelled import BROADCAST_ROWS
 from memloom.llm.repeats import Filter, filter_of, repeated
 
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, ngram: int = 4, id_col: str = "doc_id", text_c
                 out.append([as_long(majority_bits(mix64(h + x) if i else h)) for i, x in enumerate(odd)])
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "fp": out})
 
-    return documents_of(docs, id_col, text_col).mapInPandas(run, "doc_id long, fp array<long>")
+    return map_frames(documents_of(docs, id_col, text_col), run, "doc_id long, fp array<long>")
 
 
 def _block_keys(fp: str, max_distance: int, bits: int = 64) -> list:
@@ -327,11 +327,11 @@ def similar_groups(
                 names = [np.uint64(xxhash.xxh3_64_intdigest(h[s : s + n].tobytes(), 42)).astype(np.int64) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
                 own = part.iloc[i : i + len(some)]
                 yield pd.DataFrame({
-                    "doc_id": own["doc_id"].astype("Int64"), "v": names, "whole": own["whole"], "n": sizes.astype(np.int32), "fp": list(prints),
+                    "doc_id": own["doc_id"].astype("Int64").array, "v": names, "whole": own["whole"].array, "n": sizes.astype(np.int32), "fp": list(prints),
                     "keys": [ordered[s : s + k] for s, k in zip(starts.tolist(), first.tolist(), strict=True)],
                 })
 
-    prints = materialize(texts.withColumn("whole", F.xxhash64("text")).mapInPandas(sketch, "doc_id long, v long, whole long, n int, fp array<long>, keys array<long>"))
+    prints = materialize(map_frames(texts.withColumn("whole", F.xxhash64("text")), sketch, "doc_id long, v long, whole long, n int, fp array<long>, keys array<long>"))
     words = prints.where("n > 0 and doc_id is not null")
     uniq = words.groupBy("v").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("whole", "n", "fp", "keys"), "doc_id").alias("s"))
     uniq = materialize(uniq.select("v", "first", "s.whole", "s.n", "s.fp", "s.keys"))

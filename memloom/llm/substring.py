@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import chunks, documents_of, encoded, materialize, run_hashes, words_of
+from memloom.llm.common import chunks, documents_of, encoded, map_frames, materialize, run_hashes, words_of
 from memloom.llm.fmindex import FMIndex
 from memloom.llm.labelled import BROADCAST_ROWS
 from memloom.llm.repeats import Filter, filter_of, minimisers, repeated, runs_of
@@ -260,4 +260,4 @@ def dedup_substrings(
         schema = ", ".join(["doc_id long, text string, n_words long, n_removed long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
     else:
         schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return rows.join(runs, "doc_id", "left").mapInPandas(run, schema)
+    return map_frames(rows.join(runs, "doc_id", "left"), run, schema)

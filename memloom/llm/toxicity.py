@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.common import documents_of, materialize
+from memloom.llm.common import documents_of, map_frames, materialize
 from memloom.llm.labelled import at_most, fit_logistic, fold, one_label, with_labels
 
 ORDER = 5
@@ -209,7 +209,7 @@ def described_in_place(rows: DataFrame, letters: list[Letters], model: str) -> D
                     x[start:end] = np.where((which[start:end] == m)[:, None], rows_, x[start:end])
             yield part.drop(columns="text").assign(x=list(x))
 
-    return rows.mapInPandas(run, f"{_schema(rows)}, x array<double>")
+    return map_frames(rows, run, f"{_schema(rows)}, x array<double>")
 
 
 def described(rows: DataFrame, evidence: DataFrame, model: str) -> DataFrame:
@@ -227,7 +227,7 @@ def described(rows: DataFrame, evidence: DataFrame, model: str) -> DataFrame:
                 out = part[[*kept, "row"]].iloc[np.concatenate([doc, none]) + start].reset_index(drop=True)
                 yield out.assign(w=np.concatenate([names[code], zero]), n=np.concatenate([n, zero]), letters=np.concatenate([size[code] + 1, zero]))
 
-    each = rows.withColumn("row", F.monotonically_increasing_id()).mapInPandas(words, f"{_schema(rows)}, row long, w long, n long, letters long")
+    each = map_frames(rows.withColumn("row", F.monotonically_increasing_id()), words, f"{_schema(rows)}, row long, w long, n long, letters long")
     met = each.join(evidence, "w", "left")
     e = F.coalesce(F.when(F.col(model) == 0, F.col("e0")).when(F.col(model) == 1, F.col("e1")).otherwise(F.col("e2")), F.lit(0.0))
     telling = F.greatest(F.least(e, F.lit(TELLING[1])) - TELLING[0], F.lit(0.0))

@@ -622,3 +622,34 @@ def test_words_and_their_hashes():
     assert words == [b"a", b"b", b"a", b"\x1c", b"b"] and first.tolist() == [0, 3, 3, 5]
     assert h[0] == h[2] and h[1] == h[4] and len(set(h.tolist())) == 3
     assert common.run_hashes(h, 2)[0] != common.run_hashes(h, 2)[1]
+
+
+# ---- ids --------------------------------------------------------------------
+
+LARGE = [2**53 + 1, 2**53 + 3, 2**63 - 1, -(2**63), None]
+
+
+@pytest.fixture(scope="module")
+def large(spark):
+    """Ids that a float cannot hold, beside a null one; the first two texts are equal."""
+    texts = [prose(1), prose(1), prose(2), prose(3), prose(4)]
+    out = [(i, t, "en", "src1", len(t), "x", "y", 1) for i, t in zip(LARGE, texts, strict=True)]
+    return spark.createDataFrame(out, SCHEMA).coalesce(1).cache()
+
+
+def test_ids_stay_whole_beside_null(large, labels):
+    order = lambda ids: sorted(ids, key=repr)
+    ids = lambda df: order(r["doc_id"] for r in df.select("doc_id").collect())
+    scored = [toxicity.toxicity_scores(large, labels), quality.quality_scores(large, labels), language.languages(large, sample=2)]
+    taught = labels.sparkSession.createDataFrame([(i, n % 2, n % 2) for n, i in enumerate(LARGE)], "doc_id long, quality int, toxic int")
+    scored += [toxicity.toxicity_scores(large, taught), quality.quality_scores(large, taught)]
+    assert ids(merkle.edited_fingerprints(large)) == order(LARGE[:-1])  # a row without an id has no next one
+    for df in [merkle.fingerprints(large), packing.pack(large), *scored]:
+        assert ids(df) == order(LARGE)
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(large).collect()}
+    assert groups == dict(zip(LARGE, [LARGE[0], LARGE[0], *LARGE[2:]], strict=True))
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(large).collect()} == groups
+    left = {r["doc_id"]: (r["n_removed"], r["text"]) for r in substring.dedup_substrings(large, window=20, texts=True, carry=("lang", "n_chars")).collect()}
+    given = {r["doc_id"]: r["text"] for r in large.collect()}
+    assert left == {i: (60, "") if i == LARGE[1] else (0, given[i]) for i in LARGE}
+    assert ids(suffixes.repeated_passages(large, least=50)) == order(LARGE)
