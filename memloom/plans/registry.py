@@ -774,16 +774,75 @@ def _ticks(d: Data, n: int) -> DataFrame:
     return d.spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(landing)
 
 
-@_query(_CLAUDE_OUT.replace("concat('m', CAST(session_no % 3 AS VARCHAR)) AS agent_model", "CASE WHEN role = 'assistant' THEN concat('m', CAST(session_no % 3 AS VARCHAR)) END AS agent_model"))
+_TRIMMED = "trim({0}, chr(32) || chr(9) || chr(10) || chr(13))"
+_SOURCE = "CASE session_no % 6 WHEN 0 THEN 'codex-cli' WHEN 1 THEN 'codex-desktop' WHEN 2 THEN 'codex-mcp' WHEN 3 THEN 'codex-exec' ELSE 'codex-mcp-client' END"
+_CARRIED = "last_value(CASE WHEN turn % 2 = 1 THEN concat('m', CAST((turn + 1) // 2 AS VARCHAR)) END IGNORE NULLS) OVER (PARTITION BY session_no ORDER BY turn)"
+_STREAMED = f"""SELECT session_id, role, message, CASE WHEN role = 'assistant' THEN agent_model END AS agent_model, 'claude-code' AS agent_platform, external_uuid FROM ({_CLAUDE_OUT})
+UNION ALL SELECT session_id, role, md5(message), CASE WHEN role = 'assistant' THEN coalesce(carried, 'unknown') END, {_SOURCE}, concat('codex:', session_id, ':', CAST(byte_offset AS VARCHAR)) FROM (
+ SELECT *, {UUID36} AS session_id, CASE WHEN line LIKE '%"user_message"%' THEN 'user' ELSE 'assistant' END AS role, {_TRIMMED.format("json_extract_string(line, '$.payload.message')")} AS message, {_CARRIED} AS carried FROM ({CODEX_AT})) WHERE turn % 2 = 0 AND message <> ''
+UNION ALL SELECT concat('g', CAST(session_no AS VARCHAR)), role, md5(message), CASE WHEN role = 'assistant' THEN 'unknown' END, 'gemini-cli-mcp-client',
+ concat('gemini:g', CAST(session_no AS VARCHAR), ':', CASE WHEN turn % 2 = 1 THEN concat('g', CAST(turn AS VARCHAR)) ELSE concat('g', CAST(session_no AS VARCHAR), '-', CAST(n AS VARCHAR)) END) FROM (
+ SELECT *, row_number() OVER (PARTITION BY role, message ORDER BY concat('session-x-', hex(session_no), '.json/'), n) AS r FROM (
+  SELECT session_no, turn, role, {_TRIMMED.format("message")} AS message, row_number() OVER (PARTITION BY session_no ORDER BY turn) - 1 AS n FROM turns) WHERE message <> '') WHERE r = 1"""
+
+
+@_query(_STREAMED)
 def q_stream_ingest(d: Data) -> DataFrame:
-    """All transcripts, one file a session, through two rounds of the stream into the table; messages of users name no model."""
+    """All transcripts in three formats, one file a session, through the stream into tables; a second start finds nothing new."""
     from memloom.streaming.capture import stream_ingest
 
-    landing, table = fresh_path(d.spark), fresh_path(d.spark)
-    lines = d.claude_lines.select("session_no", "turn", "line").repartition("session_no").sortWithinPartitions("session_no", "turn")
-    lines.select("line", F.concat(F.col("session_no").cast("string"), F.lit(".jsonl")).alias("file")).write.partitionBy("file").text(landing)
-    stream_ingest(d.spark, landing, table, fresh_path(d.spark), kind_of_path="folder", ticks=_ticks(d, 2), availableNow=True).awaitTermination()
-    return d.spark.read.parquet(table).select("session_id", "role", md5("message"), "agent_model", "external_uuid")
+    def ingested(kind: str, files: DataFrame, **more: DataFrame) -> DataFrame:
+        landing, table, checkpoint = fresh_path(d.spark), fresh_path(d.spark), fresh_path(d.spark)
+        files.write.partitionBy("file").text(landing)
+        for _ in range(2):
+            stream_ingest(d.spark, landing, table, checkpoint, kind, kind_of_path="folder", split_bytes=1 << 20, availableNow=True, **more).awaitTermination()
+        return d.spark.read.parquet(table).select("session_id", "role", md5("message"), "agent_model", "agent_platform", "external_uuid")
+
+    def sessions(lines: DataFrame, name: str) -> DataFrame:
+        rows = lines.select("turn", "line", F.expr(name).alias("file"))
+        return rows.repartition("file").sortWithinPartitions("file", "turn").select("line", "file")
+
+    s = d.turns.select("session_no").distinct().where("session_no % 6 <> 5")
+    source = F.element_at(F.array(*map(F.lit, ["cli", "vscode", "mcp", "exec", "other"])), (F.col("session_no") % 6 + 1).cast("int"))
+    threads = s.select(F.expr(UUID36).alias("id"), source.alias("source"))
+    documents = gemini_files(d).select(F.col("text").alias("line"), F.regexp_extract("path", "[^/]+$", 0).alias("file"))
+    return (
+        ingested("claude", sessions(d.claude_lines, "concat(CAST(session_no AS STRING), '.jsonl')"))
+        .union(ingested("codex", sessions(d.codex_lines, f"concat('rollout-2024-01-01-', {UUID36}, '.jsonl')"), threads=threads))
+        .union(ingested("gemini", documents))
+    )
+
+
+_TOGETHER = "SELECT session_no % 3 AS g, line, row_number() OVER w - 1 AS pos, CAST(sum(strlen(line) + 1) OVER w - strlen(line) - 1 AS BIGINT) AS byte_offset FROM claude_lines WINDOW w AS (PARTITION BY session_no % 3 ORDER BY session_no, turn)"
+
+
+def _long_files(d: Data) -> str:
+    """Three files with a third of the transcripts each; file 0 is read already."""
+    landing = fresh_path(d.spark)
+    rows = d.claude_lines.selectExpr("session_no % 3 as file", "session_no", "turn", "line").repartition("file").sortWithinPartitions("file", "session_no", "turn")
+    rows.select("line", "file").write.partitionBy("file").text(landing)
+    return landing
+
+
+def _file_number(path: str) -> Column:
+    return F.regexp_extract(path, "file=([0-9]+)/", 1).cast("long")
+
+
+@_query(f"SELECT g, pos, byte_offset, md5(line) AS line FROM ({_TOGETHER})")
+def q_read_ranges(d: Data) -> DataFrame:
+    """Long files in ranges of 100,000 bytes."""
+    lines, _ = tr.read_new_lines(d.spark, _long_files(d), pattern="part-*", split_bytes=100_000)
+    return lines.select(_file_number("path").alias("g"), "pos", "byte_offset", md5("line"))
+
+
+@_query(f"SELECT g, count(*) FILTER (g <> 0) AS n_new, max(byte_offset + strlen(line) + 1) AS cursor, max(pos) + 1 AS lines FROM ({_TOGETHER}) GROUP BY g")
+def q_read_new_lines(d: Data) -> DataFrame:
+    """Ranges behind cursors: the file at its cursor is not opened, the others are read from their start."""
+    landing = _long_files(d)
+    _, ends = tr.read_new_lines(d.spark, landing, pattern="part-*", split_bytes=100_000)
+    lines, after = tr.read_new_lines(d.spark, landing, written(ends).where(_file_number("path") == 0), pattern="part-*", split_bytes=100_000)
+    new = lines.groupBy("path").agg(F.count("*").alias("n_new"))
+    return after.join(new, "path", "left").select(_file_number("path").alias("g"), F.coalesce("n_new", F.lit(0)).alias("n_new"), "cursor", "lines")
 
 
 @_query("""SELECT id, CASE WHEN NOT tag_processed THEN 1 ELSE p_tag_id END AS p_tag_id, TRUE AS tag_processed, 64 AS dims, NULL AS cold_error

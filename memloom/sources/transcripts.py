@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions.text import session_id_of
+from memloom.sources.appended import SPLIT_BYTES, file_ranges, read_ranges
 
 SESSION = "struct<sessionId:string,messages:array<string>>"
 
@@ -31,12 +32,28 @@ def read_whole(spark: SparkSession, path: str, pattern: str = "*.json*") -> Data
     return read.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
-def read_jsonl_lines(spark: SparkSession, path: str, kind: str = "claude") -> DataFrame:
-    """(path, session_id, pos, byte_offset, line) of append-only transcripts; files without a session id are left out."""
-    lines = split_lines(read_whole(spark, path, "*.jsonl")).withColumn("session_id", session_id_of(F.col("path"), kind))
+def read_jsonl_lines(spark: SparkSession, path: str, kind: str = "claude", cursors: DataFrame | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(path, session_id, pos, byte_offset, line) of append-only transcripts, behind the cursors if any; files without a session id are left out."""
+    lines = read_new_lines(spark, path, cursors, split_bytes=split_bytes)[0].withColumn("session_id", session_id_of(F.col("path"), kind))
     return lines.where("session_id is not null").select("path", "session_id", "pos", "byte_offset", "line")
 
 
+def read_new_lines(
+    spark: SparkSession, path: str, cursors: DataFrame | None = None, pattern: str = "*.jsonl", split_bytes: int = SPLIT_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """((path, pos, byte_offset, line), (path, cursor, lines)): complete lines behind each file's cursor, and the next cursors of all files.
+
+    Files are read in ranges of split_bytes, so one long file is spread over tasks; a file at its cursor is not opened. `lines`,
+    how many lines lie before the cursor, is carried in cursors so that line numbers go on.
+    """
+    files = list_files(spark, path, pattern)
+    lines, after = read_ranges(file_ranges(files, cursors, split_bytes), split_bytes)
+    if cursors is not None:
+        held = cursors.select("path", "cursor", *(["lines"] if "lines" in cursors.columns else [F.lit(0).cast("long").alias("lines")]))
+        after = after.unionByName(held).groupBy("path").agg(F.max("cursor").alias("cursor"), F.max("lines").alias("lines"))
+    return lines, after
+
+
 def explode_sessions(files: DataFrame) -> DataFrame:
     """(path, session_id, idx, message): messages of single-document sessions; a malformed file gives no rows."""
     doc = files.select("path", F.from_json("text", SESSION).alias("doc"))

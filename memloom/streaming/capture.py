@@ -6,109 +6,152 @@ import datetime as dt
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from memloom.functions.text import session_id_of
 from memloom.operators.enrich import apply_outcomes, build_tag_prompts, check_embedding, claim_pending, merge_outcomes, parse_tag_output, prepare_embedding_input, tag_candidates, with_model_fn
-from memloom.operators.parsing import carry_forward_model, gemini_lines, normalize_messages, parse_claude, parse_codex, parse_gemini
+from memloom.operators.parsing import RAW, normalize_messages, parse_claude, parse_codex, parse_gemini, platform_of_session
 from memloom.operators.tags import cluster_totals, dtag_frequency, promote_tags, resolve_aliases, retrotag
 from memloom.operators.writes import dedup_content
-from memloom.sources.shared import written
-from memloom.sources.transcripts import explode_sessions, split_lines
+from memloom.sources.appended import appended_lines
+from memloom.sources.transcripts import SESSION
 
 PATTERNS = {"claude": "*.jsonl", "codex": "*.jsonl", "gemini": "*.json*"}
-#: The table is kept by a hash of the session, so that a round reads back only what its own sessions can have.
-BUCKETS = 64
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+CARRIED = "path string, session_id string, byte_offset long, pos long, line string, whole boolean, carried string"
 
 
-def _before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    """What rounds before this one have written, or None."""
-    try:
-        stored = spark.read.parquet(path)
-    except Exception as e:  # the first round
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return None
-    return stored.where(F.col("batch") < number)
-
-
-def changed_files(spark: SparkSession, landing: str, pattern: str, cursors: DataFrame | None) -> DataFrame:
-    """(path, changed, text, cursor, model) of files modified at or after the last change that the cursors know; others are not opened."""
-    read = spark.read.text(landing, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    files = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("changed"), F.col("value").alias("text"))
-    if cursors is None:
-        return files.withColumns({"cursor": F.lit(0).cast("long"), "model": F.lit(None).cast("string")})
-    last = cursors.agg(F.max("changed")).first()[0]
-    if last is not None:
-        files = files.where(F.col("changed") >= F.lit(last))
-    known = cursors.select("path", "cursor", "model")
-    return files.join(known, "path", "left").withColumn("cursor", F.coalesce("cursor", F.lit(0).cast("long")))
-
-
-def capture_round(spark: SparkSession, landing: str, table: str, number: int, kind: str = "claude", kind_of_path: str = "file") -> None:
-    """Messages beyond each file's cursor are appended to the table under the round's number; then cursors are written.
-
-    A file may have grown since; lines before its cursor are not parsed again. Left out is what the table has
-    by external_uuid, or for line files by role and text within the session. A round that is run again sees only
-    what came before it and replaces what it had written.
+class _Carry(StatefulProcessor):
+    """By file: the model named last, and how many lines or messages were taken. Rows come in order of place, new ones only."""
+
+    def __init__(self, keep_ms: int | None) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.file = handle.getValueState("file", "model string, taken long", self.keep_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        model, taken = self.file.get() if self.file.exists() else (None, 0)
+        part = pd.concat(list(rows)).sort_values(["byte_offset", "nth"], kind="stable")
+        # A document gives all its messages again, a file of lines only those that were appended.
+        part = part[~part["whole"] | (part["nth"] >= taken)].reset_index(drop=True)
+        part["pos"] = np.where(part["whole"], part["nth"], taken + np.arange(len(part)))
+        carried = []
+        for named in part["model"]:
+            model = named if isinstance(named, str) else model
+            carried.append(model)
+        part["carried"] = pd.Series(carried, dtype=object)
+        if len(part):
+            self.file.update((model, int(part["pos"].iloc[-1]) + 1))
+        yield part.assign(path=key[0])[["path", "session_id", "byte_offset", "pos", "line", "whole", "carried"]]
+
+    def close(self) -> None:
+        pass
+
+
+class _Seen(StatefulProcessor):
+    """By session: rows whose uuid, or whose text by the same role if texts count, came before within the time that state is kept are dropped.
+
+    A batch's hashes are one entry of the state, which expires on its own: a session is read and written once a batch.
     """
-    state = _before(spark, f"{table}_cursors", number)
-    cursors = None
-    if state is not None and (top := state.agg(F.max("batch")).first()[0]) is not None:
-        cursors = state.where(F.col("batch") == top).drop("batch")
-    files = written(changed_files(spark, landing, PATTERNS[kind] if kind_of_path == "file" else "*", cursors))
+
+    def __init__(self, columns: list[str], texts: bool, keep_ms: int | None) -> None:
+        self.columns, self.texts, self.keep_ms = columns, texts, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "batch long", "hashes binary", self.keep_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held = list(self.seen.iterator())
+        known = set(np.frombuffer(b"".join(bytes(v[0]) for _, v in held), "<i8").tolist())
+        part = pd.concat(list(rows)).sort_values(["path", "pos"], kind="stable")
+        kept, new = [], []
+        for uuid, text in zip(part["uuid_hash"], part["text_hash"], strict=True):
+            own = {uuid, text} if self.texts else {uuid}
+            some = known.isdisjoint(own)
+            kept.append(some)
+            if some:
+                known |= own
+                new += own
+        if new:
+            self.seen.updateValue((1 + max((k[0] for k, _ in held), default=0),), (np.array(new, "<i8").tobytes(),))
+        yield part[kept].assign(session_id=key[0])[self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def captured(lines: DataFrame, kind: str, kind_of_path: str = "file", keep_hours: float | None = 168) -> DataFrame:
+    """A stream of new messages (RAW) of a stream of lines, each once by its uuid; for `claude` each text once by role and session as well.
+
+    State is kept by file (the model named last, the number of lines) and by session (hashes of what was seen), over restarts,
+    and dropped so many hours after it was written. Sessions and files are spread over tasks; what is added to one
+    of them in one batch is put in order in one task, so `maxBytes` of the source bounds it.
+    """
+    keep = None if keep_hours is None else int(keep_hours * 3_600_000)
     name = F.col("path") if kind_of_path == "file" else F.regexp_extract("path", "file=([^/]+)/", 1)
-    lines = split_lines(files.select("path", "text")).join(files.select("path", "cursor", "model"), "path")
-    lines = lines.withColumn("session_id", session_id_of(name, kind)).where("session_id is not null")
-    fresh = lines.where("byte_offset >= cursor")
+    rows = lines.withColumn("session_id", session_id_of(name, kind))
+    if kind == "gemini":
+        doc = F.from_json("line", SESSION)
+        many = F.when(F.col("whole"), doc["messages"]).otherwise(F.array("line"))
+        rows = rows.withColumn("session_id", F.when(F.col("whole"), session_id_of(name, kind, doc["sessionId"])).otherwise(F.col("session_id")))
+        rows = rows.select("path", "session_id", "byte_offset", "nth", "whole", F.posexplode(many).alias("_at", "line"))
+        rows = rows.withColumn("nth", F.when(F.col("whole"), F.col("_at").cast("long")).otherwise(F.col("nth")))
+    rows = rows.where("session_id is not null")
     if kind == "claude":
-        rows, models = parse_claude(fresh), None
-    elif kind == "codex":
-        carried = carry_forward_model(fresh).withColumn("carried", F.coalesce("carried", "model"))
-        rows, models = parse_codex(carried), carried.groupBy("path").agg(F.max_by("carried", "byte_offset").alias("named"))
+        raw = parse_claude(rows.where("trim(line) <> ''").withColumn("pos", F.col("byte_offset")))
     else:
-        whole = F.col("path").endswith(".json")
-        rows = parse_gemini(explode_sessions(files.where(whole).select("path", "text"))).unionByName(parse_gemini(gemini_lines(fresh.where(~whole))))
-        models = None
-    if kind != "gemini":
-        rows = dedup_content(rows, ["session_id"], ["path", "pos"])
-    rows = normalize_messages(rows)
-    rows = rows.groupBy("external_uuid").agg(F.min_by(F.struct(*rows.columns), F.struct("path", "pos")).alias("r")).select("r.*")
-    rows = written(rows.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int")))
-    old = _before(spark, table, number)
-    if old is not None:
-        own = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
-        old = old.where(F.col("bucket").isin(own))
-        rows = rows.join(old.select("external_uuid"), "external_uuid", "left_anti")
-        if kind != "gemini":
-            said = old.select("session_id", "role", F.sha2("message", 256).alias("_h")).distinct()
-            rows = rows.withColumn("_h", F.sha2("message", 256)).join(said, ["session_id", "role", "_h"], "left_anti").drop("_h")
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={number}")
-    ends = lines.groupBy("path").agg(F.max(F.col("byte_offset") + F.octet_length("line") + 1).alias("end"))
-    now = files.select("path", "changed", "cursor", "model").join(ends, "path", "left")
-    now = now.join(models, "path", "left") if models is not None else now.withColumn("named", F.lit(None).cast("string"))
-    now = now.select("path", "changed", F.greatest("cursor", F.coalesce("end", F.lit(0))).alias("cursor"), F.coalesce("named", "model").alias("model"))
-    if cursors is not None:
-        now = now.unionByName(cursors.join(files.select("path"), "path", "left_anti").select(*now.columns))
-    now.write.mode("overwrite").parquet(f"{table}_cursors/batch={number}")
+        e = F.from_json("line", "type string, payload struct<model:string>")
+        model = F.when(e["type"] == "turn_context", e["payload"]["model"]) if kind == "codex" else F.lit(None).cast("string")
+        rows = rows.select("path", "session_id", "byte_offset", "nth", "line", "whole", model.alias("model"))
+        carried = rows.groupBy("path").transformWithStateInPandas(_Carry(keep), CARRIED, "Append", "ProcessingTime")
+        if kind == "codex":
+            raw = parse_codex(carried)
+        else:
+            own = F.from_json("line", "sessionId string, type string")
+            skip = ~F.col("whole") & (((F.col("pos") == 0) & F.coalesce(own["sessionId"] != "", F.lit(False))) | F.get_json_object("line", "$['$set']").isNotNull())
+            raw = parse_gemini(carried.where(~skip).select("path", "session_id", F.col("pos").alias("idx"), F.col("line").alias("message")))
+    hashed = raw.withColumns({"pos": F.col("pos").cast("long"), "uuid_hash": F.xxhash64("external_uuid"), "text_hash": F.xxhash64("role", F.sha2("message", 256))})
+    schema = ", ".join(f"{c} {'long' if c == 'pos' else 'string'}" for c in RAW)
+    return hashed.groupBy("session_id").transformWithStateInPandas(_Seen(RAW, kind == "claude", keep), schema, "Append", "ProcessingTime")
 
 
 def stream_ingest(
-    spark: SparkSession, landing: str, table: str, checkpoint: str, kind: str = "claude", kind_of_path: str = "file", ticks: DataFrame | None = None, **trigger: Any
-) -> StreamingQuery:
-    """Follow growing transcripts of one kind (claude, codex, gemini): each batch of ticks captures what was added.
-
-    A file source gives each path once and would miss what is appended, so rounds are driven by ticks (a rate
-    stream if none are given) and files are found by size and time. kind_of_path: `folder` where the session's
-    name is that of the file's folder (file=<name>). The table's cursors lie beside it in <table>_cursors.
+    spark: SparkSession, landing: str, table: str, checkpoint: str, kind: str = "claude", kind_of_path: str = "file", threads: DataFrame | None = None,
+    start: dt.datetime | None = None, keep_hours: float | None = 168, split_bytes: int | None = None, max_bytes: int | None = None, **trigger: Any,
+) -> StreamingQuery:
+    """Follow growing transcripts of one kind (claude, codex, gemini): each batch appends the messages of what was added.
+
+    Files are found by path and length (documents by time as well), whatever their age; only appended bytes are read,
+    in ranges of split_bytes. kind_of_path: `folder` where the session's name is that of the file's folder (file=<name>).
+    Texts said twice count once within a session for `claude`, within a batch over all files for `gemini`, and each
+    time for `codex`, whose platform is that of its thread (threads: id, source). start: files last changed before it are taken as read ("no
+    backfill"). A batch is written to <table>/batch=<number> and replaces itself if it is run again; where nothing was
+    added no batch is run.
     """
-    source = ticks if ticks is not None else spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    run = lambda batch, number: capture_round(spark, landing, table, number, kind, kind_of_path)
-    return source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "3 seconds"})).start()
+    lines = appended_lines(
+        spark, landing, f"{checkpoint}/files", pattern=PATTERNS[kind], kindOfPath=kind_of_path, splitBytes=split_bytes, maxBytes=max_bytes, start=start and start.isoformat()
+    )
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = dedup_content(batch, [], ["path", "pos"]) if kind == "gemini" else batch
+        if kind == "codex" and threads is not None:
+            rows = platform_of_session(rows, threads)
+        normalize_messages(rows).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)  # the query keeps what it was started with
+    try:
+        query = captured(lines, kind, kind_of_path, keep_hours).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        return query.trigger(**(trigger or {"processingTime": "3 seconds"})).start()
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
 def stream_dedup(stream: DataFrame, time_col: str = "created_at", late: str = "1 hour") -> DataFrame:

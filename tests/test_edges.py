@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,57 +187,130 @@ def test_noise_is_removed_once_per_element(spark):
     assert [r["o"] for r in df.select(tx.strip_noise(F.col("t")).alias("o")).collect()] == ["a  b", "<hook>k</hook>"]
 
 
-def ticks(spark, folder, n=1):
-    for i in range(n):
-        spark.range(i, i + 1).coalesce(1).write.mode("append").parquet(str(folder))
-    return spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(folder))
+def user(u, m):
+    return json.dumps({"type": "user", "uuid": u, "message": {"content": m}}) + "\n"
 
 
-def test_capture_follows_files_that_grow(spark, tmp_path):
+def event(kind, m):
+    return json.dumps({"type": "event_msg", "payload": {"type": kind, "message": m}}) + "\n"
+
+
+def turn(m):
+    return json.dumps({"type": "turn_context", "payload": {"model": m}}) + "\n"
+
+
+@pytest.fixture
+def capture(spark, tmp_path):
     from memloom.streaming.capture import stream_ingest
 
-    landing, table, check = tmp_path / "in", tmp_path / "table", tmp_path / "check"
+    landing = tmp_path / "in"
     landing.mkdir()
-    line = lambda u, m: json.dumps({"type": "user", "uuid": u, "message": {"content": m}}) + "\n"
-    run = lambda: stream_ingest(spark, str(landing), str(table), str(check), ticks=ticks(spark, tmp_path / "ticks"), availableNow=True).awaitTermination(60)
-    (landing / "a.jsonl").write_text(line("1", "x") + line("2", "x") + line("3", "y") + '{"half')
-    run()
-    (landing / "b.jsonl").write_text(line("1", "x"))
-    (landing / "copy").mkdir()
-    (landing / "copy" / "a.jsonl").write_text(line("3", "y") + line("4", "z"))
-    run()
-    with (landing / "a.jsonl").open("w") as f:  # grown: the half line completed, a text said before, a new one
-        f.write(line("1", "x") + line("2", "x") + line("3", "y") + line("5", "y") + line("6", "new"))
-    run()
-    run()
-    got = sorted(r["external_uuid"] for r in spark.read.parquet(str(table)).collect())
-    assert got == ["claude-code:a:1", "claude-code:a:3", "claude-code:a:4", "claude-code:a:6", "claude-code:b:1"]
 
+    def run(kind, **more):
+        stream_ingest(spark, str(landing), str(tmp_path / "table"), str(tmp_path / "check"), kind, availableNow=True, **more).awaitTermination(120)
+        return [r.asDict() for r in spark.read.parquet(str(tmp_path / "table")).collect()]
+
+    run.landing, run.table, run.state = landing, tmp_path / "table", tmp_path / "check" / "files"
+    return run
+
+
+def test_capture_follows_files_that_grow(capture):
+    (capture.landing / "a.jsonl").write_text(user("1", "x") + user("2", "x") + user("3", "y") + '{"half')
+    capture("claude")
+    (capture.landing / "b.jsonl").write_text(user("1", "x"))
+    os.utime(capture.landing / "b.jsonl", (1, 1))  # older than all that is known
+    (capture.landing / "copy").mkdir()
+    (capture.landing / "copy" / "a.jsonl").write_text(user("3", "y") + user("4", "z"))
+    capture("claude")
+    with (capture.landing / "a.jsonl").open("r+") as f:  # grown: the half line completed, a text said before, a new one
+        f.seek(0, 2)
+        f.seek(f.tell() - 6)
+        f.write(user("5", "y") + user("6", "new"))
+    capture("claude")
+    batches, rounds = (sorted(p.name for p in x.iterdir() if p.name[0] in "br") for x in (capture.table, capture.state))
+    got = sorted(r["external_uuid"] for r in capture("claude"))
+    assert got == ["claude-code:a:1", "claude-code:a:3", "claude-code:a:4", "claude-code:a:6", "claude-code:b:1"]
+    assert (batches, rounds) == tuple(sorted(p.name for p in x.iterdir() if p.name[0] in "br") for x in (capture.table, capture.state))  # nothing was written when nothing was new
 
-def test_capture_of_the_other_formats(spark, tmp_path):
-    from memloom.streaming.capture import capture_round
 
-    (tmp_path / "in").mkdir()
+def test_capture_of_codex(spark, capture):
     uid = "0123abcd-0000-1111-2222-333344445555"
-    said = lambda kind, m: json.dumps({"type": "event_msg", "payload": {"type": kind, "message": m}}) + "\n"
-    log = tmp_path / "in" / f"rollout-2024-{uid}.jsonl"
-    log.write_text(json.dumps({"type": "turn_context", "payload": {"model": "m1"}}) + "\n" + said("user_message", "hello"))
-    capture_round(spark, str(tmp_path / "in"), str(tmp_path / "t"), 0, "codex")
+    log = capture.landing / f"rollout-2024-{uid}.jsonl"
+    log.write_text(turn("m1") + event("user_message", "hello") + event("user_message", "hello"))
+    threads = spark.createDataFrame([(uid, "vscode")], "id string, source string")
+    capture("codex", threads=threads)
+    with log.open("a") as f:
+        f.write(event("agent_message", "answer") + event("user_message", "hello") + turn("m2") + event("agent_message", "answer"))
+    got = capture("codex", threads=threads, split_bytes=50)
+    assert sorted((r["role"], r["message"], r["agent_model"] or "") for r in got) == [("assistant", "answer", "m1"), ("assistant", "answer", "m2"), *[("user", "hello", "")] * 3]
+    assert {r["agent_platform"] for r in got} == {"codex-desktop"} and len({r["external_uuid"] for r in got}) == 5
+
+
+def test_capture_of_gemini(capture):
+    doc, lines = capture.landing / "session-2024-ab12.json", capture.landing / "session-2024-cd.jsonl"
+    messages = [{"id": "1", "type": "user", "content": "hi"}, {"type": "user", "content": "hi"}, {"type": "user", "content": "else"}]
+    doc.write_text(json.dumps({"sessionId": "s", "messages": messages}))
+    lines.write_text(json.dumps({"sessionId": "t"}) + "\n" + json.dumps({"$set": {}}) + "\n" + json.dumps({"type": "user", "content": "hi"}) + "\n")
+    assert sorted(r["external_uuid"] for r in capture("gemini")) == ["gemini:s:1", "gemini:s:s-2"]
+    messages.append({"id": "9", "type": "gemini", "content": "hi", "model": "g"})
+    doc.write_text(json.dumps({"sessionId": "s", "messages": messages}))
+    with lines.open("a") as f:
+        f.write(json.dumps({"type": "user", "content": "hi"}) + "\n")
+    assert sorted(r["external_uuid"] for r in capture("gemini")) == ["gemini:cd:cd-3", "gemini:s:1", "gemini:s:9", "gemini:s:s-2"]
+
+
+def test_capture_without_backfill_and_in_portions(spark, capture):
+    for name in "ab":
+        (capture.landing / f"{name}.jsonl").write_text("".join(user(str(i), f"{name}{i}") for i in range(20)))
+    os.utime(capture.landing / "a.jsonl", (1_000_000_000, 1_000_000_000))
+    begin = dt.datetime(2020, 1, 1)
+    assert {r["session_id"] for r in capture("claude", start=begin)} == {"b"}
+    with (capture.landing / "a.jsonl").open("a") as f:
+        f.write("".join(user(str(i), f"a{i}") for i in range(20, 40)))
+    for _ in range(60):  # a round takes 100 bytes at most, wherever that ends
+        have = capture("claude", start=begin, max_bytes=500)
+        if len(have) == 40:
+            break
+    assert sorted(r["external_uuid"] for r in have) == sorted([f"claude-code:b:{i}" for i in range(20)] + [f"claude-code:a:{i}" for i in range(20, 40)])
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_ranges_give_each_line_once(spark, tmp_path, size, monkeypatch):
+    from memloom.sources import appended
+
+    monkeypatch.setattr(appended, "BACK", 4)
+    monkeypatch.setattr(appended, "CHUNK", 5)
+    text = "é1\n\n   \nlonger than a range or two\n{}\nhalf".encode()
+    (tmp_path / "x y#.jsonl").write_bytes(text)
+    system, name = appended.opened(f"file:{tmp_path}/x y#.jsonl")
+    got = []
+    with system.open_input_file(name) as f:
+        for start in range(0, len(text), size):
+            got += appended.lines_in(f, start, min(len(text), start + size))
+    want, at = [], 0
+    for line in text.split(b"\n")[:-1]:
+        want.append((at, line))
+        at += len(line) + 1
+    assert got == want
+
+
+def test_long_files_are_spread_and_tails_are_read_alone(spark, tmp_path, monkeypatch):
+    from memloom.sources import appended
+
+    rows = [f'{{"n":{i},"pad":"{"x" * (i % 90)}"}}' if i % 7 else "" for i in range(5000)]
+    log = tmp_path / "s.jsonl"
+    log.write_text("\n".join(rows) + "\n")
+    cursors = tr.read_new_lines(spark, str(tmp_path), split_bytes=10_000)[1].cache()
+    assert tr.read_jsonl_lines(spark, str(tmp_path), split_bytes=10_000).rdd.getNumPartitions() > 1
+    assert cursors.first()[1:] == (log.stat().st_size, 5000)
     with log.open("a") as f:
-        f.write(said("agent_message", "answer"))
-    for _ in range(2):  # a round may be run again
-        capture_round(spark, str(tmp_path / "in"), str(tmp_path / "t"), 1, "codex")
-    got = sorted((r["role"], r["message"], r["agent_model"]) for r in spark.read.parquet(str(tmp_path / "t")).collect())
-    assert got == [("assistant", "answer", "m1"), ("user", "hello", None)]  # the model was named before the cursor
-
-    (tmp_path / "g").mkdir()
-    doc = tmp_path / "g" / "session-2024-ab12.json"
-    messages = [{"id": "1", "type": "user", "content": "hi"}]
-    for number in range(3):
-        doc.write_text(json.dumps({"sessionId": "s", "messages": messages}))
-        capture_round(spark, str(tmp_path / "g"), str(tmp_path / "u"), number, "gemini")
-        messages.append({"id": str(number + 2), "type": "gemini", "content": "hi", "model": "g"})
-    assert sorted(r["external_uuid"] for r in spark.read.parquet(str(tmp_path / "u")).collect()) == ["gemini:s:1", "gemini:s:2", "gemini:s:3"]
+        f.write('{"new":1}\n\n{"new":2}\nhalf')
+    ranges = appended.file_ranges(tr.list_files(spark, str(tmp_path), "*.jsonl"), cursors, 10_000).collect()
+    assert [(r["start"], r["stop"]) for r in ranges] == [(cursors.first()["cursor"], log.stat().st_size)]  # as many bytes as were appended
+    new, after = tr.read_new_lines(spark, str(tmp_path), cursors, split_bytes=10_000)
+    assert [(r["pos"], r["line"]) for r in new.orderBy("pos").collect()] == [(5000, '{"new":1}'), (5002, '{"new":2}')]
+    assert after.first()[1:] == (log.stat().st_size - 4, 5003)
+    assert [r["pos"] for r in tr.read_jsonl_lines(spark, str(tmp_path), split_bytes=999).orderBy("byte_offset").collect()] == [*(i for i in range(5000) if i % 7), 5000, 5002]
 
 
 def test_numbers_are_whole_and_unique_at_size(spark):
