@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memloom.functions.text import slug, trim_all, without_fences
 from memloom.operators.writes import get_or_create_dim
+from memloom.sources.shared import fresh_path
 
 REPLY = "struct<p_tag:string,d_tag:array<string>>"
 
@@ -112,30 +116,82 @@ def check_embedding(df: DataFrame, dim: int) -> DataFrame:
     return df.select("id", F.when(ok, F.col("embedding")).alias("embedding"), error.alias("error"))
 
 
-def with_model_fn(df: DataFrame, fn: Callable[[list[str]], list], in_col: str, out_col: str, out_type: T.DataType | str = "string", tries: int = 3) -> DataFrame:
-    """df with out_col and `error`: fn gets batches of values; a batch that fails is retried value by value, up to `tries` times each."""
+def is_transient(e: Exception) -> bool:
+    """Whether another try may help: rate limits, timeouts, lost connections."""
+    #: The status of a rate limit, and codes of network errors.
+    return getattr(e, "status", None) == 429 or getattr(e, "code", None) in ("ETIMEDOUT", "ECONNRESET") or isinstance(e, (TimeoutError, ConnectionError))
+
+
+def with_model_fn(
+    df: DataFrame, fn: Callable[[list[str]], list], in_col: str, out_col: str, out_type: T.DataType | str = "string", tries: int = 3, batch: int = 256, parallel: int = 4,
+    wait: float = 1.0, longest: float = 5.0, transient: Callable[[Exception], bool] = is_transient,
+) -> DataFrame:
+    """df with out_col and `error`: fn gets lists of up to `batch` values, `parallel` of them at once in each task; rows keep their order.
+
+    A transient error is tried again, `tries` times in all, after a wait that doubles from `wait` up to `longest` seconds.
+    Any other error of a list is asked for again value by value, so that one bad value does not fail the others; of
+    a single value it is final. The result is lazy: each use of it asks again, so write it, or use `answered`.
+    """
     kind = T._parse_datatype_string(out_type) if isinstance(out_type, str) else out_type
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, kind), T.StructField("error", T.StringType())])
 
-    def single(value: str) -> tuple:
-        for left in range(tries, 0, -1):
+    def ask(values: list[str]) -> list[tuple]:
+        error: Exception | None = None
+        for attempt in range(tries):
             try:
-                return fn([value])[0], None
+                got = list(fn(values))
+                if len(got) == len(values):
+                    return [(v, None) for v in got]
+                error = ValueError("a result for each value is needed")
             except Exception as e:  # noqa: BLE001 - whatever the caller's function raises belongs to the row
-                if left == 1:
-                    return None, str(e) or type(e).__name__
-        return None, None
+                error = e
+            if attempt + 1 == tries or not transient(error):
+                break
+            time.sleep(min(wait * 2**attempt, longest))
+        if len(values) > 1 and not transient(error):
+            return [x for v in values for x in ask([v])]
+        return [(None, str(error) or type(error).__name__)] * len(values)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            values = list(part[in_col])
-            try:
-                got = [(v, None) for v in fn(values)]
-                if len(got) != len(values):
-                    raise ValueError("a result for each value is needed")
-            except Exception:  # noqa: BLE001
-                got = [single(v) for v in values]
-            part[out_col], part["error"] = [g[0] for g in got], [g[1] for g in got]
-            yield part
+        with ThreadPoolExecutor(parallel) as pool:
+            for part in parts:
+                values = list(part[in_col])
+                got = [x for some in pool.map(ask, [values[i : i + batch] for i in range(0, len(values), batch)]) for x in some]
+                part[out_col], part["error"] = [g[0] for g in got], [g[1] for g in got]
+                yield part
 
     return df.mapInPandas(run, schema)
+
+
+def answered(df: DataFrame, fn: Callable[[list[str]], list], in_col: str, out_col: str, out_type: str = "string", store: str | None = None, number: int = 0, **more: object) -> DataFrame:
+    """df (id, in_col) with out_col and `error`, each row asked once: replies are written to the store before anyone sees them.
+
+    store: a folder of this function's own, kept by the caller over restarts; a new one if None. A reply is known by id and hash of its
+    text. Round `number` takes known replies, and known errors if they are its own: so a round that is run again asks only
+    what it had not written, and a later round asks again for what had failed. (A task that Spark runs again asks its
+    own rows again.) Rows without an id are asked by their text alone.
+    """
+    spark = df.sparkSession
+    store = store or fresh_path(spark)
+    kind = T._parse_datatype_string(out_type)
+    keyed = df.withColumn("_hash", F.sha2(F.coalesce(F.col(in_col), F.lit("")), 256))
+    schema = T.StructType([df.schema["id"], T.StructField("_hash", T.StringType()), T.StructField(out_col, kind), T.StructField("error", T.StringType()), T.StructField("round", T.LongType())])
+    same = lambda x, y: x["id"].eqNullSafe(y["id"]) & (x["_hash"] == y["_hash"])
+
+    def known() -> DataFrame:
+        try:
+            stored = spark.read.schema(schema).parquet(store)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], schema)
+        rows = stored.where(F.col("error").isNull() | (F.col("round") == number))
+        return rows.groupBy("id", "_hash").agg(F.max_by(F.struct(out_col, "error"), F.struct(F.col("error").isNull(), "round")).alias("_r")).select("id", "_hash", "_r.*")
+
+    have = known()
+    new = keyed.dropDuplicates(["id", "_hash"])
+    new = new.join(have, same(new, have), "left_anti")
+    asked = with_model_fn(new.select("id", "_hash", in_col), fn, in_col, out_col, kind, **more)
+    asked.select("id", "_hash", out_col, "error", F.lit(number).cast("long").alias("round")).write.mode("append").parquet(store)
+    have = known()
+    return keyed.join(have, same(keyed, have), "left").select(*(keyed[c] for c in df.columns), have[out_col], have["error"])

@@ -845,16 +845,29 @@ def q_read_new_lines(d: Data) -> DataFrame:
     return after.join(new, "path", "left").select(_file_number("path").alias("g"), F.coalesce("n_new", F.lit(0)).alias("n_new"), "cursor", "lines")
 
 
-@_query("""SELECT id, CASE WHEN NOT tag_processed THEN 1 ELSE p_tag_id END AS p_tag_id, TRUE AS tag_processed, 64 AS dims, NULL AS cold_error
-FROM mem WHERE (embedding IS NULL OR NOT tag_processed) AND (cold_error IS NULL OR updated_at < TIMESTAMP '2024-01-31 00:00:00' - CASE WHEN is_active THEN INTERVAL 5 MINUTE ELSE INTERVAL 1 HOUR END)""")
+_ENRICHED = """WITH p AS (SELECT *, (embedding IS NULL OR NOT tag_processed) AND (cold_error IS NULL OR updated_at < TIMESTAMP '2024-01-31 00:00:00' - CASE WHEN is_active THEN INTERVAL 5 MINUTE ELSE INTERVAL 1 HOUR END) AS due FROM mem),
+ e AS (SELECT id, user_id, is_active, created_at, tag_processed OR due AS tag_processed, CASE WHEN due AND NOT tag_processed THEN 1 ELSE p_tag_id END AS p_tag_id, CASE WHEN due AND NOT tag_processed THEN ['t'] ELSE d_tag END AS d_tag,
+  CASE WHEN due OR embedding IS NOT NULL THEN 64 END AS dims, CASE WHEN NOT due THEN cold_error END AS cold_error FROM p),
+ f AS (SELECT user_id, tag, count(*) AS cnt FROM (SELECT user_id, unnest(d_tag) AS tag FROM e WHERE tag_processed AND is_active AND created_at >= TIMESTAMP '2024-01-01 00:00:00') GROUP BY 1, 2 HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY cnt DESC, tag) <= 50),
+ n AS (SELECT tag, 8 + row_number() OVER (ORDER BY tag) AS p FROM (SELECT DISTINCT tag FROM f WHERE cnt >= 10 AND tag <> 'click')),
+ h AS (SELECT id, arg_min(CASE WHEN m.tag = 'click' THEN 8 ELSE n.p END, (-cnt, m.tag)) AS found FROM (SELECT id, user_id, unnest(d_tag) AS tag FROM e WHERE tag_processed AND p_tag_id IS NULL) m JOIN f ON f.user_id = m.user_id AND f.tag = m.tag AND cnt >= 10 LEFT JOIN n ON n.tag = m.tag GROUP BY id)
+SELECT id, CAST(coalesce(p_tag_id, found) AS BIGINT) AS p_tag_id, tag_processed, dims, cold_error FROM e LEFT JOIN h USING (id)"""
+
+
+@_query(_ENRICHED)
 def q_stream_enrich(d: Data) -> DataFrame:
-    """The stream over two ticks with written tables: the first round enriches all that is pending, the second finds nothing more."""
+    """The stream over two ticks with a stored table: the first round enriches all that is pending, the second finds nothing more and promotes."""
     from memloom.streaming.capture import stream_enrich
 
     tag = lambda values: ['{"p_tag": "alpha", "d_tag": ["t"]}' for _ in values]
     embed = lambda values: [[0.5] * 64 for _ in values]
-    kept = [(written(d.mem), d.tags)]
-    save = lambda memory, tags, number: kept.append((written(memory), written(tags)))
-    stream_enrich(_ticks(d, 2), lambda: kept[-1], save, tag, embed, 64, lambda: AS_OF, fresh_path(d.spark), availableNow=True).awaitTermination()
-    after = kept[-1][0].where(F.col("updated_at") == now())
-    return after.select("id", "p_tag_id", "tag_processed", F.size("embedding").alias("dims"), "cold_error")
+    path, known = fresh_path(d.spark), [d.tags]
+    tr.write_memory(d.mem, path)
+
+    def save(changed: DataFrame, tags: DataFrame, number: int) -> None:
+        tr.merge_memory(d.spark, changed, path)
+        known.append(tags)
+
+    stream_enrich(_ticks(d, 2), lambda: (tr.read_memory(d.spark, path), known[-1]), save, tag, embed, 64, lambda: AS_OF, fresh_path(d.spark), every=2, availableNow=True).awaitTermination()
+    after = tr.read_memory(d.spark, path)
+    return after.select("id", F.col("p_tag_id").cast("long").alias("p_tag_id"), "tag_processed", F.size("embedding").alias("dims"), "cold_error")

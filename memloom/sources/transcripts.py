@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions.text import session_id_of
 from memloom.sources.appended import SPLIT_BYTES, file_ranges, read_ranges
+from memloom.sources.shared import written
 
 SESSION = "struct<sessionId:string,messages:array<string>>"
 
@@ -95,6 +96,18 @@ def write_memory(memory: DataFrame, path: str, mode: str = "append", parts: int
     dated.repartition("day", "_part").drop("_part").write.mode(mode).partitionBy("day").parquet(path)
 
 
+def merge_memory(spark: SparkSession, changed: DataFrame, path: str, key: str = "id") -> None:
+    """Rows of the stored table are replaced by those with the same key in changed, or added. Only days of changed rows are read and written; a row keeps its day."""
+    dated = written(changed.withColumn("day", F.to_date("created_at")))
+    days = [r["day"] for r in dated.select("day").distinct().collect()]  # a row a day
+    if not days:
+        return
+    held = spark.read.parquet(path).where(F.col("day").isin([d for d in days if d is not None]) | (F.col("day").isNull() if None in days else F.lit(False)))
+    whole = written(held.join(dated.select(key), key, "left_anti").unionByName(dated.select(*held.columns)))
+    spread = whole.repartition("day", F.pmod(F.xxhash64(key), F.lit(max(4, whole.rdd.getNumPartitions()))))
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
 def read_memory(spark: SparkSession, path: str, since: dt.datetime | None = None) -> DataFrame:
     stored = spark.read.parquet(path)
     if since is not None:

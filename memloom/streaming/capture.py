@@ -8,17 +8,19 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from memloom.functions.text import session_id_of
-from memloom.operators.enrich import apply_outcomes, build_tag_prompts, check_embedding, claim_pending, merge_outcomes, parse_tag_output, prepare_embedding_input, tag_candidates, with_model_fn
+from memloom.operators.enrich import answered, apply_outcomes, build_tag_prompts, check_embedding, claim_pending, merge_outcomes, parse_tag_output, prepare_embedding_input, tag_candidates
 from memloom.operators.parsing import RAW, normalize_messages, parse_claude, parse_codex, parse_gemini, platform_of_session
 from memloom.operators.tags import cluster_totals, dtag_frequency, promote_tags, resolve_aliases, retrotag
 from memloom.operators.writes import dedup_content
-from memloom.sources.appended import appended_lines
+from memloom.sources.appended import appended_lines, opened
+from memloom.sources.shared import fresh_path, written
 from memloom.sources.transcripts import SESSION
 
 PATTERNS = {"claude": "*.jsonl", "codex": "*.jsonl", "gemini": "*.json*"}
@@ -189,35 +191,54 @@ def stream_carry_model(stream: DataFrame, keep_hours: float | None = 24) -> Data
     return named.groupBy("session_id").applyInPandasWithState(carry, schema, "model string", "append", timeout)
 
 
-def enrich_once(memory: DataFrame, tags: DataFrame, tag_fn: Callable, embed_fn: Callable, dim: int, as_of: dt.datetime, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(memory, tags) after one round: claim, ask, parse, merge. The functions take batches of texts."""
-    now = F.lit(as_of).cast("timestamp_ntz")
-    pending = claim_pending(memory, now, limit)
+def enrich_once(
+    memory: DataFrame, tags: DataFrame, tag_fn: Callable, embed_fn: Callable, dim: int, as_of: dt.datetime, limit: int | None = None, replies: str | None = None, number: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    """(changed rows of memory, tags) of one round: claim, ask, parse, merge. The functions take lists of texts and are asked once a row.
+
+    replies: a folder in which replies are written before they are used (see `answered`), by round number.
+    """
+    spark, now = memory.sparkSession, F.lit(as_of).cast("timestamp_ntz")
+    replies = replies or fresh_path(spark)
+    pending = written(claim_pending(memory, now, limit))
     prompts = build_tag_prompts(pending.where("needs_tag"), tag_candidates(tags))
-    replies = with_model_fn(prompts, tag_fn, "prompt", "raw")
-    parsed, whole = parse_tag_output(replies.select("id", "raw"), tags, resolve_aliases(tags))
-    vectors = with_model_fn(prepare_embedding_input(pending.where("needs_embed")), embed_fn, "input", "embedding", "array<float>")
+    told = answered(prompts, tag_fn, "prompt", "raw", store=f"{replies}/tags", number=number)
+    parsed, whole = parse_tag_output(told.where("error is null").select("id", "raw"), tags, resolve_aliases(tags))
+    failed = told.where("error is not null").select("id", F.lit(None).cast(parsed.schema["p_tag_id"].dataType).alias("p_tag_id"), F.lit(None).cast("array<string>").alias("d_tag"), "error")
+    vectors = answered(prepare_embedding_input(pending.where("needs_embed")), embed_fn, "input", "embedding", "array<float>", store=f"{replies}/vectors", number=number)
     checked = check_embedding(vectors.select("id", "embedding"), dim)
-    failed = vectors.select("id", F.col("error").alias("_e"))
-    embedded = checked.join(failed, "id").select("id", "embedding", F.coalesce("_e", "error").alias("error"))
-    return apply_outcomes(memory, merge_outcomes(pending, parsed, embedded), now), whole
+    embedded = checked.join(vectors.select("id", F.col("error").alias("_e")), "id").select("id", "embedding", F.coalesce("_e", "error").alias("error"))
+    outcomes = merge_outcomes(pending, parsed.unionByName(failed), embedded)
+    changed = memory.join(pending.select("id"), "id", "left_semi")
+    return written(apply_outcomes(changed, outcomes, now)), written(whole)
 
 
 def promote_once(memory: DataFrame, tags: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:
-    """(memory, tags) after frequent keywords became tags and were filled in."""
+    """(changed rows of memory, tags) after frequent keywords became tags and were filled in."""
     whole, promoted = promote_tags(tags, cluster_totals(dtag_frequency(memory, as_of)))
-    return retrotag(memory, promoted), whole
+    filled = retrotag(memory.where("tag_processed and p_tag_id is null"), written(promoted)).where("p_tag_id is not null")
+    return written(filled), written(whole)
 
 
 def stream_enrich(ticks: DataFrame, load: Callable[[], tuple[DataFrame, DataFrame]], save: Callable[[DataFrame, DataFrame, int], None], tag_fn: Callable, embed_fn: Callable, dim: int,
                   clock: Callable[[], dt.datetime], checkpoint: str, every: int = 10, limit: int | None = None, **trigger: Any) -> StreamingQuery:
-    """Each batch of `ticks` (a rate stream, say) enriches what is pending; every tenth also promotes. load and save own the tables."""
+    """Each batch of `ticks` (a rate stream, say) enriches what is pending; every tenth also promotes.
 
+    load gives the memory table and tags; save gets the rows of memory that changed, all tags and the batch's number (merge_memory
+    rewrites only the days of such rows). Replies are kept beside the checkpoint for the batch that is run and the one before.
+    """
     def round_(batch: DataFrame, number: int) -> None:
         memory, tags = load()
-        memory, tags = enrich_once(memory, tags, tag_fn, embed_fn, dim, clock(), limit)
+        replies = f"{checkpoint}/replies"
+        changed, tags = enrich_once(memory, tags, tag_fn, embed_fn, dim, clock(), limit, f"{replies}/{number}", number)
+        if not changed.isEmpty():
+            save(changed, tags, number)
         if number % every == every - 1:
-            memory, tags = promote_once(memory, tags, clock())
-        save(memory, tags, number)
+            changed, tags = promote_once(load()[0], tags, clock())
+            save(changed, tags, number)
+        system, top = opened(replies)
+        for old in system.get_file_info(FileSelector(top, allow_not_found=True)):
+            if old.base_name.isdigit() and int(old.base_name) < number - 1:
+                system.delete_dir(old.path)
 
     return ticks.writeStream.foreachBatch(round_).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()

@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import math
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +125,88 @@ def test_model_function_fails_by_row(spark):
     assert got == {"a": ("aa", None), "bad": (None, "boom"), "c": ("cc", None)}
 
 
+def test_model_function_waits_and_keeps_order(spark):
+    calls = spark.sparkContext.accumulator(0)
+    lost = spark.sparkContext.accumulator(0)
+
+    class Busy(Exception):
+        status = 429
+
+    seen: dict = {}
+
+    def fn(values):
+        calls.add(len(values))
+        if "gone" in values:
+            raise ValueError("no such thing")
+        if values[0] in ("5", "lost"):  # "5" answers at the third time
+            seen[values[0]] = seen.get(values[0], 0) + 1
+            if values[0] == "lost" or seen["5"] < 3:
+                lost.add(1)
+                raise Busy("slow down")
+        time.sleep(0.002 * (int(values[0]) % 3) if values[0].isdigit() else 0)
+        return [v + "!" for v in values]
+
+    given = spark.createDataFrame([(str(i),) for i in range(40)] + [("gone",), ("lost",)], "v string").coalesce(1)
+    began = time.time()
+    got = [tuple(r) for r in enrich.with_model_fn(given, fn, "v", "o", batch=1, parallel=8, wait=0.2, longest=0.3).collect()]
+    assert got == [(str(i), f"{i}!", None) for i in range(40)] + [("gone", None, "no such thing"), ("lost", None, "slow down")]
+    assert calls.value == 39 + 3 + 1 + 3 and lost.value == 2 + 3 and time.time() - began > 0.5
+
+
+def test_replies_are_asked_for_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+    given = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (3, "bad"), (None, "c")], "id long, v string")
+
+    def fn(values):
+        calls.add(len(values))
+        if "bad" in values:
+            raise ValueError("boom")
+        return [v * 2 for v in values]
+
+    for number, asked in ((0, 4), (0, 4), (1, 5)):  # run again: nothing new; the next round: the failed one
+        got = enrich.answered(given, fn, "v", "o", store=str(tmp_path / "r"), number=number, batch=1)
+        for _ in range(2):
+            assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "a", "aa", None), (1, "a", "aa", None), (2, "a", "aa", None), (3, "bad", None, "boom"), (None, "c", "cc", None)], key=repr)
+        assert calls.value == asked
+    assert {r["o"] for r in enrich.answered(given.withColumn("v", F.lit("z")), fn, "v", "o", store=str(tmp_path / "r"), number=1).collect()} == {"zz"}
+
+
+def test_a_round_asks_once_a_row_and_again_for_none(spark, tmp_path):
+    from memloom.streaming.capture import enrich_once
+
+    tagged, embedded = (spark.sparkContext.accumulator(0) for _ in range(2))
+    schema = "id long, user_id long, message string, role string, agent_platform string, agent_model string, is_active boolean, created_at timestamp_ntz, updated_at timestamp_ntz, cold_error string, tag_processed boolean, p_tag_id long, d_tag array<string>, embedding array<float>"
+    rows = [(i, 1, f"m{i}", "user", "p", None, True, T0, T0, None, i % 10 == 0, None, None, [1.0, 1.0] if i % 4 == 3 else None) for i in range(100)]
+    memory = spark.createDataFrame(rows, schema)
+    t = spark.createDataFrame([(1, "alpha", None)], "id long, name string, alias_of long")
+
+    def tag(values):
+        tagged.add(len(values))
+        return ['{"p_tag": "NEW:beta", "d_tag": ["k"]}'] * len(values)
+
+    def embed(values):
+        embedded.add(len(values))
+        return [[0.5, 0.5]] * len(values)
+
+    for _ in range(2):  # the second is the same batch again
+        changed, whole = enrich_once(memory, t, tag, embed, 2, T0, replies=str(tmp_path / "replies"))
+        assert {(r["p_tag_id"], r["tag_processed"], len(r["embedding"])) for r in changed.where("id % 10 <> 0").collect()} == {(2, True, 2)}
+        assert changed.count() == sum(not r[10] or r[13] is None for r in rows) and whole.count() == 2
+        assert (tagged.value, embedded.value) == (90, 75)
+
+
+def test_merging_rewrites_touched_days_only(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(cast(id % 10 as int)) as created_at", "'a' as message")
+    path = str(tmp_path / "m")
+    tr.write_memory(rows, path)
+    files = lambda: {p.relative_to(path).as_posix(): p.stat().st_mtime_ns for p in (tmp_path / "m").rglob("*.parquet")}
+    before = files()
+    tr.merge_memory(spark, rows.where("id in (3, 13)").withColumn("message", F.lit("b")).union(spark.createDataFrame([(500, dt.datetime(2024, 1, 4), "c")], rows.schema)), path)
+    after = files()
+    assert {k.split("/")[0] for k in before.items() ^ after.items() for k in [k[0]]} == {"day=2024-01-04"}
+    assert {r["message"]: r["count"] for r in tr.read_memory(spark, path).groupBy("message").count().collect()} == {"a": 98, "b": 2, "c": 1}
+
+
 @pytest.mark.parametrize(("importance", "kind", "access", "days", "score"), [(5, "learning", 0, 0, 5), (10, "state", 0, 14, 10 / math.e), (5, "state", 0, 25, 5 * math.exp(-25 / 14)), (4, "state", 9, 50, 4 * math.exp(-50 / 28))])
 def test_decay(spark, importance, kind, access, days, score):
     at = T0 - dt.timedelta(days=days)
