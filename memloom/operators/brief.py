@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,14 +95,32 @@ def render_brief(briefs: DataFrame, device_name: str = "local") -> DataFrame:
     return briefs.select("user_id", F.array_join(F.concat(*(F.coalesce(p, empty) for p in parts)), "\n").alias("brief"))
 
 
-def short_term_window(memory: DataFrame, as_of: dt.datetime, days: int = 3, budget: float = 8000) -> DataFrame:
+def short_term_window(memory: DataFrame, as_of: dt.datetime, days: int = 3, budget: float = 8000, steps: tuple[int, ...] = (3600, 60, 1)) -> DataFrame:
     """The newest messages of each user within the days and the token budget, whichever is reached first; with `tokens` so far.
 
-    The window is cut to the days before it is sorted.
+    A scan in two passes over segments of so many seconds, for each of the steps: each segment gives the length of its messages by an aggregation that
+    combines before the shuffle, sums run over them from the newest, and those that begin beyond the budget are
+    dropped. So of a user's messages only what is near the budget's end is sorted, in segments of a second.
     """
-    rows = memory.where(F.col("is_active") & (F.col("created_at") >= since(as_of, days)))
-    so_far = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.asc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("tokens", F.sum(F.length("message")).over(so_far) / CHARS_PER_TOKEN).where(F.col("tokens") <= budget)
+    chars = F.length("message")
+    number = F.unix_seconds("created_at") if memory.schema["created_at"].dataType.typeName() == "timestamp" else (
+        ((F.unix_date(F.to_date("created_at")).cast("long") * 24 + F.hour("created_at")) * 60 + F.minute("created_at")) * 60 + F.second("created_at")
+    )  # of seconds, in the order of time whatever the session's zone
+    rows = memory.where(F.col("is_active") & (F.col("created_at") >= since(as_of, days))).withColumn("_before", F.lit(None).cast("long"))
+    keys = ["user_id"]
+    for step in steps:
+        rows = rows.withColumn("_at", F.floor(number / step))
+        total = rows.groupBy(*keys, "_at").agg(F.sum(chars).alias("_n"), F.first("_before").alias("_base"))
+        newer = Window.partitionBy(*keys).orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1)
+        total = total.withColumn("_n", F.sum("_n").over(newer)).withColumn("_sum", F.coalesce(F.col("_base") + F.col("_n"), "_base", "_n"))
+        total = total.where(F.coalesce("_sum", F.lit(0)) / CHARS_PER_TOKEN <= budget).select(*(F.col(k).alias(f"{k}_") for k in (*keys, "_at")), "_sum")
+        same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in (*keys, "_at")]
+        rows = rows.drop("_before").join(total, reduce(lambda a, b: a & b, same)).withColumn("_before", F.col("_sum")).drop("_sum", *(f"{k}_" for k in (*keys, "_at")))
+        rows, keys = rows.withColumnRenamed("_at", f"_{step}"), [*keys, f"_{step}"]
+    so_far = Window.partitionBy(*keys).orderBy(F.desc("created_at"), F.asc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.sum(chars).over(so_far)
+    tokens = F.coalesce(F.col("_before") + own, "_before", own) / CHARS_PER_TOKEN
+    return rows.withColumn("tokens", tokens).where(F.col("tokens") <= budget).select(*memory.columns, "tokens")
 
 
 def scope_memories(memory: DataFrame, platform: str, model: str, p_tag_id: int | None = None) -> DataFrame:

@@ -9,11 +9,13 @@ from memloom.functions.text import slug, without_fences
 
 
 def sample_by_role(memory: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n active rows: half (rounded down) of users, the rest of assistants, in an order by a hash of id and seed."""
+    """n active rows: half (rounded down) of users, the rest of assistants, in the order of the MD5 of `id:seed`."""
     half = n // 2
     rows = memory.where("is_active and role in ('user', 'assistant')").select("id", "role", "message", "p_tag_id", "d_tag")
-    rank = F.row_number().over(Window.partitionBy("role").orderBy(F.xxhash64("id", F.lit(seed)), "id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("role") == "user", half).otherwise(n - half)).drop("rank")
+    order = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))))
+    rank = F.row_number().over(Window.partitionBy("role").orderBy(order, "id"))
+    kept = F.col("rank") <= F.when(F.col("role") == "user", half).otherwise(n - half)
+    return rows.withColumn("rank", rank).where((F.col("rank") <= n - half) & kept).drop("rank")  # the literal bound cuts groups before the exchange
 
 
 def classify_tag_responses(responses: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -38,11 +38,20 @@ def _codex(lines: DataFrame) -> DataFrame:
     return lines.select("*", F.from_json("line", schema).alias("e"))
 
 
-def carry_forward_model(lines: DataFrame) -> DataFrame:
-    """Codex lines with `carried`: the model named last at or before the line in its file, null if none was."""
+def carry_forward_model(lines: DataFrame, segment: int = 8 << 20) -> DataFrame:
+    """Codex lines with `carried`: the model named last at or before the line in its file, null if none was.
+
+    A scan in two passes over segments of so many bytes: each gives the model that it names last, what a segment
+    begins with is the last of those before it, and within segments a window fills in. So one long file is spread over tasks.
+    """
     named = F.when(F.col("e.type") == "turn_context", F.col("e.payload.model"))
-    upto = Window.partitionBy("path").orderBy("byte_offset").rowsBetween(Window.unboundedPreceding, 0)
-    return _codex(lines).select(*lines.columns, F.last(named, ignorenulls=True).over(upto).alias("carried"))
+    rows = _codex(lines).select(*lines.columns, named.alias("_named"), F.expr(f"byte_offset div {segment}").alias("_segment"))
+    ends = rows.groupBy("path", "_segment").agg(F.max_by("_named", F.when(F.col("_named").isNotNull(), F.col("byte_offset"))).alias("_named"))
+    earlier = Window.partitionBy("path").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("path", "_segment", F.last("_named", ignorenulls=True).over(earlier).alias("_before"))
+    upto = Window.partitionBy("path", "_segment").orderBy("byte_offset").rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.join(ends, ["path", "_segment"], "left")
+    return met.select(*lines.columns, F.coalesce(F.last("_named", ignorenulls=True).over(upto), "_before").alias("carried"))
 
 
 def parse_codex(lines: DataFrame) -> DataFrame:

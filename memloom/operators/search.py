@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import parse_date_range, slug, trim_all
+from memloom.operators.vectors import blocks, nearest, pair_similarities
 from memloom.sources.shared import written
 
 #: Queries that are sent to every task at once (64 MB at 3,072 dimensions of 4 bytes and a margin).
@@ -81,48 +80,26 @@ def search_keyword(memory: DataFrame, queries: DataFrame) -> DataFrame:
 def search_vector(memory: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, rank, similarity): exact cosine top k among the rows of the query's user that meet its filters.
 
-    A join on the user, in the JVM; norms are taken once a vector. Zero vectors and vectors of another length
-    match nothing.
+    Queries go in blocks of bounded size to the rows, which are not shuffled: filters are a broadcast join, products are taken
+    in the tasks, and each gives its best of a query (see vectors.py). Zero vectors and vectors of another length match nothing.
     """
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    e, v = F.col("embedding"), F.col("q_vector")
-    wanted = queries.where("q_text is not null and q_vector is not null").withColumn("q_norm", F.sqrt(dot(v, v)))
-    rows = memory.where("embedding is not null").select("id", "user_id", "role", "agent_platform", "p_tag_id", "is_active", "created_at", "embedding", F.sqrt(dot(e, e)).alias("norm"))
-    met = rows.join(_few(wanted), matches() & (F.size("embedding") == F.size("q_vector")))
-    hits = met.withColumn("similarity", F.try_divide(dot(e, v), F.col("norm") * F.col("q_norm"))).where("similarity is not null and not isnan(similarity)")
+    wanted = queries.where("q_text is not null and q_vector is not null").withColumnRenamed("q_vector", "vector").withColumn("query_id", F.col("query_id").cast("long"))
+    rows = memory.where("embedding is not null").select(F.col("id").cast("long").alias("id"), "user_id", "role", "agent_platform", "p_tag_id", "is_active", "created_at", "embedding")
+    hits = memory.sparkSession.createDataFrame([], "query_id long, id long, similarity double, q_k int")
+    for own, block in blocks(wanted):
+        filters = F.broadcast(own.drop("vector"))
+        found = pair_similarities(rows.join(filters, matches()), block, MOST)
+        hits = hits.union(found.join(F.broadcast(own.select("query_id", "q_k")), "query_id").select("query_id", "id", "similarity", "q_k"))
     return _ranked(hits, F.desc("similarity"), F.asc("id")).select("query_id", "id", "rank", "similarity")
 
 
-def nearest_in_blocks(rows: DataFrame, queries: DataFrame, block: int = 2000, slice_: int = 20_000) -> DataFrame:
+def nearest_in_blocks(rows: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
     """(query_id, id, similarity): of rows (id, embedding) the one of highest cosine for each of queries (query_id, vector), ties by id.
 
-    All queries against all rows: blocks of queries meet slices of rows, a matrix product in each, and each
-    slice gives one row a query. Zero vectors, null ones and those of another length match nothing.
+    All queries against all rows: blocks of queries (of `limit` bytes) go to the rows, and each task gives one row a query. Zero vectors,
+    null ones and those of another length match nothing.
     """
-    n, m = (max(1, -(-df.count() // size)) for df, size in ((queries, block), (rows, slice_)))
-    deal = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    asked = queries.where("vector is not null").select(deal("query_id", n).alias("b"), each(m).alias("s"), "query_id", "vector")
-    held = rows.where("embedding is not null").select(each(n).alias("b"), deal("id", m).alias("s"), "id", "embedding")
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        right = right.sort_values("id")
-        for dim, q in left.groupby(left["vector"].map(len)):
-            r = right[right["embedding"].map(len) == dim]
-            if not len(r) or not dim:
-                continue
-            x, y = (np.stack(c.to_numpy()).astype(np.float64) for c in (q["vector"], r["embedding"]))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                sims = (x @ y.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)[None, :]
-            sims = np.where(np.isfinite(sims), sims, -np.inf)
-            top = sims.argmax(axis=1)
-            out.append(pd.DataFrame({"query_id": q["query_id"].to_numpy(), "id": r["id"].to_numpy()[top], "similarity": sims[np.arange(len(x)), top]}))
-        found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-        return found[np.isfinite(found["similarity"])] if len(found) else found
-
-    found = asked.groupBy("b", "s").cogroup(held.groupBy("b", "s")).applyInPandas(best, "query_id long, id long, similarity double")
-    top = found.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("id")).alias("i"))).alias("t"))
+    top = nearest(rows, queries, limit=limit).groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("id")).alias("i"))).alias("t"))
     return top.select("query_id", (-F.col("t.i")).alias("id"), "t.similarity")
 
 

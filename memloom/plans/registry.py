@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -190,14 +191,25 @@ def q_external_uuid(d: Data) -> DataFrame:
     return d.turns.select("id", F.concat_ws("", F.lit("gemini:"), sid, F.lit(":"), key.cast("string")).alias("joined"), tx.external_uuid("gemini", sid, key).alias("uuid"))
 
 
-@_query(f"""SELECT agent_platform, role, agent_model, 'box' AS device_name, count(*) AS n FROM (
- SELECT 'claude-code' AS agent_platform, role, CASE WHEN role = 'assistant' THEN agent_model END AS agent_model FROM ({_CLAUDE_OUT})
- UNION ALL SELECT 'codex-mcp-client', CASE WHEN line LIKE '%"user_message"%' THEN 'user' ELSE 'assistant' END, CASE WHEN line NOT LIKE '%"user_message"%' THEN coalesce(carried, 'unknown') END FROM (
-  SELECT *, last_value(CASE WHEN turn % 2 = 1 THEN concat('m', CAST((turn + 1) // 2 AS VARCHAR)) END IGNORE NULLS) OVER (PARTITION BY session_no ORDER BY turn) AS carried FROM codex_lines) WHERE turn % 2 = 0
- UNION ALL SELECT 'gemini-cli-mcp-client', role, CASE WHEN role = 'assistant' THEN 'unknown' END FROM turns) GROUP BY ALL""")
+_TRIMMED = "trim({0}, chr(32) || chr(9) || chr(10) || chr(13))"
+_CARRIED = "last_value(CASE WHEN turn % 2 = 1 THEN concat('m', CAST((turn + 1) // 2 AS VARCHAR)) END IGNORE NULLS) OVER (PARTITION BY session_no ORDER BY turn)"
+_GEMINI_OUT = f"""SELECT *, row_number() OVER (PARTITION BY role, message ORDER BY concat('session-x-', hex(session_no), '.json/'), n) AS said FROM (
+  SELECT session_no, turn, role, {_TRIMMED.format("message")} AS message, row_number() OVER (PARTITION BY session_no ORDER BY turn) - 1 AS n FROM turns) WHERE message <> ''"""
+
+
+def _parsed(codex_platform: str, gemini: str) -> str:
+    """SQL of all messages in the three formats; gemini: which of equal texts count."""
+    return f"""SELECT session_id, role, message, CASE WHEN role = 'assistant' THEN agent_model END AS agent_model, 'claude-code' AS agent_platform, external_uuid FROM ({_CLAUDE_OUT})
+UNION ALL SELECT session_id, role, md5(message), CASE WHEN role = 'assistant' THEN coalesce(carried, 'unknown') END, {codex_platform}, concat('codex:', session_id, ':', CAST(byte_offset AS VARCHAR)) FROM (
+ SELECT *, {UUID36} AS session_id, CASE WHEN line LIKE '%"user_message"%' THEN 'user' ELSE 'assistant' END AS role, {_TRIMMED.format("json_extract_string(line, '$.payload.message')")} AS message, {_CARRIED} AS carried FROM ({CODEX_AT})) WHERE turn % 2 = 0 AND message <> ''
+UNION ALL SELECT concat('g', CAST(session_no AS VARCHAR)), role, md5(message), CASE WHEN role = 'assistant' THEN 'unknown' END, 'gemini-cli-mcp-client',
+ concat('gemini:g', CAST(session_no AS VARCHAR), ':', CASE WHEN turn % 2 = 1 THEN concat('g', CAST(turn AS VARCHAR)) ELSE concat('g', CAST(session_no AS VARCHAR), '-', CAST(n AS VARCHAR)) END) FROM ({_GEMINI_OUT}) WHERE {gemini}"""
+
+
+@_query(f"SELECT *, 'box' AS device_name FROM ({_parsed(chr(39) + 'codex-mcp-client' + chr(39), 'TRUE')})")
 def q_normalize_messages(d: Data) -> DataFrame:
     rows = parsing.normalize_messages(parsing.parse_claude(claude(d)), parsing.parse_codex(codex(d)), parsing.parse_gemini(tr.explode_sessions(gemini_files(d))), device_name="box")
-    return rows.groupBy("agent_platform", "role", "agent_model", "device_name").agg(F.count("*").alias("n"))
+    return rows.select("session_id", "role", md5("message"), "agent_model", "agent_platform", "external_uuid", "device_name")
 
 
 @_query(f"""SELECT {CLAUDE_PATH} AS path, count(*) FILTER (turn % 7 <> 5 AND turn % 4 <> 3) AS inserted, count(*) FILTER (turn % 7 = 5) AS skipped,
@@ -260,7 +272,7 @@ def q_validate_memory(d: Data) -> DataFrame:
 
 
 _CHANGES = """SELECT event_id AS seq, CASE WHEN event_id % 5 = 4 THEN user_id + 1 ELSE user_id END AS user_id, CASE event_id % 4 WHEN 0 THEN 'add' WHEN 1 THEN 'update' WHEN 2 THEN 'remove' ELSE 'update' END AS action,
- CASE WHEN event_id % 4 = 0 OR event_id % 19 = 0 THEN NULL WHEN event_id % 29 = 0 THEN -event_id ELSE event_id - event_id % 3 END AS memory_id, CASE WHEN event_id % 31 <> 0 THEN concat('text ', CAST(event_id AS STRING)) END AS content FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0"""
+ CASE WHEN event_id % 4 = 0 OR event_id % 19 = 0 THEN NULL WHEN event_id % 29 = 0 THEN -event_id ELSE event_id - event_id % 3 END AS memory_id, CASE WHEN event_id % 31 <> 0 THEN concat('text ', CAST(event_id AS STRING)) END AS content FROM events"""
 _STATUS = f"""SELECT c.*, CASE WHEN action IN ('remove', 'update') AND memory_id IS NULL THEN 'memory_id required' WHEN action IN ('add', 'update') AND content IS NULL THEN 'content required'
  WHEN action = 'add' THEN 'added' WHEN m.id IS NULL THEN 'not found' WHEN m.user_id <> c.user_id THEN 'another user' WHEN action = 'remove' AND m.is_pinned THEN 'pinned' WHEN action = 'remove' THEN 'removed' ELSE 'updated' END AS status
 FROM ({_CHANGES}) c LEFT JOIN mem m ON m.id = c.memory_id"""
@@ -283,7 +295,7 @@ def q_apply_memory_changes(d: Data) -> DataFrame:
     return writes.apply_memory_changes(d.mem, changes(d), now())[0].select("id", "user_id", "message", "p_tag_id", "cold_error", "tag_processed", "is_active", "is_pinned")
 
 
-_PROFILE = "SELECT event_id AS seq, user_id, CASE WHEN event_id % 97 = 0 THEN 'update' WHEN event_id % 151 = 0 THEN 'remove' ELSE 'add' END AS action, CASE WHEN event_id % 11 <> 0 THEN concat('line ', CAST(event_id AS STRING)) END AS content FROM events WHERE event_id % 5 = 0"
+_PROFILE = "SELECT event_id AS seq, user_id, CASE WHEN event_id % 97 = 0 THEN 'update' WHEN event_id % 151 = 0 THEN 'remove' ELSE 'add' END AS action, CASE WHEN event_id % 11 <> 0 THEN concat('line ', CAST(event_id AS STRING)) END AS content FROM events"
 
 
 @_query(f"""WITH c AS (SELECT * FROM ({_PROFILE}) WHERE action = 'remove' OR content IS NOT NULL), r AS (SELECT user_id, max(seq) FILTER (action <> 'add') AS reset FROM c GROUP BY 1),
@@ -445,9 +457,11 @@ def q_parse_date_range(d: Data) -> DataFrame:
     return d.events.select("event_id", tx.parse_date_range(F.expr(given), AS_OF).alias("since"))
 
 
-@_query("SELECT id FROM mem WHERE user_id = 7 AND is_active AND p_tag_id = 1 AND created_at >= TIMESTAMP '2024-01-10 00:00:00' AND role = 'user'")
+@_query("""SELECT 'tag' AS asked, id FROM mem WHERE is_active AND p_tag_id = 1 AND created_at >= TIMESTAMP '2024-01-10 00:00:00' AND role = 'user'
+UNION ALL SELECT 'user', id FROM mem WHERE user_id = 7 UNION ALL SELECT 'platform', id FROM mem WHERE is_active AND agent_platform = 'codex-cli'""")
 def q_filter_memory(d: Data) -> DataFrame:
-    return search.filter_memory(d.mem, user_id=7, p_tag_id=1, since=dt.datetime(2024, 1, 10), role="user").select("id")
+    asked = [("tag", {"p_tag_id": 1, "since": dt.datetime(2024, 1, 10), "role": "user"}), ("user", {"user_id": 7, "include_archived": True}), ("platform", {"platform": "codex-cli"})]
+    return reduce(DataFrame.union, (search.filter_memory(d.mem, **filters).select(F.lit(name).alias("asked"), "id") for name, filters in asked))
 
 
 @_query(_RECENT.format("TRUE"))
@@ -568,9 +582,9 @@ def q_apply_profile_output(d: Data) -> DataFrame:
     return profile.apply_profile_output(d.people, d.people.where("user_id % 4 < 3").select("user_id", raw.alias("raw"))).select("user_id", "core_profile", "sub_profile", "changed", "error")
 
 
-@_query("SELECT role, CASE role WHEN 'user' THEN least(50, count(*)) ELSE least(51, count(*)) END AS n FROM mem WHERE is_active GROUP BY role")
+@_query("SELECT id, role, p_tag_id FROM mem WHERE is_active QUALIFY row_number() OVER (PARTITION BY role ORDER BY md5(concat(CAST(id AS STRING), ':7')), id) <= CASE role WHEN 'user' THEN 50 ELSE 51 END")
 def q_sample_by_role(d: Data) -> DataFrame:
-    return evaluate.sample_by_role(d.mem, 101, 7).groupBy("role").agg(F.count("*").alias("n"))
+    return evaluate.sample_by_role(d.mem, 101, 7).select("id", "role", "p_tag_id")
 
 
 def classified(d: Data) -> DataFrame:
@@ -774,19 +788,10 @@ def _ticks(d: Data, n: int) -> DataFrame:
     return d.spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(landing)
 
 
-_TRIMMED = "trim({0}, chr(32) || chr(9) || chr(10) || chr(13))"
 _SOURCE = "CASE session_no % 6 WHEN 0 THEN 'codex-cli' WHEN 1 THEN 'codex-desktop' WHEN 2 THEN 'codex-mcp' WHEN 3 THEN 'codex-exec' ELSE 'codex-mcp-client' END"
-_CARRIED = "last_value(CASE WHEN turn % 2 = 1 THEN concat('m', CAST((turn + 1) // 2 AS VARCHAR)) END IGNORE NULLS) OVER (PARTITION BY session_no ORDER BY turn)"
-_STREAMED = f"""SELECT session_id, role, message, CASE WHEN role = 'assistant' THEN agent_model END AS agent_model, 'claude-code' AS agent_platform, external_uuid FROM ({_CLAUDE_OUT})
-UNION ALL SELECT session_id, role, md5(message), CASE WHEN role = 'assistant' THEN coalesce(carried, 'unknown') END, {_SOURCE}, concat('codex:', session_id, ':', CAST(byte_offset AS VARCHAR)) FROM (
- SELECT *, {UUID36} AS session_id, CASE WHEN line LIKE '%"user_message"%' THEN 'user' ELSE 'assistant' END AS role, {_TRIMMED.format("json_extract_string(line, '$.payload.message')")} AS message, {_CARRIED} AS carried FROM ({CODEX_AT})) WHERE turn % 2 = 0 AND message <> ''
-UNION ALL SELECT concat('g', CAST(session_no AS VARCHAR)), role, md5(message), CASE WHEN role = 'assistant' THEN 'unknown' END, 'gemini-cli-mcp-client',
- concat('gemini:g', CAST(session_no AS VARCHAR), ':', CASE WHEN turn % 2 = 1 THEN concat('g', CAST(turn AS VARCHAR)) ELSE concat('g', CAST(session_no AS VARCHAR), '-', CAST(n AS VARCHAR)) END) FROM (
- SELECT *, row_number() OVER (PARTITION BY role, message ORDER BY concat('session-x-', hex(session_no), '.json/'), n) AS r FROM (
-  SELECT session_no, turn, role, {_TRIMMED.format("message")} AS message, row_number() OVER (PARTITION BY session_no ORDER BY turn) - 1 AS n FROM turns) WHERE message <> '') WHERE r = 1"""
 
 
-@_query(_STREAMED)
+@_query(_parsed(_SOURCE, "said = 1"))
 def q_stream_ingest(d: Data) -> DataFrame:
     """All transcripts in three formats, one file a session, through the stream into tables; a second start finds nothing new."""
     from memloom.streaming.capture import stream_ingest

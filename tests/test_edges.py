@@ -8,11 +8,12 @@ import math
 import os
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from memloom.functions import text as tx
-from memloom.operators import enrich, lifecycle, parsing, search, skills, tags, writes
+from memloom.operators import brief, enrich, lifecycle, parsing, search, skills, tags, writes
 from memloom.sources import transcripts as tr
 
 T0 = dt.datetime(2024, 3, 31, 10, 30)
@@ -265,6 +266,48 @@ def test_skill_routing(spark):
     assert got == {10: ("accumulate", 1, None), 11: ("branch", 1, 1), 12: ("create", None, None)}
 
 
+def test_nearest_of_blocks_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-3, 4, 4 if i % 9 else 5).tolist() if i % 17 else [0.0] * 4) for i in range(3000)] + [(5000, None), (5001, []), (5002, [1.0, None, 1.0, 1.0])]
+    asked = [(i, rng.integers(-3, 4, 4 if i % 5 else 5).tolist() if i % 11 else [0.0] * 4) for i in range(90)] + [(200, None), (201, [1.0])]
+    x = spark.createDataFrame([(i, None if v is None else [c if c is None else float(c) for c in v]) for i, v in rows], "id long, embedding array<float>").repartition(5)
+    q = spark.createDataFrame([(i, None if v is None else [float(c) for c in v]) for i, v in asked], "query_id long, vector array<float>")
+    cosine = lambda a, b: sum(s * t for s, t in zip(a, b, strict=True)) / math.sqrt(sum(s * s for s in a)) / math.sqrt(sum(t * t for t in b))
+    want = {}
+    for i, v in asked:
+        best = [(-round(cosine(v, w), 9), j) for j, w in rows if v and w and len(v) == len(w) and None not in w and any(v) and any(w)]
+        if best:
+            want[i] = min(best)
+    for limit in (None, 300):  # one block, and many
+        got = {r["query_id"]: (-round(r["similarity"], 9), r["id"]) for r in search.nearest_in_blocks(x, q, limit=limit).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    plan = search.nearest_in_blocks(x, q)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(query_id") == 1 and "Exchange hashpartitioning(id" not in plan
+
+
+def test_models_are_carried_over_segments(spark):
+    rows = [("p", "s", i, 100 * i, turn(f"m{i}").strip() if i in (3, 4, 40) else event("agent_message", "x").strip()) for i in range(100)] + [("q", "s", 0, 0, event("agent_message", "x").strip())]
+    given = spark.createDataFrame(rows, "path string, session_id string, pos int, byte_offset long, line string").repartition(3)
+    want = {("q", 0): None} | {("p", i): None if i < 3 else "m3" if i < 4 else "m4" if i < 40 else "m40" for i in range(100)}
+    for segment in (1, 250, 8 << 20):
+        assert {(r["path"], r["pos"]): r["carried"] for r in parsing.carry_forward_model(given, segment).collect()} == want
+
+
+def test_token_windows_in_segments_are_those_of_a_window(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(0, 3)) or None, T0 - dt.timedelta(seconds=int(rng.zipf(1.2)) % 200_000), bool(i % 13), None if i % 50 == 0 else "x" * int(rng.integers(0, 30))) for i in range(4000)]
+    memory = spark.createDataFrame(rows, "id long, user_id long, created_at timestamp_ntz, is_active boolean, message string").repartition(4)
+    for budget in (0, 5, 300, 10_000):
+        cum, want = {}, []
+        for i, u, at, active, m in sorted((r for r in rows if r[3]), key=lambda r: (-r[2].timestamp(), r[0])):
+            if m is not None:
+                cum[u] = cum.get(u, 0) + len(m)
+            if u in cum and cum[u] / 1.7 <= budget and at >= T0 - dt.timedelta(days=3):
+                want.append((i, round(cum[u] / 1.7, 6)))
+        got = [(r["id"], round(r["tokens"], 6)) for r in brief.short_term_window(memory, T0, 3, budget).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_noise_is_removed_once_per_element(spark):
     df = spark.createDataFrame([("a <system-reminder>x</system-reminder> b <system-reminder>y\nz</system-reminder>",), ("<hook>k</hook>",)], "t string")
     assert [r["o"] for r in df.select(tx.strip_noise(F.col("t")).alias("o")).collect()] == ["a  b", "<hook>k</hook>"]
