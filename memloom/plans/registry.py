@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions import text as tx
-from memloom.operators import brief, diagnostics, enrich, evaluate, lifecycle, parsing, profile, search, skills, tags, writes
+from memloom.operators import brief, diagnostics, enrich, evaluate, lifecycle, parsing, profile, search, skills, tags, trigrams, writes
 from memloom.plans.fixtures import AS_OF, FACTS_AS_OF, Data, oracle
 from memloom.sources import transcripts as tr
 from memloom.sources.shared import fresh_path, written
@@ -479,6 +479,15 @@ def q_search_keyword(d: Data) -> DataFrame:
     return search.search_keyword(d.mem, prepared(d))
 
 
+@_query(_KEYWORD)
+def q_search_keyword_indexed(d: Data) -> DataFrame:
+    """By a stored index of trigrams, whose second half was added later."""
+    path = fresh_path(d.spark)
+    for half in (0, 1):
+        trigrams.keyword_index(d.mem.where(F.col("id") % 2 == half)).write.mode("append").parquet(path)
+    return trigrams.search_keyword_indexed(d.mem, prepared(d), d.spark.read.parquet(path))
+
+
 @_query(f"""WITH q AS ({_ASKED}), v AS ({_VECTOR}), top AS (SELECT query_id, max(similarity) AS top FROM v GROUP BY 1), k AS (SELECT * FROM ({_KEYWORD}) WHERE query_id NOT IN (SELECT query_id FROM top WHERE top >= 0.3)),
  hits AS (SELECT query_id, 'vector' AS used, round(top, 6) AS top_similarity, rank, id FROM v JOIN top USING (query_id) WHERE query_id NOT IN (SELECT query_id FROM k)
  UNION ALL SELECT query_id, 'ilike', NULL, rank, id FROM k UNION ALL SELECT query_id, 'recency', NULL, rank, id FROM ({_RECENT.format("q.text IS NULL")}))

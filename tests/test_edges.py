@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memloom.functions import text as tx
-from memloom.operators import brief, enrich, lifecycle, parsing, search, skills, tags, writes
+from memloom.operators import brief, enrich, lifecycle, parsing, search, skills, tags, trigrams, writes
 from memloom.sources import transcripts as tr
 
 T0 = dt.datetime(2024, 3, 31, 10, 30)
@@ -266,6 +266,24 @@ def test_skill_routing(spark):
     assert got == {10: ("accumulate", 1, None), 11: ("branch", 1, 1), 12: ("create", None, None)}
 
 
+def test_keyword_index_gives_the_rows_of_the_scan(spark):
+    rng = np.random.default_rng(6)
+    words = ["alpha", "beta", "100%", "a_b", "Größe", "back\\\\slash", "日本語", "x", "ab", "İstanbul"]
+    made = [(i, i % 3, "user", "p", None, i % 7 != 0, T0 - dt.timedelta(minutes=i), None if i % 50 == 0 else " ".join(words[j] for j in rng.integers(0, len(words), 1 + i % 4))) for i in range(600)]
+    memory = spark.createDataFrame(made, "id long, user_id long, role string, agent_platform string, p_tag_id long, is_active boolean, created_at timestamp_ntz, message string")
+    texts = ["alpha", "ALPHA beta", "l%a", "alp%beta", "a_b", "100%", "ab", "x", "größe", "日本語", "本", "back\\\\\\\\sl", "istanbul", "no such", "%", "alpha_beta", "", None]
+    schema = "query_id long, user_id long, text string, vector array<float>, p_tag string, date_range string, role string, platform string, include_archived boolean, k int"
+    t = spark.createDataFrame([(1, "alpha", None)], "id long, name string, alias_of long")
+    q = search.prepare_queries(spark.createDataFrame([(n, n % 3, x, None, None, None, None, None, n % 2 == 0, 50) for n, x in enumerate(texts)], schema), tags.resolve_aliases(t), T0)
+    index = trigrams.keyword_index(memory, 64).cache()
+    got, want = (sorted(map(tuple, f.collect())) for f in (trigrams.search_keyword_indexed(memory, q, index), search.search_keyword(memory, q)))
+    assert got == want and len(want) > 100
+    assert index.agg(F.max(F.size("ids"))).first()[0] <= 64
+    rare = trigrams.keyword_candidates(index, q.where("query_id = 8"))  # `größe`
+    mine = {m[0] for m in made if m[1] == 8 % 3 and m[7] and "Größe" in m[7]}
+    assert {r["id"] for r in rare.collect()} == mine and len(mine) < 150
+
+
 def test_nearest_of_blocks_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.integers(-3, 4, 4 if i % 9 else 5).tolist() if i % 17 else [0.0] * 4) for i in range(3000)] + [(5000, None), (5001, []), (5002, [1.0, None, 1.0, 1.0])]
