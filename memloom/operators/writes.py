@@ -38,11 +38,8 @@ def dedup_content(df: DataFrame, scope: list[str], order: list[str]) -> DataFram
     return first.select("_row.*")
 
 
-def upsert_memory(memory: DataFrame, incoming: DataFrame, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(table, outcome): rows whose external_uuid is new (or null) are added; outcome: (external_uuid, id, inserted).
-
-    Of incoming rows with one uuid the first in `order` counts. Null uuids never meet in the join.
-    """
+def new_memory_rows(memory: DataFrame, incoming: DataFrame, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, known): rows that are new to memory, with ids and defaults; known: (external_uuid, id, false) of those that it has."""
     order = order or ["external_uuid"]
     keyed = incoming.where("external_uuid is not null").groupBy("external_uuid").agg(F.min_by(F.struct(*incoming.columns), F.struct(*order)).alias("_r")).select("_r.*")
     have = memory.where("external_uuid is not null").select("external_uuid", F.col("id").alias("_have"))
@@ -59,10 +56,16 @@ def upsert_memory(memory: DataFrame, incoming: DataFrame, order: list[str] | Non
         if f.name == "tag_processed":
             c = F.col("p_tag_id").isNotNull() if "p_tag_id" in new.columns else F.lit(False)
         cols.append(c.cast(f.dataType).alias(f.name))
-    rows = new.select(*cols)
-    outcome = rows.select("external_uuid", "id", F.lit(True).alias("inserted"))
-    outcome = outcome.union(joined.where("_have is not null").select("external_uuid", F.col("_have").alias("id"), F.lit(False)))
-    return memory.unionByName(rows), outcome
+    return new.select(*cols), joined.where("_have is not null").select("external_uuid", F.col("_have").alias("id"), F.lit(False).alias("inserted"))
+
+
+def upsert_memory(memory: DataFrame, incoming: DataFrame, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(table, outcome): rows whose external_uuid is new (or null) are added; outcome: (external_uuid, id, inserted).
+
+    Of incoming rows with one uuid the first in `order` counts. Null uuids never meet in the join.
+    """
+    rows, known = new_memory_rows(memory, incoming, order)
+    return memory.unionByName(rows), rows.select("external_uuid", "id", F.lit(True).alias("inserted")).union(known)
 
 
 def resolve_identity(df: DataFrame) -> DataFrame:
@@ -91,12 +94,13 @@ def validate_memory(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d.where("size(reasons) = 0").drop("reasons"), d.where("size(reasons) > 0")
 
 
-def apply_memory_changes(memory: DataFrame, changes: DataFrame, as_of: Column, keep_tag_processed: bool = False) -> tuple[DataFrame, DataFrame]:
+def apply_memory_changes(memory: DataFrame, changes: DataFrame, as_of: Column, keep_tag_processed: bool = False, top: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(table, statuses by seq) for an ordered log of (seq, user_id, action, memory_id, content).
 
     add: a pinned row of the user. update: new text, tag, vector and error cleared. remove: a soft delete that
     pinned rows are exempt from; it may be repeated. No change alters what decides another's status (owner and
-    pin), so each status follows from the row as it was; an added row has no id that the log could name.
+    pin), so each status follows from the row as it was; an added row has no id that the log could name. Its id
+    follows on top, memory's largest if None.
     """
     as_of = as_of.cast(memory.schema["created_at"].dataType)
     old = memory.select(F.col("id").alias("memory_id"), F.col("user_id").alias("_owner"), F.col("is_pinned").alias("_pinned"))
@@ -128,7 +132,7 @@ def apply_memory_changes(memory: DataFrame, changes: DataFrame, as_of: Column, k
         "is_active": F.when(gone, F.lit(False)).otherwise(F.col("is_active")), "archived_at": F.when(gone, as_of).otherwise(F.col("archived_at")),
         "updated_at": F.when(up | gone, as_of).otherwise(F.col("updated_at")),
     }).select(*memory.columns)
-    top = memory.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    top = memory.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if top is None else top
     added = numbered(judged.where("status = 'added'").select("seq", "user_id", "content"), ["seq"], top)
     given = {
         "id": F.col("id"), "user_id": F.col("user_id"), "message": F.col("content"), "role": F.lit("user"), "is_pinned": F.lit(True), "is_active": F.lit(True),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from memloom.functions import text as tx
 from memloom.operators import brief, diagnostics, enrich, evaluate, lifecycle, parsing, profile, search, skills, tags, trigrams, writes
 from memloom.plans.fixtures import AS_OF, FACTS_AS_OF, Data, oracle
+from memloom.sources import keyed
 from memloom.sources import transcripts as tr
 from memloom.sources.shared import fresh_path, written
 
@@ -238,15 +239,31 @@ def q_dedup_content(d: Data) -> DataFrame:
 _INCOMING = """SELECT id AS src, CASE WHEN id % 4 <> 3 THEN concat('ext:', CAST(id % (SELECT max(event_id) * 2 FROM events) AS VARCHAR)) END AS external_uuid FROM turns"""
 
 
-@_query(f"""WITH i AS ({_INCOMING}), one AS (SELECT external_uuid, min(src) AS src FROM i WHERE external_uuid IS NOT NULL GROUP BY 1),
+_UPSERTED = f"""WITH i AS ({_INCOMING}), one AS (SELECT external_uuid, min(src) AS src FROM i WHERE external_uuid IS NOT NULL GROUP BY 1),
  new AS (SELECT src, external_uuid FROM one WHERE external_uuid NOT IN (SELECT external_uuid FROM mem WHERE external_uuid IS NOT NULL) UNION ALL SELECT src, NULL FROM i WHERE external_uuid IS NULL)
 SELECT external_uuid, (SELECT max(id) FROM mem) + row_number() OVER (ORDER BY src) AS id, TRUE AS inserted FROM new
-UNION ALL SELECT one.external_uuid, mem.id, FALSE FROM one JOIN mem USING (external_uuid)""")
-def q_upsert_memory(d: Data) -> DataFrame:
+UNION ALL SELECT one.external_uuid, mem.id, FALSE FROM one JOIN mem USING (external_uuid)"""
+
+
+def incoming(d: Data) -> DataFrame:
     top = d.events.agg(F.max("event_id") * 2).first()[0]
     uuid = F.when(F.col("id") % 4 != 3, F.concat(F.lit("ext:"), (F.col("id") % top).cast("string")))
-    rows = d.turns.select(F.col("id").alias("src"), "user_id", "role", "message", "created_at", uuid.alias("external_uuid"))
-    return writes.upsert_memory(d.mem, rows, ["src"])[1]
+    return d.turns.select(F.col("id").alias("src"), "user_id", "role", "message", "created_at", uuid.alias("external_uuid"))
+
+
+@_query(_UPSERTED)
+def q_upsert_memory(d: Data) -> DataFrame:
+    return writes.upsert_memory(d.mem, incoming(d), ["src"])[1]
+
+
+@_query(_UPSERTED)
+def q_upsert_keyed(d: Data) -> DataFrame:
+    """On the stored table in buckets by uuid."""
+    name = f"memory_{fresh_path(d.spark)[-32:]}"
+    keyed.save_keyed(d.mem, name)
+    outcome = keyed.upsert_keyed(d.spark, name, incoming(d), ["src"])
+    d.spark.sql(f"DROP TABLE {name}")  # of the catalog; what was written stays
+    return outcome
 
 
 @_query("""SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN agent_platform END, CASE WHEN id % 5 < 3 THEN 'client' END, 'unknown') AS agent_platform, coalesce(agent_model, 'unknown') AS agent_model,
@@ -287,14 +304,26 @@ def q_memory_change_status(d: Data) -> DataFrame:
     return writes.apply_memory_changes(d.mem, changes(d), now())[1]
 
 
-@_query(f"""WITH s AS ({_STATUS}), u AS (SELECT memory_id, arg_max(content, seq) FILTER (status = 'updated') AS t, count(*) FILTER (status = 'updated') AS up, count(*) FILTER (status = 'removed') AS gone FROM s WHERE status IN ('updated', 'removed') GROUP BY 1)
+_CHANGED = f"""WITH s AS ({_STATUS}), u AS (SELECT memory_id, arg_max(content, seq) FILTER (status = 'updated') AS t, count(*) FILTER (status = 'updated') AS up, count(*) FILTER (status = 'removed') AS gone FROM s WHERE status IN ('updated', 'removed') GROUP BY 1)
 SELECT mem.id, mem.user_id, coalesce(t, message) AS message, CASE WHEN coalesce(up, 0) = 0 THEN p_tag_id END AS p_tag_id, CASE WHEN coalesce(up, 0) = 0 THEN cold_error END AS cold_error,
  CASE WHEN up > 0 THEN FALSE ELSE tag_processed END AS tag_processed, CASE WHEN gone > 0 THEN FALSE ELSE is_active END AS is_active, is_pinned FROM mem LEFT JOIN u ON u.memory_id = mem.id
-UNION ALL SELECT (SELECT max(id) FROM mem) + row_number() OVER (ORDER BY seq), user_id, content, NULL, NULL, FALSE, TRUE, TRUE FROM s WHERE status = 'added'""")
+UNION ALL SELECT (SELECT max(id) FROM mem) + row_number() OVER (ORDER BY seq), user_id, content, NULL, NULL, FALSE, TRUE, TRUE FROM s WHERE status = 'added'"""
+
+
+@_query(_CHANGED)
 def q_apply_memory_changes(d: Data) -> DataFrame:
     return writes.apply_memory_changes(d.mem, changes(d), now())[0].select("id", "user_id", "message", "p_tag_id", "cold_error", "tag_processed", "is_active", "is_pinned")
 
 
+@_query(_CHANGED)
+def q_change_stored(d: Data) -> DataFrame:
+    """On the table stored by day, of which the days that changed are written; the days of added rows come new."""
+    path = fresh_path(d.spark)
+    tr.write_memory(d.mem, path)
+    keyed.change_stored(d.spark, path, changes(d), now())
+    return tr.read_memory(d.spark, path).select("id", "user_id", "message", "p_tag_id", "cold_error", "tag_processed", "is_active", "is_pinned")
+
+
 _PROFILE = "SELECT event_id AS seq, user_id, CASE WHEN event_id % 97 = 0 THEN 'update' WHEN event_id % 151 = 0 THEN 'remove' ELSE 'add' END AS action, CASE WHEN event_id % 11 <> 0 THEN concat('line ', CAST(event_id AS STRING)) END AS content FROM events"
 
 

@@ -208,6 +208,32 @@ def test_merging_rewrites_touched_days_only(spark, tmp_path):
     assert {r["message"]: r["count"] for r in tr.read_memory(spark, path).groupBy("message").count().collect()} == {"a": 98, "b": 2, "c": 1}
 
 
+def test_upserts_leave_the_stored_table_where_it_is(spark, tmp_path):
+    from memloom.sources import keyed
+
+    memory = spark.range(5000).selectExpr("id", "concat('u', id) as external_uuid", "'m' as message")
+    keyed.save_keyed(memory, "stored_memory", buckets=16, path=str(tmp_path / "t"))
+    try:
+        files = lambda: {p.name: p.stat().st_mtime_ns for p in (tmp_path / "t").glob("*.parquet")}
+        before = files()
+        new = spark.createDataFrame([("u7", "x"), ("new", "y"), ("new", "z"), (None, "w")], "external_uuid string, message string")
+        auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = writes.new_memory_rows(spark.table("stored_memory"), new)[1]._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+        scan = next(x for x in plan.split("Join")[1].splitlines() if "stored_memory" in x)
+        own = plan[: plan.index(scan)].splitlines()[-4:]  # sort and filters between the join and the scan
+        assert "Bucketed: true" in plan and not any("Exchange" in x for x in own)
+        for _ in range(2):
+            got = {(r["external_uuid"], r["inserted"]) for r in keyed.upsert_keyed(spark, "stored_memory", new).collect()}
+        assert got == {("u7", False), ("new", False), (None, True)}
+        assert before.items() <= files().items() and spark.table("stored_memory").count() == 5003
+    finally:
+        spark.sql("DROP TABLE stored_memory")
+
+
 @pytest.mark.parametrize(("importance", "kind", "access", "days", "score"), [(5, "learning", 0, 0, 5), (10, "state", 0, 14, 10 / math.e), (5, "state", 0, 25, 5 * math.exp(-25 / 14)), (4, "state", 9, 50, 4 * math.exp(-50 / 28))])
 def test_decay(spark, importance, kind, access, days, score):
     at = T0 - dt.timedelta(days=days)
