@@ -410,6 +410,45 @@ def test_language_within_and_across_families(spark, messy, empty):
     assert {r["lang_pred"] for r in language.languages(messy.withColumn("lang", F.lit(None))).collect()} == {"und"}
 
 
+def plain_profile(text):
+    """N-grams one by one, with Python integers."""
+    word, counts = 2**32 - 1, collections.Counter()
+    codes = [0, *(ord(c) if c.isalpha() else 0 for c in (text or "").lower()), 0]
+    grams = [c * 0x9E3779B1 for c in codes[1:-1] if c]
+    pair = lambda a, b: (a * 0x85EBCA77 & word) ^ (b * 0xC2B2AE3D & word)
+    grams += [pair(a, b) for a, b in zip(codes, codes[1:], strict=False) if a or b]
+    grams += [pair(a, b) ^ ((c * 0x27D4EB2F & word) + 0x165667B1 & word) for a, b, c in zip(codes, codes[1:], codes[2:], strict=False) if b]
+    for g in grams:
+        g &= word
+        counts[((g ^ (g >> 15)) * 0x2C1B3C6D & word) >> 20] += 1
+    if not any(c.isalpha() for c in text or ""):
+        return {}
+    return {k: math.sqrt(n / sum(counts.values())) for k, n in counts.items()}
+
+
+def test_languages_against_plain_python():
+    """Profiles, the choice of a family and the votes within it, from the fitted weights alone."""
+    stems = {"en": "the of and this with", "de": "der die und nicht mit", "nl": "het een van niet met", "fr": "le les des une dans", "es": "el los del una en", "xx": "zq qz zzq qqz"}
+    data = [(k, " ".join(np.random.default_rng(i).choice(stems[k].split(), 9))) for i in range(40) for k in stems]
+    model = language.Languages(language.profiles([t for _, t in data]), [k for k, _ in data])
+    asked = [t for _, t in data[::7]] + ["", None, "123 !", "Ünd der 日本", "the der le el zq", "a" * 50, "Straße 𝒜𝒷"]
+    names, score = model.predict(language.profiles(asked))
+    sure = lambda m: 1 / (1 + math.exp(-min(30, max(-30, 3 * m))))
+    for text, name, found in zip(asked, names, score, strict=True):
+        x = plain_profile(text)
+        value = lambda w: sum(w[k] * v for k, v in x.items()) + w[-1]  # noqa: B023,E731
+        assert np.allclose(language.profiles([text])[0], [x.get(k, 0) for k in range(language.DIMS)], atol=1e-6)
+        if not x:
+            continue
+        chance = {f: sure(value(w)) for f, w in zip(model.families, model.first, strict=True)}
+        family = max(model.families, key=lambda f: chance[f])  # noqa: B023
+        own = [k for k in model.langs if model.family[k] == family]
+        won = {k: math.prod(sure(value(w)) if a == k else 1 - sure(value(w)) for (a, b), w in model.pairs.items() if k in (a, b)) for k in own}
+        best = max(own, key=lambda k: won[k])  # noqa: B023
+        assert name == best
+        assert found == pytest.approx(chance[family] / sum(chance.values()) * won[best] / sum(won.values()), rel=1e-3)
+
+
 # ---- op 5 -------------------------------------------------------------------
 
 

@@ -67,3 +67,60 @@ def test_sequences_hold_all_pieces(stages):
     assert set(p["doc_id"]) == {r["doc_id"] for r in before.select("doc_id").collect()}
     assert (p.groupby("sequence_id")["length"].cumsum() - p["length"] == p["offset"]).all()
     assert p["sequence_id"].nunique() <= np.ceil(1.1 * p["length"].sum() / 1024) + 1
+
+
+LARGE = [2**53 + 1, 2**53 + 3, 2**63 - 1, -(2**63)]
+
+
+def messy_rows():
+    """Null and empty texts, ids beside null that a float cannot hold, equal and nearly equal texts, repeated rows, a long text."""
+    prose = lambda seed, n: " ".join(f"w{int(x)}" for x in np.random.default_rng(seed).integers(0, 3000, n))
+    texts = [(LARGE[0], prose(1, 90)), (LARGE[1], prose(1, 90)), (LARGE[2], prose(2, 80)), (LARGE[3], prose(3, 80)), (None, prose(4, 60)), (None, None), (1, ""), (2, None), (3, "  \n"), (4, prose(5, 20_000))]
+    texts += [(5, prose(6, 70)), (5, prose(6, 70)), (6, prose(6, 70) + " more"), (7, prose(8, 40) + " " + prose(2, 80)[:300])]
+    return [(i, t, ["en", None, "de"][n % 3], [None, "src1", "src12"][n % 3], None if t is None else len(t), "x", 1, "y") for n, (i, t) in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def messy(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("tables")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 1), (5, 1, 0), (LARGE[0], 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rank string, number int, label string"
+    return spark.createDataFrame(messy_rows(), schema).coalesce(2).cache(), str(folder)
+
+
+def counted(df):
+    return sorted(((r["doc_id"], r["text"], r["lang"], r["source"]) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("number", range(4))
+def test_stages_on_messy_rows(spark, messy, number):
+    docs, folder = messy
+    name, stage = corpus_pipeline.STAGES[number]
+    after = corpus_pipeline.materialize(stage(spark, docs, folder))
+    assert after.columns == corpus_pipeline.COLUMNS
+    before, kept = counted(docs), counted(after)
+    ids = [r[0] for r in kept]
+    if name == "quality classifier":
+        assert all(r in before for r in kept) and ids.count(None) == 2
+    elif name == "SimHash near-dedup":
+        gone = {LARGE[1], 6}  # an equal text, and one of similarity above 0.8
+        assert kept == sorted((r for r in before if r[0] not in gone), key=repr)
+    elif name == "substring dedup":
+        left = {(r[0], r[1]) for r in kept}
+        given = {(r[0], r[1]) for r in before}
+        stay = {LARGE[0], LARGE[3], 4, 7}
+        assert LARGE[1] not in ids and {x for x in given if x[0] in stay} <= left  # the later of equal texts is all gone; others stand under their own ids
+        short = dict(x for x in left if x[0] == LARGE[2])  # its beginning is in text 7, whose id is smaller
+        assert dict(given)[LARGE[2]].endswith(short[LARGE[2]]) and len(short[LARGE[2]]) < 200
+        assert {r["n_chars"] for r in after.where("doc_id = 4").collect()} == {len(dict(given)[4])}
+    else:
+        assert all(kept.count(r) <= before.count(r) for r in kept) and ids.count(5) in (0, 2)
+    assert corpus_pipeline.materialize(stage(spark, docs.limit(0), folder)).count() == 0
+
+
+def test_packing_on_messy_rows(spark, messy):
+    docs, folder = messy
+    whole = sorted((r[0] for r in messy_rows()), key=repr)
+    exact = [r["doc_id"] for r in corpus_pipeline.packing(spark, docs, folder).where("piece = 0").collect()]
+    assert sorted(exact, key=repr) == whole
+    assert corpus_pipeline.packing(spark, docs.limit(0), folder).count() == 0
