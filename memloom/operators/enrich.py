@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from memloom.functions.text import slug, trim_all, without_fences
 from memloom.operators.writes import get_or_create_dim
-from memloom.sources.shared import fresh_path
+from memloom.sources.shared import fresh_path, written
 
 REPLY = "struct<p_tag:string,d_tag:array<string>>"
 
@@ -63,10 +63,12 @@ def parse_tag_output(responses: DataFrame, tags: DataFrame, aliases: DataFrame)
     given = F.col("_r.p_tag")
     fresh = given.startswith("NEW:")
     wanted = F.when(fresh, slug(F.substring(given, 5, 1_000_000))).otherwise(slug(given))
-    r = r.withColumn("_name", F.nullif(wanted, F.lit(""))).withColumn("_fresh", F.coalesce(fresh, F.lit(False)))
+    r = r.select("id", "raw", "_r", F.nullif(wanted, F.lit("")).alias("_name"), F.coalesce(fresh, F.lit(False)).alias("_fresh"))
+    r = written(r)  # read by the new names and by the rows
     whole, made = get_or_create_dim(tags, r.where("_fresh and _name is not null").select(F.col("_name").alias("name")), aliases)
-    known = aliases.select(F.col("name").alias("_name"), "root_id")
-    joined = r.join(known, "_name", "left").join(made.select(F.col("name").alias("_name"), F.col("id").alias("_made")), "_name", "left")
+    ids = aliases.select(F.col("name").alias("_name"), "root_id", F.lit(None).cast(made.schema["id"].dataType).alias("_made"))
+    ids = ids.union(made.select("name", F.lit(None).cast(aliases.schema["root_id"].dataType), "id")).groupBy("_name").agg(F.max("root_id").alias("root_id"), F.max("_made").alias("_made"))
+    joined = r.join(ids, "_name", "left")
     tag_id = F.when(F.col("_fresh"), F.coalesce("root_id", "_made")).otherwise(F.col("root_id"))
     error = F.when(F.col("_r").isNull(), F.concat(F.lit("invalid JSON: "), F.substring(F.coalesce("raw", F.lit("")), 1, 200)))
     return joined.select("id", tag_id.alias("p_tag_id"), clean_d_tags(F.col("_r.d_tag")).alias("d_tag"), error.alias("error")), whole

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Half-lives in days by type; profiles have none.
 HALF_LIVES = {"preference": 365.0, "skill": 180.0, "decision": 180.0, "learning": 90.0, "state": 14.0, "relationship": 365.0}
@@ -115,19 +116,15 @@ def edge_stats(edges: DataFrame) -> DataFrame:
     return edges.groupBy("relationship_type").agg(F.count("*").alias("n"))
 
 
-def normalized(pages: DataFrame, text_col: str = "plaintext") -> DataFrame:
-    """pages with `content_hash`: SHA-256 of the text in NFC with white space collapsed. NFC has no built-in; texts of ASCII alone do not pass through Python."""
-    import unicodedata
-
-    fields = pages.schema
+@F.pandas_udf(T.StringType())
+def _nfc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
-    def nfc(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            part[text_col] = part[text_col].map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-            yield part
 
-    plain = F.coalesce(F.regexp_like(F.col(text_col), F.lit("^[\\x00-\\x7F]*$")), F.lit(True))
-    whole = pages.where(plain).union(pages.where(~plain).mapInPandas(nfc, fields))
+def normalized(pages: DataFrame, text_col: str = "plaintext") -> DataFrame:
+    """pages with the text in NFC and its `content_hash`: SHA-256 with white space collapsed. NFC has no built-in; of texts of ASCII alone, which it leaves as they are, Python sees a null."""
+    plain = F.regexp_like(F.col(text_col), F.lit("^[\\x00-\\x7F]*$"))
+    whole = pages.withColumn(text_col, F.coalesce(_nfc(F.when(~plain, F.col(text_col))), F.col(text_col)))
     tidy = F.trim(F.regexp_replace(text_col, r"[\s\p{Z}]+", " "))
     return whole.withColumn("content_hash", F.sha2(F.coalesce(tidy, F.lit("")), 256))
 

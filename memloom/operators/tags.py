@@ -56,9 +56,10 @@ def cluster_totals(freq: DataFrame, clusters: DataFrame | None = None) -> DataFr
 
 def promote_tags(tags: DataFrame, totals: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame]:
     """(tags, promoted): clusters of enough mentions become project tags where absent. promoted: (user_id, canonical, members, total, p_tag_id)."""
-    enough = totals.where((F.col("total") >= least) & (trim_all(F.col("canonical")) != ""))
+    enough = written(totals.where((F.col("total") >= least) & (trim_all(F.col("canonical")) != "")))
     whole, ids = get_or_create_dim(tags, enough.select(F.col("canonical").alias("name")))
-    return whole, enough.join(ids.select(F.col("name").alias("canonical"), F.col("id").alias("p_tag_id")), "canonical").select("user_id", "canonical", "members", "total", "p_tag_id")
+    promoted = enough.join(ids.select(F.col("name").alias("canonical"), F.col("id").alias("p_tag_id")), "canonical").select("user_id", "canonical", "members", "total", "p_tag_id")
+    return whole, written(promoted)
 
 
 def retrotag(memory: DataFrame, promoted: DataFrame) -> DataFrame:

@@ -90,10 +90,9 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.json*") -> Data
     return found.select("path", "length", "modificationTime")
 
 
-def write_memory(memory: DataFrame, path: str, mode: str = "append", parts: int = 4) -> None:
-    """Store by day of creation, so that filters on dates prune. A day is dealt by id to up to `parts` tasks, however busy it is."""
-    dated = memory.withColumn("day", F.to_date("created_at")).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    dated.repartition("day", "_part").drop("_part").write.mode(mode).partitionBy("day").parquet(path)
+def write_memory(memory: DataFrame, path: str, mode: str = "append") -> None:
+    """Store by day of creation, so that filters on dates prune. Days are gathered and large ones split by the size that a shuffle has (a rebalance), however busy they are."""
+    memory.withColumn("day", F.to_date("created_at")).hint("rebalance", "day").write.mode(mode).partitionBy("day").parquet(path)
 
 
 def merge_memory(spark: SparkSession, changed: DataFrame, path: str, key: str = "id") -> None:
@@ -104,8 +103,7 @@ def merge_memory(spark: SparkSession, changed: DataFrame, path: str, key: str =
         return
     held = spark.read.parquet(path).where(F.col("day").isin([d for d in days if d is not None]) | (F.col("day").isNull() if None in days else F.lit(False)))
     whole = written(held.join(dated.select(key), key, "left_anti").unionByName(dated.select(*held.columns)))
-    spread = whole.repartition("day", F.pmod(F.xxhash64(key), F.lit(max(4, whole.rdd.getNumPartitions()))))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    whole.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
 def read_memory(spark: SparkSession, path: str, since: dt.datetime | None = None) -> DataFrame:
