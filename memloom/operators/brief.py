@@ -67,8 +67,8 @@ def _message_line(m: Column, show_platform: Column) -> Column:
     return F.concat(F.lit("- ["), F.date_format(m["created_at"], "HH:mm"), F.lit(" "), where, m["role"], F.lit("] "), m["preview"], more)
 
 
-def render_brief(briefs: DataFrame, device_name: str = "local") -> DataFrame:
-    """(user_id, brief): the text of each user's brief."""
+def render_brief(briefs: DataFrame, device_name: str = "local", hints: tuple[str, str, str] = (MORE, ACROSS, REFRESH)) -> DataFrame:
+    """(user_id, brief): the text of each user's brief. hints: how to find more, how to search across platforms (shown where there is one), how to refresh; these name an agent's tools."""
     platform, none = F.col("current_platform"), F.lit(None).cast("array<string>")
     part = lambda head, c: F.when(F.coalesce(c, F.lit("")) != "", F.array(F.lit(head), c, F.lit("")))
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
@@ -87,9 +87,9 @@ def render_brief(briefs: DataFrame, device_name: str = "local") -> DataFrame:
         block("tags", F.concat(F.lit(PROJECTS), F.col("days").cast("string"), F.lit(" days)")), F.transform("tags", tag_line)),
         block("current", F.concat(heading, F.lit(ORDER)), F.transform("current", lambda m: _message_line(m, platform.isNull()))),
         block("others", F.concat(F.lit(WHISPERS), n("others"), F.lit(")")), F.transform("others", lambda m: _message_line(m, F.lit(True)))),
-        F.array(F.lit("---"), F.lit(MORE)),
-        F.when(platform.isNotNull(), F.array(F.lit(ACROSS))),
-        F.array(F.lit(REFRESH)),
+        F.array(F.lit("---"), F.lit(hints[0])),
+        F.when(platform.isNotNull(), F.array(F.lit(hints[1]))),
+        F.array(F.lit(hints[2])),
     ]
     empty = F.array().cast("array<string>")
     return briefs.select("user_id", F.array_join(F.concat(*(F.coalesce(p, empty) for p in parts)), "\n").alias("brief"))
