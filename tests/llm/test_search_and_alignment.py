@@ -218,7 +218,7 @@ def ranked(rows, items, k):
 ITEMS = [(1, "Words and some more"), (2, ""), (3, None), (None, "words"), (1, "die Frage"), (4, "nowhere9"), (5, " ".join(f"w{i}" for i in range(200))), (6, "日本 é 🎉"), (LARGE, "some " * 50)]
 
 
-@pytest.mark.parametrize(("block_terms", "cells"), [(50_000, 1 << 22), (3, 64)])
+@pytest.mark.parametrize(("block_terms", "cells"), [(50_000, 1 << 22), (70, 64)])
 def test_ranks_against_all_scores(spark, docs, empty, block_terms, cells):
     rng = np.random.default_rng(5)
     made = [(100 + i, " ".join(f"W{int(x)}" for x in rng.zipf(1.3, 40) % 300)) for i in range(150)]
