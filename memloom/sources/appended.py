@@ -28,8 +28,8 @@ from memloom.sources.shared import written
 SPLIT_BYTES = 128 << 20
 #: Bytes read at once, bytes looked through at once for the beginning of a line, lines of an Arrow batch.
 CHUNK, BACK, LINES = 4 << 20, 1 << 16, 4096
-#: A stream's list of all known files is written anew after so many rounds.
-COMPACT = 50
+#: A stream's list of all known files is written anew after so many rounds; a batch of small files has so many tasks.
+COMPACT, TASKS = 50, 64
 
 
 @cache
@@ -236,16 +236,25 @@ class _Appended(DataSourceStreamReader):
         return {"round": self.round}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        out = []
+        """Ranges of at most splitBytes, small ones together: a task for each 64th of the bytes, or for splitBytes if that is less."""
+        ranges = []
         for number in range(start["round"] + 1, end["round"] + 1):
             for path, at, stop, _, whole in self._read(f"round-{number:012}.json"):
                 if at < stop:
-                    out += [InputPartition((path, x, stop if whole else min(stop, x + self.split), whole)) for x in ([at] if whole else range(at, stop, self.split))]
-        return out or [InputPartition(None)]
+                    ranges += [(path, x, stop if whole else min(stop, x + self.split), whole) for x in ([at] if whole else range(at, stop, self.split))]
+        most = min(self.split, -(-sum(r[2] - r[1] for r in ranges) // TASKS))
+        out, held, size = [], [], 0
+        for r in ranges:
+            held.append(r)
+            size += r[2] - r[1]
+            if size >= most:
+                out.append(InputPartition(held))
+                held, size = [], 0
+        return [*out, InputPartition(held)] if held or not out else out
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        if partition.value is not None:
-            yield from line_batches(*partition.value)
+        for r in partition.value:
+            yield from line_batches(*r)
 
     def commit(self, end: dict) -> None:
         if end["round"] % COMPACT:
