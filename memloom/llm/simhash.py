@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import chunks, connected_components, documents_of, encoded, map_frames, materialize, mix64, run_hashes, words_of
+from memloom.llm.common import TEXT_ROWS, chunks, connected_components, documents_of, encoded, map_frames, materialize, mix64, run_hashes, words_of
 from memloom.llm.labelled import BROADCAST_ROWS
 from memloom.llm.repeats import Filter, filter_of, repeated
 
@@ -193,7 +193,7 @@ def _common_shingles(texts: DataFrame, ngram: int, part: int = 16, levels: tuple
 
     taken = texts.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0).select("text")
     counts = taken.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    counts = materialize(counts.where(F.col("n") >= min(levels)))
+    counts = materialize(counts.where(F.col("n") >= min(levels)), TEXT_ROWS)
     return [filter_of(counts.where(F.col("n") >= n)) for n in levels]
 
 
@@ -224,7 +224,7 @@ def _similar_links(pairs: DataFrame, texts: DataFrame, ids: DataFrame, similarit
 
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("v"))
     met = _with_texts(ends, texts, ids).repartition("a", "b").sortWithinPartitions("a", "b", "v")
-    return materialize(met.mapInPandas(verify, "a long, b long"))
+    return materialize(met.mapInPandas(verify, "a long, b long"), TEXT_ROWS)
 
 
 def _shared(x: list[np.ndarray], y: list[np.ndarray], step: int = 8192) -> np.ndarray:
@@ -331,7 +331,7 @@ def similar_groups(
                     "keys": [ordered[s : s + k] for s, k in zip(starts.tolist(), first.tolist(), strict=True)],
                 })
 
-    prints = materialize(map_frames(texts.withColumn("whole", F.xxhash64("text")), sketch, "doc_id long, v long, whole long, n int, fp array<long>, keys array<long>"))
+    prints = materialize(map_frames(texts.withColumn("whole", F.xxhash64("text")), sketch, "doc_id long, v long, whole long, n int, fp array<long>, keys array<long>"), TEXT_ROWS)
     words = prints.where("n > 0 and doc_id is not null")
     uniq = words.groupBy("v").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("whole", "n", "fp", "keys"), "doc_id").alias("s"))
     uniq = materialize(uniq.select("v", "first", "s.whole", "s.n", "s.fp", "s.keys"))

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -25,50 +26,65 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import chunks, documents_of, encoded, map_frames, materialize, run_hashes, words_of
+from memloom.llm.common import TEXT_ROWS, chunks, documents_of, encoded, map_frames, materialize, run_hashes, words_of
 from memloom.llm.fmindex import FMIndex
 from memloom.llm.labelled import BROADCAST_ROWS
 from memloom.llm.repeats import Filter, filter_of, minimisers, repeated, runs_of
 
 #: Words of an index, about: shards are put together up to that size.
 SHARD_WORDS = 150_000
+#: Rows of a frame that Python hands to Spark, at most: the executor holds a whole frame outside of its heap.
+FRAME_ROWS = 1 << 16
 
 
-def _count(hashes: np.ndarray) -> pd.DataFrame:
-    h, n = np.unique(hashes, return_counts=True)
-    return pd.DataFrame({"h": h.view(np.int64), "n": n})
+def _counts(found: Iterator[np.ndarray]) -> Iterator[pd.DataFrame]:
+    """(h, n) of the hashes of some arrays at a time, in frames of at most FRAME_ROWS. Equal hashes meet in Spark's sum."""
+    held: list[np.ndarray] = []
+
+    def close() -> Iterator[pd.DataFrame]:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        for i in range(0, len(h), FRAME_ROWS):
+            yield pd.DataFrame({"h": h[i : i + FRAME_ROWS].view(np.int64), "n": n[i : i + FRAME_ROWS]})
+
+    for hashes in found:
+        held.append(hashes)
+        if sum(map(len, held)) >= 4 * FRAME_ROWS:
+            yield from close()
+            held = []
+    if held:
+        yield from close()
 
 
 def minimiser_counts(texts: DataFrame, window: int) -> DataFrame:
-    """(h, n): how often each minimiser was chosen, summed for each batch."""
+    """(h, n): how often each minimiser was chosen, summed for some texts at a time."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(parts: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
         for part in parts:
-            found = []
             for _, rows in chunks(part["text"]):
                 _, _, _, hashes, first = words_of(rows)
                 at, place, h = minimisers(hashes, first, window)
-                found.append(h[runs_of(at, place)[0]])
-            if found:
-                yield _count(np.concatenate(found))
+                yield h[runs_of(at, place)[0]]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _counts(found(parts))
 
     return texts.select("text").mapInPandas(run, "h long, n long")
 
 
 def window_counts(texts: DataFrame, window: int, chosen: Filter) -> DataFrame:
-    """(h, n): how often each window with a repeated minimiser occurs, summed for each batch."""
+    """(h, n): how often each window with a repeated minimiser occurs, summed for some texts at a time."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(parts: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
         for part in parts:
-            found = []
             for _, rows in chunks(part["text"]):
                 _, _, _, hashes, first = words_of(rows)
                 at, place, h = minimisers(hashes, first, window)
                 start, end = runs_of(at, place)
                 keep = np.repeat(chosen.has(h[start]), end - start)
-                found.append(run_hashes(hashes, window)[at[keep]])
-            if found:
-                yield _count(np.concatenate(found))
+                yield run_hashes(hashes, window)[at[keep]]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _counts(found(parts))
 
     return texts.select("text").mapInPandas(run, "h long, n long")
 
@@ -80,15 +96,17 @@ def stretches(texts: DataFrame, window: int, chosen: Filter, most: int = 50_000)
     (doc_id, start) where they are, doc_id and start the first of these.
     """
 
-    def collapsed(seen: dict[tuple[int, bytes], list[tuple[int, int]]]) -> pd.DataFrame:
-        out = [(k[0], xxhash.xxh3_64_intdigest(k[1], 6) - (1 << 63), k[1], *min(m), m) for k, m in seen.items()]
-        return pd.DataFrame(out, columns=["shard", "key", "words", "doc_id", "start", "members"])
+    def collapsed(seen: dict[tuple[int, bytes], list[tuple[int, int]]], rows: int = FRAME_ROWS // 8) -> Iterator[pd.DataFrame]:
+        every = iter(seen.items())
+        while some := list(islice(every, rows)):
+            out = [(k[0], xxhash.xxh3_64_intdigest(k[1], 6) - (1 << 63), k[1], *min(m), m) for k, m in some]
+            yield pd.DataFrame(out, columns=["shard", "key", "words", "doc_id", "start", "members"])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+        held = 0
         for part in parts:
             ids = part["doc_id"].to_numpy()
-            seen: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-            held = 0
             for i, rows in chunks(part["text"]):
                 buf, ws, we, hashes, first = words_of(rows)
                 at, place, h = minimisers(hashes, first, window)
@@ -104,9 +122,9 @@ def stretches(texts: DataFrame, window: int, chosen: Filter, most: int = 50_000)
                     seen.setdefault((shard, w), []).append((own, s))
                 held += len(words)
                 if held > most:
-                    yield collapsed(seen)
+                    yield from collapsed(seen)
                     seen, held = {}, 0
-            yield collapsed(seen)
+        yield from collapsed(seen)
 
     return texts.mapInPandas(run, "shard long, key long, words binary, doc_id long, start long, members array<struct<doc_id: long, start: long>>")
 
@@ -200,9 +218,9 @@ def removed_windows(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     their own content, which finds the same.
     """
     texts = documents_of(docs, id_col, text_col).where("doc_id is not null")
-    first = filter_of(materialize(repeated(minimiser_counts(texts, window))))
-    second = filter_of(materialize(repeated(window_counts(texts, window, first))))
-    found = materialize(stretches(texts, window, second))
+    first = filter_of(materialize(repeated(minimiser_counts(texts, window)), TEXT_ROWS))
+    second = filter_of(materialize(repeated(window_counts(texts, window, first)), TEXT_ROWS))
+    found = materialize(stretches(texts, window, second), TEXT_ROWS)
     rows = found.select("shard", "key", F.lit(0).cast("long").alias("offset"), "words", "doc_id", "start", F.size("members").alias("many"))
     hot = materialize(rows.groupBy("shard").count().where(F.col("count") > most).select("shard"))
     many = hot.limit(BROADCAST_ROWS + 1).count()
@@ -228,7 +246,7 @@ def dedup_substrings(
     runs = materialize(removed_windows(docs, window, id_col, text_col))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+        for part in (p.iloc[i : i + TEXT_ROWS] for p in parts for i in range(0, len(p), TEXT_ROWS)):
             kept_texts, n_words, n_removed, hashes = [], [], [], []
             for text, own_runs in zip(part["text"], part["runs"], strict=True):
                 words = encoded(text).split()

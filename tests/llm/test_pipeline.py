@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
 from memloom.llm.mixing import word_count
+from memloom.llm.repeats import Filter
+from memloom.llm.substring import minimiser_counts, stretches, window_counts
 
 DATA = "/root/testdata/sf0.001"
 
@@ -124,3 +127,44 @@ def test_packing_on_messy_rows(spark, messy):
     exact = [r["doc_id"] for r in corpus_pipeline.packing(spark, docs, folder).where("piece = 0").collect()]
     assert sorted(exact, key=repr) == whole
     assert corpus_pipeline.packing(spark, docs.limit(0), folder).count() == 0
+
+
+class Given:
+    """Batches in place of a frame: mapInPandas runs over them here and now."""
+
+    def __init__(self, parts):
+        self.parts = parts
+
+    def select(self, *columns):
+        return Given([p[list(columns)] for p in self.parts])
+
+    def mapInPandas(self, run, schema):
+        return list(run(iter(self.parts)))
+
+
+def test_repeated_passages_hands_over_small_frames():
+    """An executor holds a whole frame from Python outside of its heap, so frames must not grow with the batch, nor lose or part what is in it."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 200)) for _ in range(3000)]
+    texts[2000:2100] = texts[:100]
+    part = pd.DataFrame({"doc_id": np.arange(len(texts)), "text": texts})
+    whole, halves = Given([part]), Given([part[:1500], part[1500:]])
+    everything = Filter(None)
+    for counted in (minimiser_counts, lambda t, w: window_counts(t, w, everything)):
+        a, b = counted(whole, 20), counted(halves, 20)
+        assert max(map(len, a)) <= 1 << 16
+        sums = [pd.concat(x).groupby("h")["n"].sum() for x in (a, b)]
+        assert sums[0].equals(sums[1]) and sums[0].max() == 2
+    assert sums[0].sum() == len(texts) * 181
+    a, b = stretches(whole, 20, everything), stretches(halves, 20, everything)
+    assert max(map(len, a)) <= 1 << 13
+    members = [sorted((s, w, m) for f in x for s, w, ms in zip(f["shard"], f["words"], f["members"], strict=True) for m in ms) for x in (a, b)]
+    assert members[0] == members[1] and len({m for _, _, m in members[0]}) == len(members[0])
+
+
+def test_written_frames_take_small_batches(spark):
+    sizes = spark.range(0, 1000, 1, 1).mapInPandas(lambda parts: (p.assign(n=len(p)) for p in parts), "id long, n int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    written = corpus_pipeline.materialize(sizes, 64)
+    assert written.count() == 1000 and written.groupBy().max("n").first()[0] == 64
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
