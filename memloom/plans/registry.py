@@ -18,6 +18,7 @@ from memloom.operators import brief, diagnostics, enrich, evaluate, lifecycle, p
 from memloom.plans.fixtures import AS_OF, FACTS_AS_OF, Data, oracle
 from memloom.sources import keyed
 from memloom.sources import transcripts as tr
+from memloom.sources.appended import write_files
 from memloom.sources.shared import fresh_path, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -836,19 +837,18 @@ def q_stream_ingest(d: Data) -> DataFrame:
 
     def ingested(kind: str, files: DataFrame, **more: DataFrame) -> DataFrame:
         landing, table, checkpoint = fresh_path(d.spark), fresh_path(d.spark), fresh_path(d.spark)
-        files.write.partitionBy("file").text(landing)
+        write_files(files, landing, "turn")
         for _ in range(2):
             stream_ingest(d.spark, landing, table, checkpoint, kind, kind_of_path="folder", split_bytes=1 << 20, availableNow=True, **more).awaitTermination()
         return d.spark.read.parquet(table).select("session_id", "role", md5("message"), "agent_model", "agent_platform", "external_uuid")
 
     def sessions(lines: DataFrame, name: str) -> DataFrame:
-        rows = lines.select("turn", "line", F.expr(name).alias("file"))
-        return rows.repartition("file").sortWithinPartitions("file", "turn").select("line", "file")
+        return lines.select("turn", "line", F.expr(name).alias("file"))
 
     s = d.turns.select("session_no").distinct().where("session_no % 6 <> 5")
     source = F.element_at(F.array(*map(F.lit, ["cli", "vscode", "mcp", "exec", "other"])), (F.col("session_no") % 6 + 1).cast("int"))
     threads = s.select(F.expr(UUID36).alias("id"), source.alias("source"))
-    documents = gemini_files(d).select(F.col("text").alias("line"), F.regexp_extract("path", "[^/]+$", 0).alias("file"))
+    documents = gemini_files(d).select(F.col("text").alias("line"), F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.lit(0).alias("turn"))
     return (
         ingested("claude", sessions(d.claude_lines, "concat(CAST(session_no AS STRING), '.jsonl')"))
         .union(ingested("codex", sessions(d.codex_lines, f"concat('rollout-2024-01-01-', {UUID36}, '.jsonl')"), threads=threads))

@@ -429,6 +429,36 @@ def test_capture_of_gemini(capture):
     assert sorted(r["external_uuid"] for r in capture("gemini")) == ["gemini:cd:cd-3", "gemini:s:1", "gemini:s:9", "gemini:s:s-2"]
 
 
+def test_small_files_are_written_and_read_together(spark, tmp_path):
+    """Very many short transcripts: a task writes its files itself, whole and in order, and hands their lines on in few batches."""
+    from memloom.sources import appended
+
+    top = str(tmp_path / "in")
+    rows = spark.createDataFrame([(f"{i:03}.jsonl", n, f"{i} {n} ü") for n in (2, 0, 1) for i in range(300)], "file string, turn int, line string")
+    for _ in range(2):  # a second run leaves the same
+        assert appended.write_files(rows, top, "turn") == 300
+    assert sorted(str(p.relative_to(top)) for p in tmp_path.glob("in/*/*")) == [f"file={i:03}.jsonl/lines" for i in range(300)]
+    assert (tmp_path / "in" / "file=007.jsonl" / "lines").read_text() == "7 0 ü\n7 1 ü\n7 2 ü\n"
+    assert appended.write_files(rows.limit(0), str(tmp_path / "none")) == 0
+    reader = appended._Appended({"path": top, "state": str(tmp_path / "state"), "kindofpath": "folder", "pattern": "*.jsonl"})
+    parts = reader.partitions({"round": 0}, reader.latestOffset())
+    batches = [b for p in parts for b in reader.read(p)]
+    assert len(batches) == len(parts) <= appended.TASKS
+    got = sorted((r["path"][-15:-6], r["nth"], r["line"]) for b in batches for r in b.to_pylist())
+    assert got == sorted((f"{i:03}.jsonl", n, f"{i} {n} ü") for i in range(300) for n in range(3))
+
+
+def test_small_files_do_not_fill_a_batch(tmp_path, monkeypatch):
+    from memloom.sources import appended
+
+    monkeypatch.setattr(appended, "LINES", 10)
+    for i in range(40):
+        (tmp_path / f"{i}.jsonl").write_text("x\n" * 3)
+    reader = appended._Appended({"path": str(tmp_path), "state": str(tmp_path / "_state"), "pattern": "*.jsonl"})
+    part = appended.InputPartition([(str(tmp_path / f"{i}.jsonl"), 0, 6, False) for i in range(40)])
+    assert [b.num_rows for b in reader.read(part)] == [12] * 10
+
+
 def test_capture_without_backfill_and_in_portions(spark, capture):
     for name in "ab":
         (capture.landing / f"{name}.jsonl").write_text("".join(user(str(i), f"{name}{i}") for i in range(20)))
