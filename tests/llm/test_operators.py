@@ -387,6 +387,37 @@ def test_quality_threshold_against_every_cut():
     assert (margin > 0).mean() > 0.75
 
 
+def test_quality_weights_against_all_pairs(spark):
+    """The weights are those of every pair of a good and a bad row, and the same where Spark adds up the rows."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(300, 4)), (rng.random(300) < 0.7).astype(int)
+    x[:, 0] += 1.5 * y
+    x[:, 1] -= 0.7 * y
+    model = quality.BradleyTerry(x, y, 5000)
+    z = model.binned(x)
+    pairs = (z[y == 1][:, None] - z[y == 0][None, :]).reshape(-1, z.shape[1])
+    w = labelled.fit_logistic(pairs, np.ones(len(pairs)), 3.0 * len(pairs) / 5000)
+    assert np.abs(w).max() > 0.5 and np.abs(model.w - w).max() < 0.002
+    rows = spark.createDataFrame([(int(label), bytearray(b.tobytes())) for b, label in zip(model.bins(x), y, strict=True)], "label int, bins binary")
+    there = quality.BradleyTerry.of(model.cuts, quality._summed(rows.repartition(5)), 5000)
+    assert np.abs(model.w - there.w).max() < 1e-9 and there.threshold == pytest.approx(model.threshold) and there.quantile == model.quantile
+    alike = quality.BradleyTerry(np.ones((4, 2)), np.array([1, 1, 0, 1]), 5000)
+    assert alike.score(np.ones((2, 2))).tolist() == [0.5, 0.5]
+
+
+def test_quality_learns_from_all_labelled_rows(spark):
+    """What only rows outside of a sample of 20,000 show (a sign that all bad ones have) is learnt as well."""
+    ids = spark.range(40_000).withColumnRenamed("id", "doc_id")
+    sampled = labelled.at_most(ids.where(labelled.fold(F.col("doc_id"), 3) != 1), 20_000, 8).withColumn("in_sample", F.lit(True))
+    rows = ids.join(sampled, "doc_id", "left").withColumn("fold", labelled.fold(F.col("doc_id"), 3))
+    kind = F.when(F.col("doc_id") % 5 == 0, "AAAA.").otherwise("aaaa.")
+    rows = rows.withColumn("text", F.when(F.col("fold") == 1, F.when(F.col("doc_id") % 2 == 0, "aaaa|").otherwise(kind)).when(F.col("in_sample"), kind).otherwise("aaaa|"))
+    labels_ = rows.select("doc_id", (F.col("text") == "aaaa.").cast("int").alias("quality"))
+    assert rows.where("text = 'aaaa|' and fold <> 1").count() > 1000
+    got = quality.quality_scores(rows.select("doc_id", "text"), labels_).join(labels_, "doc_id")
+    assert {(r["quality"], r["predicted"]) for r in got.select("quality", "predicted").distinct().collect()} == {(0, 0), (1, 1)}
+
+
 def test_labels_by_majority(spark, labels):
     got = {r["doc_id"]: r["label"] for r in labelled.one_label(labels, "quality").collect()}
     assert got[1] == 1 and got[3] == 1 and None not in got
